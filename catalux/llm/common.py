@@ -165,25 +165,23 @@ def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """64-bit hash of each word ``raw[start:end]``, from polynomial prefix sums modulo 2**64."""
-    if not len(starts):
+def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """64-bit hash of each ``s[start:end]``, from polynomial prefix sums modulo 2**64."""
+    if not len(start):
         return np.zeros(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    n = len(raw)
-    powers = np.empty(n + 1, np.uint64)
+    n = len(s)
+    powers = np.full(n + 1, np.uint64(base))
     powers[0] = 1
-    powers[1:] = np.uint64(base)
     np.multiply.accumulate(powers, out=powers)
-    back = np.full(int(n) + 1, np.uint64(inverse))
+    back = np.full(n + 1, np.uint64(pow(base, -1, 1 << 64)))
     back[0] = 1
     np.multiply.accumulate(back, out=back)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-    h = (total[ends] - total[starts]) * back[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
+    h = (total[end] - total[start]) * back[start]
+    h += (end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     return mix(h)
 
 
-def sort_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+def word_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
+    return span_hash(raw, starts, ends, base)

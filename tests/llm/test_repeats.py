@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from catalux.llm import suffix_dedup, windows
+from catalux.llm import substring_dedup, suffix_dedup, windows
 from catalux.llm.suffix_array import permuted_common_prefix, suffix_array
 
 
@@ -73,3 +73,34 @@ def test_suffix_dedup(spark, monkeypatch, hot):
 def test_suffix_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, spans string, h long")
     assert suffix_dedup.dedup_bytes(df).count() == 0
+
+
+def brute_words(rows, length):
+    first = {}
+    split = {t: (t or "").encode().split() for _, t in rows}
+    for i, t in rows:
+        w = split[t]
+        for j in range(len(w) - length + 1) if i is not None else ():
+            first[tuple(w[j : j + length])] = min(i, first.get(tuple(w[j : j + length]), i))
+    out = []
+    for i, t in rows:
+        w = split[t]
+        gone = [False] * len(w)
+        for j in range(len(w) - length + 1) if i is not None else ():
+            if first[tuple(w[j : j + length])] < i:
+                gone[j : j + length] = [True] * length
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("length,k", [(50, 20), (12, 4)])
+def test_substring_dedup(spark, length, k):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.dedup_words(df, length, k).collect()), key=str) == brute_words(rows, length)
+
+
+def test_substring_dedup_empty(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, h long, c long")
+    assert substring_dedup.dedup_words(df).count() == 0
