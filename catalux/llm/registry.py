@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontamination
+from .minhash import op3_minhash
+from .packing import op9_packing
+from .pii import op10_pii
+from .quality import op7_quality
+from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 
-QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op3_minhash": op3_minhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_quality": op7_quality,
+    "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
+}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
