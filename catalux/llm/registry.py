@@ -9,6 +9,7 @@ from .pii import op10_pii
 from .quality import op7_quality
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -16,7 +17,8 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
