@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, materialize, read, text_steps, utf8, word_hash, words
+from .common import DOC_COLUMNS, LOWER, NOT_WORD, materialize, read, text_steps, utf8, word_hash, words
 from .windows import merge_spans, ranges
 
 WINDOW = 10
@@ -164,16 +164,22 @@ def _search(rows: list[tuple[str, str]], window: int, slop: int):
     return run
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The items, in blocks of about ``ITEM_BYTES``."""
+    items = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(size // ITEM_BYTES) + 1
+    for i in range(blocks):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per indexed document: doc_id, n_words, n_hit and its matches (item_id as a string, first word, words).
 
     With several blocks of items a document has a row for each block.
     """
-    items = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, found = int(size // ITEM_BYTES) + 1, None
-    for i in range(blocks):
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]  # a block of the test set, of bounded bytes
+    found = None
+    for rows in item_blocks(items):
         part = index.mapInArrow(_search(rows, window, slop), FOUND)
         found = part if found is None else found.unionByName(part)
     return found
@@ -186,6 +192,29 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return named.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def stage(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any window of an item, with the columns of ``documents``.
+
+    Each step of texts is indexed, searched and filtered in one pass; blocks of items follow each other.
+    """
+    docs = docs.select(*DOC_COLUMNS)
+    for rows in item_blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
+            known, z = Items(rows, window), zstandard.ZstdDecompressor()
+            for b in text_steps(batches, SEGMENT_BYTES):
+                (segment,) = _build(iter([b.select(["doc_id", "text"])]))
+                n = np.asarray(segment.column("n_words").values, np.int64)
+                doc_of = np.repeat(np.arange(len(n)), n)
+                _, p = match(known, z.decompress(segment.column("terms")[0].as_py()), z.decompress(segment.column("postings")[0].as_py()), doc_of, 0)
+                clean = np.ones(b.num_rows, bool)
+                clean[doc_of[p]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

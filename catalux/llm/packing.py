@@ -126,7 +126,11 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end_id: int =
     return named.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), default_tokenizer())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontamination
+from .licenses import op2_licenses
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .minhash import op3_minhash
 from .packing import op9_packing
 from .pii import op10_pii
@@ -13,12 +15,14 @@ from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_licenses": op2_licenses,
     "op3_minhash": op3_minhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}
