@@ -143,7 +143,7 @@ def _settle(size: int, percent: int, bands: int):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         ids, block, label = (np.asarray(table.column(x)) for x in ("doc_id", "block", "label"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        packed, tkey = table.column("packed").to_pylist(), table.column("tkey").to_pylist()
+        packed = table.column("packed").to_pylist()
         sets: dict[int, np.ndarray] = {}
         z = zstandard.ZstdDecompressor()
 
@@ -174,7 +174,6 @@ def _settle(size: int, percent: int, bands: int):
                 if a != b and similar(of(x), of(y), percent):
                     root[max(a, b)] = min(a, b)
                     out.append((int(ids[x]), int(ids[y])))
-        del tkey
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -193,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     shared = materialize(buckets.join(pivot, "key"), "minhash-buckets")  # only documents that share a bucket
     pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
     texts = packed_texts(docs)
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("tkey").alias(f"k{x}"), F.col("packed").alias(f"p{x}"))
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("k1").alias(f"k{x}"), F.col("packed").alias(f"p{x}"))
     links = materialize(pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(_verify(size, percent), "u long, v long"), "minhash-links")
     del pairs
     release(spark)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, M64, materialize, read, release, span_hash, window_hash
-from .windows import listed, merge_spans, packed_texts, ranges, runs, symbols, unpacked, with_shared
+from .windows import listed, merge_spans, packed_texts, ranges, runs, symbols, text_classes, unpacked, with_shared
 
 LENGTH = 50
 K = 20
@@ -102,10 +102,10 @@ def compact(node: DataFrame) -> DataFrame:
     return path.join(head, "up").select("c", F.col("up").alias("path"), "src_doc", "path_start")
 
 
-def repeated_words(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeated_words(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc_id, start, end, src_doc): removed word spans; they may overlap or touch."""
     spark = docs.sparkSession
-    texts, _ = with_shared(docs, "word", length, k, "substring")
+    texts, _ = with_shared(docs, copies, "word", length, k, "substring")
     occ = materialize(texts.mapInArrow(_occurrences(length, k), OCCURRENCE), "substring-edges")
     release(spark)
     node = materialize(nodes(occ), "substring-nodes")
@@ -134,23 +134,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = e
             kept += words[at:]
             removed.append(len(words) - len(kept)), digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "tkey", "n_removed", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["k1", "k2", "n_removed", "sha"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words = [x.encode().split() for x in b.column("text").to_pylist()]  # bytes split on exactly the contract's six characters
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(map(len, words), pa.int64()), pa.array((hashlib.sha256(b" ".join(x)).hexdigest() for x in words), pa.string())], ["doc_id", "tkey", "n_words", "whole"])
+        yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "k1", "k2")), pa.array(map(len, words), pa.int64()), pa.array((hashlib.sha256(b" ".join(x)).hexdigest() for x in words), pa.string())], ["doc_id", "k1", "k2", "n_words", "whole"])
 
 
 def dedup_words(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
-    spans = repeated_words(docs, length, k).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = packed_texts(docs).join(spans, "doc_id").mapInArrow(_cut, "doc_id long, tkey long, n_removed long, sha string").dropDuplicates(["doc_id", "tkey"])
+    copies = text_classes(docs, "substring")
+    spans = repeated_words(docs, copies, length, k).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, "doc_id").mapInArrow(_cut, "k1 long, k2 long, n_removed long, sha string").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text")).mapInArrow(_whole, "doc_id long, tkey long, n_words long, whole string")
-    return whole.join(cut, ["doc_id", "tkey"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text")).mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole string")
+    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= length)
+    zero = F.lit(0).cast("long")
+    mine = lambda full, c, none: F.when(F.col("doc_id").isNull(), none).when(copy, full).otherwise(F.coalesce(c, none))
+    both = whole.join(copies, ["k1", "k2"], "left").join(cut, ["k1", "k2"], "left")
+    return both.select("doc_id", "n_words", mine(F.col("n_words"), "n_removed", zero).alias("n_removed"), mine(F.sha2(F.lit(b""), 256), "sha", F.col("whole")).alias("kept_sha256"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Suffix-array dedup: bytes covered by a ``length``-byte string that also starts in a document with a smaller id.
 
-1. Super-windows (see ``windows``): candidate runs of windows by minimizer, without loss.
+1. Copies of a whole text are removed by its hash; of each text the least document goes on. Super-windows (see
+   ``windows``): candidate runs of windows by minimizer, without loss.
 2. Runs go to shards by minimizer, in compressed blocks, so that all occurrences
    of any repeated window meet in one shard.
 3. In a shard, minimizers with one distinct content need no sorting. The distinct
@@ -30,18 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import BASE, M64, materialize, read, release, utf8, window_hash
 from .suffix_array import permuted_common_prefix, suffix_array
-from .windows import listed, merge_spans, packed_texts, ranges, runs, unpacked, with_shared
+from .windows import listed, merge_spans, packed_texts, ranges, runs, text_classes, unpacked, with_shared
 
 LENGTH = 50
 K = 26
 #: Bytes of run contents a shard is meant to hold, and suffixes sorted together.
-SHARD_BYTES = 8 << 20
-SORT_SUFFIXES = 1 << 20
+SHARD_BYTES = 4 << 20
+SORT_SUFFIXES = 1 << 19
 BASE2 = (BASE * 0xD1342543DE82EF95 | 1) & M64
 
 
 def _blocks(length: int, k: int, shards: int):
-    """Blocks of runs by shard (``shard`` >= 0), and hot windows with their least document (``shard`` = -1)."""
+    """Blocks of runs by shard (``shard`` >= 0), and hot windows with their least document (below 0, by step)."""
 
     def block(order: np.ndarray, h, ids, start, count, raw, at) -> bytes:
         size = count[order] + length - 1
@@ -62,7 +63,7 @@ def _blocks(length: int, k: int, shards: int):
             o = np.argsort(shard, kind="stable")
             cut = np.flatnonzero(np.diff(shard[o])) + 1
             for part in np.split(cold[o], cut):
-                yield int(h[part[0]] % np.uint64(shards)), 0, 0, None, block(part, h, ids, start, count, raw, at)
+                yield int(h[part[0]] % np.uint64(shards)), None, None, None, block(part, h, ids, start, count, raw, at)
         warm = np.flatnonzero(hot)
         if len(warm):
             first, n = at[warm], count[warm]
@@ -74,7 +75,7 @@ def _blocks(length: int, k: int, shards: int):
             a, b, doc, pos = a[o], b[o], doc[o], pos[o]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             for i, j in zip(new, np.append(new[1:], len(a)), strict=True):
-                yield -1, int(a[i]), int(b[i]), int(doc[i]), doc[i:j].tobytes() + pos[i:j].astype(np.int32).tobytes()
+                yield -1 - int(a[0]) % shards, int(a[i]), int(b[i]), int(doc[i]), doc[i:j].tobytes() + pos[i:j].astype(np.int32).tobytes()
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows, strict=True))
@@ -92,7 +93,7 @@ def _blocks(length: int, k: int, shards: int):
                 continue
             held.append((h, ids[doc], first - offsets[doc], count, first, listed(doc, h, *hot), raw))
             size += len(raw)
-            if size > 4 << 20:
+            if size > 8 << 20:
                 if rows := list(flush(held)):
                     yield out(rows)
                 held, size = [], 0
@@ -146,6 +147,14 @@ def _judge(segments: list[bytes], lows: np.ndarray, length: int) -> list[np.ndar
 
 def _shard(length: int):
     def judge(table: pa.Table) -> pa.Table:
+        """A shard's spans; hot windows pass as they are."""
+        if table.column("shard")[0].as_py() < 0:
+            return table.select(["a", "b", "lo", "block"]).append_column("doc_id", pa.nulls(len(table), pa.int64()))
+        out = cold(table)
+        empty = pa.nulls(len(out), pa.int64())
+        return pa.table({"a": empty, "b": empty, "lo": empty, "block": out.column("spans"), "doc_id": out.column("doc_id")})
+
+    def cold(table: pa.Table) -> pa.Table:
         z = zstandard.ZstdDecompressor()
         number: dict[tuple[int, bytes], int] = {}
         content, docs, starts = [], [], []
@@ -215,18 +224,19 @@ def _hot_spans(length: int):
     return spans
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, spans): for each document with any, its removed bytes as int32 pairs (start, end), possibly in several rows."""
+def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """(doc_id, spans): for each text's least document, its removed bytes as int32 pairs (start, end), possibly in several rows."""
     spark = docs.sparkSession
-    texts, n = with_shared(docs, "byte", length, k, "suffix")
+    texts, n = with_shared(docs, copies, "byte", length, k, "suffix")
     shards = max(8, n * (length + 14) // SHARD_BYTES + 1)
-    blocks = materialize(texts.mapInArrow(_blocks(length, k, shards), "shard long, a long, b long, lo long, block binary"), "suffix-blocks")
+    blocks = texts.mapInArrow(_blocks(length, k, shards), "shard long, a long, b long, lo long, block binary").groupBy("shard")
+    judged = materialize(blocks.applyInArrow(_shard(length), "a long, b long, lo long, block binary, doc_id long"), "suffix-spans")
+    del texts, blocks
     release(spark)
-    cold = blocks.where("shard >= 0").groupBy("shard").applyInArrow(_shard(length), "doc_id long, spans binary")
-    hot = blocks.where("shard < 0")
-    least = hot.groupBy("a", "b").agg(F.min("lo").alias("least"), F.max(F.length("block")).alias("most"))
-    warm = hot.join(least.select("a", "b", "least"), ["a", "b"]).mapInArrow(_hot_spans(length), "doc_id long, spans binary")
-    return cold.unionByName(warm)
+    hot = judged.where("doc_id is null").select("a", "b", "lo", "block")
+    least = hot.groupBy("a", "b").agg(F.min("lo").alias("least"))
+    warm = hot.join(least, ["a", "b"]).mapInArrow(_hot_spans(length), "doc_id long, spans binary")
+    return judged.where("doc_id is not null").select("doc_id", F.col("block").alias("spans")).unionByName(warm)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +253,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = e
             sha.update(text[at:])
             removed.append(int((end - start).sum())), n_spans.append(len(start)), digest.append(sha.hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "tkey", "n_removed", "n_spans", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())], ["k1", "k2", "n_removed", "n_spans", "sha"])
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -253,12 +263,16 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     offsets removed in one are removed in the others.
     """
     docs = docs.select("doc_id", "text")
-    spans = repeated_spans(docs, length, k).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    cut = packed_texts(docs).join(spans, "doc_id").mapInArrow(_cut, "doc_id long, tkey long, n_removed long, n_spans long, sha string").dropDuplicates(["doc_id", "tkey"])
+    copies = text_classes(docs, "suffix")
+    spans = repeated_spans(docs, copies, length, k).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, "doc_id").mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    zero = F.lit(0).cast("long")
-    return whole.join(cut, ["doc_id", "tkey"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= length)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    mine = lambda full, c, none: F.when(F.col("doc_id").isNull(), none).when(copy, full).otherwise(F.coalesce(c, none))
+    both = whole.join(copies, ["k1", "k2"], "left").join(cut, ["k1", "k2"], "left")
+    return both.select("doc_id", "n_bytes", mine(F.col("n_bytes"), "n_removed", zero).alias("n_removed"), mine(one, "n_spans", zero).alias("n_spans"), mine(F.sha2(F.lit(b""), 256), "sha", F.col("whole")).alias("kept_sha256"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

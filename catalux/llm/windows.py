@@ -8,9 +8,9 @@ minimizers, and a window whose minimizer occurs in one document only can't
 repeat elsewhere. A *run* is a maximal series of consecutive windows of one
 document with the same minimizer.
 
-1. ``run_keys``: (minimizer, doc_id) of each run; an aggregate keeps minimizers
-   of two documents or more; a join, which Spark can split where it is skewed,
-   gives each document the list of its shared minimizers.
+0. Of equal texts only the one of the least document is looked at.
+1. Minimizers go to buckets in compressed blocks; a bucket finds those of two
+   texts or more, and each text gets the list of its own.
 2. ``with_shared``: the texts, compressed, meet these lists by document.
 
 Everything here is candidate search without loss: verdicts come later, from
@@ -32,6 +32,12 @@ from .common import SPACE, materialize, release, text_steps, utf8, window_hash,
 
 #: A minimizer in more runs than this is hot: its windows are judged one by one, by an aggregate and a join.
 HOT = 512
+#: A minimizer in so many documents of one step is hot as well, see ``_keys``.
+LOCAL = 16
+#: Bytes of text for each bucket of minimizers: about a million runs.
+BUCKET_BYTES = {"byte": 16 << 20, "word": 96 << 20}
+#: Minimizers keep 48 bits; that two differ and agree in these costs work, not correctness.
+MASK = np.uint64((1 << 48) - 1)
 
 
 def symbols(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -67,51 +73,135 @@ def runs(s: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.nd
     return np.searchsorted(offsets, start, side="right") - 1, start, count, least[start]
 
 
-def run_keys(docs: DataFrame, kind: str, length: int, k: int) -> DataFrame:
-    """(h, doc_id) of each run, once for each document of a step."""
+def _keys(kind: str, length: int, k: int, buckets: int):
+    """Rows (bucket, block): a step's runs as zstd blocks of 48-bit minimizers, in order, and their documents.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A minimizer in ``LOCAL`` rows of one step or more is known to be shared and hot. Its list stays out of its
+    bucket, which gets one summary, and goes to a bucket of the step's own (below 0). So no bucket holds more than
+    ``LOCAL`` entries of one minimizer from a step, however many documents have it.
+    """
+
+
+    def block(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> bytes:
+        gap = np.diff(h, prepend=np.uint64(0))
+        planes = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T[:6])
+        part = [np.array([len(h), len(ids)], np.int64), ids.T, doc.astype(np.int32), hot.astype(np.uint8), planes]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in part))
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        h, doc, ids = np.concatenate([x[0] for x in held]), [], []
+        n = 0
+        for x in held:
+            doc.append(x[1] + n)
+            ids.append(x[2])
+            n += len(x[2])
+        doc, ids = np.concatenate(doc), np.concatenate(ids)
+        o = np.lexsort((doc, h))
+        h, doc = h[o], doc[o]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[new], doc[new]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        differ = (np.minimum.reduceat(ids[doc], first) != np.maximum.reduceat(ids[doc], first)).any(1)
+        local = (size >= LOCAL) & differ
+        is_local = np.repeat(local, size)
+        keep = ~is_local
+        keep[first] = True
+        out = [(-1 - int(h[0]) % buckets, block(h[is_local], doc[is_local], ids, np.ones(int(is_local.sum()))))] if is_local.any() else []
+        h, doc, hot = h[keep], doc[keep], is_local[keep]
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        for part in np.split(o := np.argsort(bucket, kind="stable"), np.flatnonzero(np.diff(bucket[o])) + 1):
+            used, of = np.unique(doc[part], return_inverse=True)
+            out.append((int(bucket[part[0]]), block(h[part], of, ids[used], hot[part])))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in text_steps(batches):
             s, offsets, _ = symbols(b.column("text"), kind)
             doc, _, _, h = runs(s, offsets, length, k)
-            ids = np.asarray(b.column("doc_id").to_numpy(zero_copy_only=False), np.int64)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["h", "doc_id"])
-
-    return docs.mapInArrow(keys, "h long, doc_id long")
+            if len(doc):
+                held.append((h & MASK, doc, np.stack([np.asarray(b.column(x)) for x in ("k1", "k2")], 1)))
+            size += len(h)
+            if size > 1 << 19:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
+    return run
 
-def clean(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
-
-def with_shared(docs: DataFrame, kind: str, length: int, k: int, name: str) -> tuple[DataFrame, int]:
-    """(doc_id, packed, shared, hot): zstd of the text, the document's shared minimizers, and the hot ones of them.
-
-    Documents without any are left out. No list is longer than the document has runs. Also the number of all entries.
+def _shared(table: pa.Table) -> pa.Table:
+    """A bucket's minimizers of two texts or more: (k1, k2, h, hot) of each occurrence."""
+    z = zstandard.ZstdDecompressor()
+    hs, ids, hots = [], [], []
+    for blob in table.column("block").to_pylist():
+        raw = z.decompress(blob)
+        n, m = np.frombuffer(raw, np.int64, 2)
+        at = 16 + 16 * m
+        ids.append(np.frombuffer(raw, np.int64, 2 * m, 16).reshape(2, m).T[np.frombuffer(raw, np.int32, n, at)])
+        hots.append(np.frombuffer(raw, np.uint8, n, at + 4 * n) > 0)
+        gap = np.zeros((n, 8), np.uint8)
+        gap[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at + 5 * n).reshape(6, n).T
+        hs.append(np.cumsum(gap.view(np.uint64).ravel()))
+    h, doc, hot = np.concatenate(hs), np.concatenate(ids), np.concatenate(hots)
+    if table.column("bucket")[0].as_py() >= 0:
+        o = np.argsort(h, kind="stable")
+        h, doc, hot = h[o], doc[o], hot[o]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.append(first, len(h)))
+        warm = np.logical_or.reduceat(hot, first)
+        both = warm | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)).any(1)
+        warm |= size > HOT
+        keep = np.repeat(both, size) & ~hot  # the summaries' own documents come with their lists
+        hot = np.repeat(warm, size)[keep]
+        h, doc = h[keep], doc[keep]
+    return pa.table({"k1": pa.array(doc[:, 0].copy()), "k2": pa.array(doc[:, 1].copy()), "h": pa.array(h.view(np.int64)), "hot": pa.array(hot)})
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2) without nulls: two 64-bit hashes are the identity of a text."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return src.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+
+
+def text_classes(docs: DataFrame, name: str) -> DataFrame:
+    """(k1, k2, rep): the least document of each text that several rows have. The others are copies."""
+    return materialize(keyed(docs).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), f"{name}-copies")
+
+
+def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: int, name: str) -> tuple[DataFrame, int]:
+    """(doc_id, packed, shared, hot): zstd of the text, its shared minimizers, and the hot ones of them.
+
+    Only the least document of each text is there, and only if it shares any minimizer with another text. No list is
+    longer than the text has runs. Also the number of all entries.
     """
-    spark, src = docs.sparkSession, clean(docs)
-    keys = run_keys(src, kind, length, k)
-    both = keys.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", (F.col("n") > HOT).alias("is_hot"))
-    mine = keys.join(both, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("is_hot"), F.col("h"))).alias("hot"))
+    spark, src = docs.sparkSession, keyed(docs)
+    size = src.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size // BUCKET_BYTES[kind]) + 16
+    keys = src.select("k1", "k2", "text").mapInArrow(_keys(kind, length, k, buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(_shared, "k1 long, k2 long, h long, hot boolean")
+    mine = keys.groupBy("k1", "k2").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     shared = materialize(mine, f"{name}-shared")
-    del keys, both, mine
+    del keys, mine
     release(spark)
-
     n = shared.select(F.sum(F.size("shared").cast("long"))).first()[0] or 0
-    return packed_texts(docs).join(shared, "doc_id"), int(n)
+    first = packed_texts(docs).join(shared, ["k1", "k2"]).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep")
+    return first.select("doc_id", "packed", "shared", "hot"), int(n)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, packed): the texts, compressed for a shuffle. tkey tells texts of one id apart."""
+    """(doc_id, k1, k2, packed): the texts, compressed for a shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         for b in text_steps(batches, 4 << 20):
             raw, off = utf8(b.column("text"))
             data = [z.compress(raw[i:j].tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(data, pa.binary())], ["doc_id", "tkey", "packed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "k1", "k2")), pa.array(data, pa.binary())], ["doc_id", "k1", "k2", "packed"])
 
-    return clean(docs).withColumn("tkey", F.xxhash64("text")).mapInArrow(pack, "doc_id long, tkey long, packed binary")
+    return keyed(docs).mapInArrow(pack, "doc_id long, k1 long, k2 long, packed binary")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -130,7 +220,7 @@ def listed(doc: np.ndarray, h: np.ndarray, at: np.ndarray, values: np.ndarray) -
     known = np.sort(values[at[0] : at[-1]] ^ (owner * tag))
     if not len(known):
         return np.zeros(len(h), bool)
-    mine = h ^ (doc.astype(np.uint64) * tag)
+    mine = (h & MASK) ^ (doc.astype(np.uint64) * tag)
     return known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
 
 
