@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, materialize, mix, read, release, span_hash, text_steps, utf8, window_hash, word_hash, words
+from .common import DOC_COLUMNS, LOWER, SPACE, materialize, mix, read, release, span_hash, text_steps, utf8, window_hash, word_hash, words
 from .components import connected_components
 from .windows import packed_texts
 
@@ -218,6 +218,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     return node.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def stage(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    docs = docs.select(*DOC_COLUMNS)
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over all of ``documents``."""
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85, bands=BANDS)
