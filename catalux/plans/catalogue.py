@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, vectors
-from ..operators import conversation, dedupe, inventory, lifecycle, quality, rules, search, sync
+from ..operators import conversation, dedupe, inventory, lifecycle, quality, rules, search, shape, sync
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,3 +503,67 @@ def search_benchmark(spark, sf_dir):
     best = scored.where("asset_id % 100 = 0").groupBy("item_id").agg(F.min(F.struct((-F.col("hits")).alias("h"), "asset_id")).alias("x")).select("item_id", "x.h", F.col("x.asset_id").alias("a"))
     ahead = scored.join(best, "item_id").where("-hits < h or (-hits = h and asset_id <= a)").groupBy("item_id").agg(F.count("*").alias("first_expected"))
     return ahead.select("item_id", "first_expected", (F.col("first_expected") <= 3).alias("passed"))
+
+
+@query(fx.with_(fx.FILES) + """SELECT file_id, CASE WHEN file_id % 23 = 0 THEN 'SOURCE_ACCESS_DENIED' WHEN is_missing THEN 'SOURCE_NOT_FOUND' WHEN trashed THEN 'SOURCE_TRASHED' WHEN file_id % 12 = 0 THEN 'SIZE_CHANGED' WHEN file_id % 31 = 0 THEN 'MIME_CHANGED' WHEN file_id % 37 = 0 THEN 'VERSION_CHANGED' END AS reason FROM files""")
+def source_preflight(spark, sf_dir):
+    """Ordered reasons against a transfer."""
+    f = fx.files(spark, sf_dir, "file_id", "size_bytes", "mime_type", "trashed", "is_missing", "content_hash")
+    f = f.selectExpr("file_id", "content_hash", "trashed", "file_id % 23 = 0 AS access_denied", "CAST(file_id AS STRING) AS exp_id", "CASE WHEN NOT is_missing THEN CAST(file_id AS STRING) END AS cur_id", "size_bytes AS exp_size", "CASE WHEN file_id % 12 = 0 THEN size_bytes + 1 ELSE size_bytes END AS cur_size",
+                     "mime_type AS exp_mime", "CASE WHEN file_id % 31 = 0 THEN 'x' ELSE upper(mime_type) END AS cur_mime", "'2024-01-01T00:00:00Z' AS exp_modified", "CASE WHEN file_id % 2 = 0 THEN '2024-01-01T01:00:00+01:00' END AS cur_modified", "CASE WHEN file_id % 37 = 0 THEN '1' END AS exp_version", "'2' AS cur_version")
+    return f.select("file_id", shape.source_preflight().alias("reason"))
+
+
+@query(fx.with_(fx.FILES) + "SELECT coalesce(CASE WHEN file_id % 5 = 0 THEN NULL ELSE mime_type END, '(none)') AS mime_type, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY 1")
+def mime_distribution(spark, sf_dir):
+    return shape.distribution(fx.files(spark, sf_dir, "file_id", "mime_type").withColumn("mime_type", F.expr("CASE WHEN file_id % 5 <> 0 THEN mime_type END")), "mime_type")
+
+
+@query(fx.with_(fx.FILES, _REASON) + "(SELECT file_id, decision FROM decisions WHERE decision = 'TAKE' ORDER BY file_id LIMIT 7) UNION ALL (SELECT file_id, decision FROM decisions WHERE decision = 'SKIP' ORDER BY file_id LIMIT 1)")
+def stratified_sample(spark, sf_dir):
+    """The first seven TAKE rows and the first SKIP row (a sampling operator)."""
+    return shape.stratified_sample(_decided(spark, sf_dir), "decision", {"TAKE": 7, "SKIP": 1}, "file_id").select("file_id", "decision")
+
+
+@query(fx.with_(fx.FILES) + """, l AS (SELECT content_hash AS asset_id, file_id FROM files), a AS (SELECT DISTINCT content_hash AS asset_id FROM files WHERE file_id % 4 <> 0)
+SELECT CAST((SELECT count(*) FROM l WHERE file_id % 10 = 0) AS BIGINT) AS links_without_file, CAST((SELECT count(*) FROM l WHERE asset_id NOT IN (SELECT asset_id FROM a)) AS BIGINT) AS links_without_asset, CAST(0 AS BIGINT) AS assets_without_link, CAST(0 AS BIGINT) AS repeated_assets""")
+def link_integrity(spark, sf_dir):
+    f = fx.files(spark, sf_dir, "file_id", "content_hash").withColumnRenamed("content_hash", "asset_id")
+    return shape.integrity(f.where("file_id % 10 <> 0").select("file_id"), f, f.where("file_id % 4 <> 0").select("asset_id").distinct())
+
+
+@query(fx.with_(fx.DESTINATIONS) + """SELECT asset_id, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id, arg_min(upload_status, id) AS first_status FROM destinations GROUP BY 1""")
+def nested_destinations(spark, sf_dir):
+    """Assets with their destinations as ordered lists."""
+    d = fx.destinations(spark, sf_dir)
+    x = shape.with_links(d.select("asset_id").distinct(), d.select("asset_id", F.col("id").alias("file_id")), d)
+    return x.select("asset_id", F.size("destinations").cast("long").alias("n"), F.col("first_destination.id").alias("first_id"), F.col("first_destination.upload_status").alias("first_status"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS error FROM events GROUP BY 1")
+def run_totals(spark, sf_dir):
+    return shape.run_totals(fx.table(spark, sf_dir, "events").selectExpr("user_id", "event_type AS outcome"), "user_id", ("click", "error"))
+
+
+@query("SELECT user_id, max(struct_pack(ts := ts, event_id := event_id)).event_id AS event_id, arg_max(event_type, struct_pack(ts := ts, event_id := event_id)) AS event_type FROM events GROUP BY 1")
+def latest_event(spark, sf_dir):
+    return shape.latest_by(fx.table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query(fx.with_(fx.DESTINATIONS) + "SELECT id, CASE upload_status WHEN 'FAILED_RETRYABLE' THEN 'RETRYABLE_FAILURE' WHEN 'FAILED_PERMANENT' THEN 'PERMANENT_FAILURE' ELSE 'OTHER' END AS bucket, attempts = 5 AS exception FROM destinations")
+def outcome_buckets(spark, sf_dir):
+    d = fx.destinations(spark, sf_dir).withColumns({"failure": F.lit(""), "again": F.col("attempts") == 5})
+    return d.select("id", shape.outcome_bucket("upload_status").alias("bucket"), shape.is_exception("upload_status", "failure", "again").alias("exception"))
+
+
+@query("SELECT event_id, CAST(round((event_id * CAST(2.5 AS DECIMAL(10,6)) + user_id * CAST(10 AS DECIMAL(10,6))) / 1000000, 6) AS DECIMAL(18,6)) AS cost FROM (SELECT CAST(event_id AS DECIMAL(18,0)) AS event_id, CAST(user_id AS DECIMAL(18,0)) AS user_id FROM events WHERE event_id % 2 = 0)")
+def token_costs(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    return e.select(F.col("event_id").cast("decimal(18,0)").alias("event_id"), shape.token_cost("event_id", "user_id", 2.5, 10).alias("cost"))
+
+
+@query(fx.with_(fx.FILES) + "SELECT file_extension, listagg(DISTINCT mime_type, ',' ORDER BY mime_type) AS mime_types, CAST(count(DISTINCT mime_type) AS BIGINT) AS n FROM files GROUP BY 1")
+def vocabulary(spark, sf_dir):
+    """Ordered distinct values by key."""
+    f = fx.files(spark, sf_dir, "file_extension", "mime_type").groupBy("file_extension").agg(F.array_sort(F.collect_set("mime_type")).alias("m"))
+    return f.select("file_extension", F.array_join("m", ",").alias("mime_types"), F.size("m").cast("long").alias("n"))
