@@ -12,6 +12,7 @@ separately.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,46 +28,61 @@ from .common import materialize, read
 LONGEST = 4096
 END_ID = 2
 #: Words, and letter sequences in them, whose ids a worker remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 _loaded: dict[str, WordIds] = {}
 
 
+#: Words whose normal form and pieces are plain to see: printable ASCII but for the apostrophe, and Latin letters that no
+#: normal form changes; their pieces are runs of letters, single digits, and runs of the rest.
+SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
+
+def byte_names() -> dict[int, str]:
+    """Names that byte-level vocabularies give to bytes that aren't printable: code points from 256 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class _Pieces(dict):
+    def __init__(self, model) -> None:
+        self.model, self.names = model, byte_names()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        name = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+        ids = self[piece] = np.array([x.id for x in self.model.tokenize(name)], np.uint16).tobytes()
+        return ids
+
+
+class _Words(dict):
+    def __init__(self, tokenizer) -> None:
+        self.whole, self.pieces = tokenizer, _Pieces(tokenizer.model)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        text = word.decode()
+        if SIMPLE.fullmatch(text) and "<|" not in text:  # which may begin a special token
+            low = text.lower()
+            ids = self.pieces[low] if low.isalpha() else b"".join([self.pieces[x] for x in PIECE.findall(low)])
+        else:
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """ids(text) as little-endian 16-bit numbers, equal to the tokenizer's with add_special_tokens=False."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def of_word(self, word: bytes) -> bytes:
-        t = self.whole
-        text = word.decode()
-        if "<|" in text:  # it may hold a special token
-            return np.array(t.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        out = []
-        plain = text.isascii() and text.isalpha()
-        for piece, _ in ((text.lower(), None),) if plain and "'" not in text else t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                if len(self.pieces) >= MOST_WORDS:
-                    self.pieces.clear()
-                ids = self.pieces[piece] = np.array([x.id for x in t.model.tokenize(piece)], np.uint16).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        self.words = _Words(Tokenizer.from_file(path))
 
     def ids(self, text: bytes) -> bytes:
-        known, out = self.words, []
-        for word in text.split():
-            x = known.get(word)
-            if x is None:
-                if len(known) >= MOST_WORDS:
-                    known.clear()
-                x = known[word] = self.of_word(word)
-            out.append(x)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def word_ids(path: str) -> WordIds:
