@@ -471,12 +471,15 @@ def idempotency_keys(spark, sf_dir):
     return f.select("file_id", hashing.idempotency_key(F.col("checksum"), F.lit("folder"), F.lit("v1"), "asset-destination").alias("key"))
 
 
+KNOWN = conversation.Vocabulary(doctors=((r"\b(with|only ones? with|by) dr\.? hair\b", "Dr Hair"),), brands=((r"\blong hair fue\b", "Long Hair FUE"),))
+
+
 @query()
 def conversation_state(spark, sf_dir):
     """Fold of phrases into a search state; tested against a plain loop."""
-    phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Inder", "no testimonials", "female patients consultation", "clear doctor", "start over")
+    phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Hair", "no testimonials", "female patients consultation", "clear doctor", "start over")
     pick = F.get(F.array(*map(F.lit, phrases)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(phrases))).cast("int"))
-    return conversation.fold(fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", pick.alias("text")))
+    return conversation.fold(fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", pick.alias("text")), KNOWN)
 
 
 @query(fx.with_(fx.FILES, _REASON) + """, t AS (SELECT *, row_number() OVER (PARTITION BY checksum, size_bytes ORDER BY relative_path, file_id) AS n FROM decisions WHERE decision = 'TAKE'),

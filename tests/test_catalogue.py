@@ -50,7 +50,7 @@ def test_conversation_state(spark):
     assert states
     for turns in states.values():
         s = conversation.State()
-        phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Inder", "no testimonials", "female patients consultation", "clear doctor", "start over")
+        phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Hair", "no testimonials", "female patients consultation", "clear doctor", "start over")
         for r in turns:
-            operation, s = conversation.interpret(phrases[(r.conv_id + r.turn) % 8], s)
-            assert (r.operation, r.semantic_query, r.media_type, r.sort, r.excluded) == (operation, s.semantic_query, s.media_type, s.sort, "|".join(s.excluded))
+            operation, s = conversation.interpret(phrases[(r.conv_id + r.turn) % 8], s, catalogue.KNOWN)
+            assert (r.operation, r.semantic_query, r.media_type, r.sort, r.doctor_name, r.excluded) == (operation, s.semantic_query, s.media_type, s.sort, s.doctor_name, "|".join(s.excluded))

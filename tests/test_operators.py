@@ -139,10 +139,12 @@ def test_quality_and_digest(spark):
 
 def test_interpret():
     s = conversation.State()
-    op, s = conversation.interpret("igraft before and after", s)
-    assert op == "START_NEW_SEARCH" and s.treatment == "iGraft Long Hair FUE" and s.semantic_query == "igraft before and after"
+    known = conversation.Vocabulary(doctors=((r"\bwith dr\.? hair\b", "Dr Hair"),), brands=((r"\blong hair fue\b", "Long Hair FUE"),))
+    op, s = conversation.interpret("long hair fue before and after", s, known)
+    assert op == "START_NEW_SEARCH" and s.treatment == "Long Hair FUE" and s.semantic_query == "long hair fue before and after"
+    assert conversation.interpret("with Dr. Hair", s, known)[1].doctor_name == "Dr Hair" and conversation.interpret("with Dr. Hair", s)[1].doctor_name is None
     op, s = conversation.interpret("videos only, no testimonials", s)
-    assert op == "ADD_FILTER" and s.media_type == "video" and s.excluded == ("Patient Testimonial",) and s.semantic_query == "igraft before and after"
+    assert op == "ADD_FILTER" and s.media_type == "video" and s.excluded == ("Patient Testimonial",) and s.semantic_query == "long hair fue before and after"
     op, s = conversation.interpret("include testimonials", s)
     assert op == "REMOVE_FILTER" and s.excluded == ()
     assert conversation.interpret("Start over.", s) == ("RESET_SEARCH", conversation.State()) and conversation.interpret(None, s) == ("REFINE_SEMANTIC_QUERY", s)
