@@ -1,11 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
 DataFrame functions only. Units of comparison are the lines of a file, whatever their place. Terms are runs of
-letters and digits, lower-cased; weights are count * idf with idf = ln((1 + T) / (1 + df)) + 1 over the T templates, so
+letters and digits, lower-cased; weights are (1 + ln count) * idf with idf = ln((1 + T) / (1 + df)) + 1 over the T templates, so
 terms of no template have the largest idf. A line's licence is the template with the highest cosine, ties by name,
 if that is ``LEAST`` or more; a file's is that of its best line, ties by line number.
 
-Only lines that can reach ``LEAST`` are scored: for each template its weightiest terms are *anchors* until the rest
+Only lines that can reach ``LEAST`` are scored: for each template its longest terms are *anchors* until the rest
 alone has a norm below LEAST of the template's, so a line without an anchor stays below. Whether a text has an anchor is a plain
 search in the text, before anything is exploded; no text is shuffled.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-LEAST = 0.7
+LEAST = 0.75
 #: Most bytes of all templates: their terms and weights are literals of the plan.
 TEMPLATE_BYTES = 1 << 20
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
@@ -61,11 +61,11 @@ class Weights:
         self.rows, anchors = [], set()
         for name, text in templates:
             count = Counter(terms_of(text))
-            weight = {w: k * self.idf[w] for w, k in count.items()}
+            weight = {w: (1 + math.log(k)) * self.idf[w] for w, k in count.items()}
             norm = math.sqrt(sum(x * x for x in weight.values()))
             self.rows += [(name, w, x / norm) for w, x in sorted(weight.items())]
             rest = dict(weight)
-            for w in sorted(weight, key=lambda w: (-weight[w], w)):
+            for w in sorted(weight, key=lambda w: (-len(w), w)):  # long words are rare in other texts
                 if math.sqrt(sum(x * x for x in rest.values())) < least * norm * (1 - 1e-9):
                     break
                 anchors.add(w)
@@ -84,7 +84,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     word = line.select("id", "line", F.explode(F.regexp_extract_all("s", F.lit("[a-z0-9]+"), 0)).alias("term"))
     count = word.groupBy("id", "line", "term").agg(F.count("*").alias("n"))
     idf = F.create_map(*[F.lit(x) for p in w.idf.items() for x in p])
-    count = count.withColumn("weight", F.col("n") * F.coalesce(idf[F.col("term")], F.lit(w.other)))
+    count = count.withColumn("weight", (1 + F.log("n")) * F.coalesce(idf[F.col("term")], F.lit(w.other)))
     shares = spark.createDataFrame(w.rows, "license string, term string, share double")  # of bounded size, see TEMPLATE_BYTES
     norm = count.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     dot = count.join(F.broadcast(shares), "term").groupBy("id", "line", "license").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
