@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of text that one Python step holds at a time (a longer text is a step of its own).
@@ -51,21 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``materialize`` made, once nothing reads it any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/catalux/" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver's JVM find shuffles that no frame refers to, so that their files go."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+#: Rows of an Arrow batch: with texts of some kB, a few MB in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, with Arrow batches of the session bounded for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -16,7 +16,6 @@ null ``item_id`` is left out. Items go to the executors in blocks of at most ``I
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -4,8 +4,8 @@
    ``windows``): candidate runs of windows by minimizer, without loss.
 2. Runs go to shards by minimizer, in compressed blocks, so that all occurrences
    of any repeated window meet in one shard.
-3. In a shard, minimizers with one distinct content need no sorting. The distinct
-   contents of the others are concatenated and sorted by induced sorting; suffixes
+3. In a shard, contents that are alone with their minimizer, or have no window hash
+   in common with another content, need no sorting. The others are concatenated and sorted by induced sorting; suffixes
    whose permuted common prefix reaches ``length`` form groups, whose least
    document is the verdict of their windows.
 4. Hot minimizers (in more than ``windows.HOT`` runs) are not sent to a shard:
@@ -66,11 +66,11 @@ def _blocks(length: int, k: int, shards: int):
                 yield int(h[part[0]] % np.uint64(shards)), None, None, None, block(part, h, ids, start, count, raw, at)
         warm = np.flatnonzero(hot)
         if len(warm):
-            first, n = at[warm], count[warm]
-            where = ranges(first, n)
+            n = count[warm]
+            data = raw[ranges(at[warm], n + length - 1)].astype(np.uint64)
+            where = ranges(np.cumsum(n + length - 1) - (n + length - 1), n)
             doc, pos = np.repeat(ids[warm], n), ranges(start[warm], n)
-            s = raw.astype(np.uint64)
-            a, b = window_hash(s, length)[where].view(np.int64), window_hash(s, length, BASE2)[where].view(np.int64)
+            a, b = (window_hash(data, length, x)[where].view(np.int64) for x in (BASE, BASE2))
             o = np.lexsort((doc, b, a))
             a, b, doc, pos = a[o], b[o], doc[o], pos[o]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
@@ -93,7 +93,7 @@ def _blocks(length: int, k: int, shards: int):
                 continue
             held.append((h, ids[doc], first - offsets[doc], count, first, listed(doc, h, *hot), raw))
             size += len(raw)
-            if size > 8 << 20:
+            if size > 4 << 20:
                 if rows := list(flush(held)):
                     yield out(rows)
                 held, size = [], 0
@@ -145,6 +145,26 @@ def _judge(segments: list[bytes], lows: np.ndarray, length: int) -> list[np.ndar
     return [verdict[b : b + n - length + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
+def _alike(keys: list[tuple[int, bytes]], length: int) -> np.ndarray:
+    """Which contents have a window whose hash another content has; the others need no sorting."""
+    out = np.zeros(len(keys), bool)
+    size = np.fromiter((len(x) for _, x in keys), np.int64, len(keys))
+    hashes = np.empty(int((size - length + 1).sum()), np.uint64)
+    at = 0
+    for i in range(0, len(keys), 4096):
+        n = size[i : i + 4096]
+        data = np.frombuffer(b"".join(x for _, x in keys[i : i + 4096]), np.uint8).astype(np.uint64)
+        h = window_hash(data, length)[ranges(np.cumsum(n) - n, n - length + 1)]
+        hashes[at : at + len(h)] = h
+        at += len(h)
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), size - length + 1)
+    o = np.argsort(hashes, kind="stable")
+    h, owner = hashes[o], owner[o]
+    same = (h[1:] == h[:-1]) & (owner[1:] != owner[:-1])
+    out[owner[1:][same]] = out[owner[:-1][same]] = True
+    return out
+
+
 def _shard(length: int):
     def judge(table: pa.Table) -> pa.Table:
         """A shard's spans; hot windows pass as they are."""
@@ -177,8 +197,10 @@ def _shard(length: int):
         o = np.argsort(h, kind="stable")
         cut = np.concatenate([[0], np.flatnonzero(np.diff(h[o])) + 1, [len(o)]])
         many = np.diff(cut) > 1
+        alike = _alike(keys, length)  # contents with a window that another content has
         alone = np.zeros(len(keys), bool)
         alone[o[cut[:-1][~many]]] = True
+        alone |= ~alike
         out_doc, out_start, out_end = [], [], []
         hit = alone[which] & (low[which] < doc)
         out_doc.append(doc[hit]), out_start.append(start[hit]), out_end.append(start[hit] + size[which[hit]])
@@ -196,8 +218,9 @@ def _shard(length: int):
                 out_doc.append(doc[who][row]), out_start.append(s), out_end.append(s + length)
 
         for i, j in zip(cut[:-1][many].tolist(), cut[1:][many].tolist(), strict=True):
-            batch += o[i:j].tolist()
-            held += int(size[o[i:j]].sum()) + j - i
+            x = o[i:j][alike[o[i:j]]]
+            batch += x.tolist()
+            held += int(size[x].sum()) + len(x)
             if held > SORT_SUFFIXES:
                 settle()
                 batch, held = [], 0

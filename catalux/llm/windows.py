@@ -34,8 +34,9 @@ from .common import SPACE, materialize, release, text_steps, utf8, window_hash,
 HOT = 512
 #: A minimizer in so many documents of one step is hot as well, see ``_keys``.
 LOCAL = 16
-#: Bytes of text for each bucket of minimizers: about a million runs.
-BUCKET_BYTES = {"byte": 16 << 20, "word": 96 << 20}
+#: Bytes of text for each bucket of minimizers: about four million runs, looked at in parts.
+BUCKET_BYTES = {"byte": 64 << 20, "word": 256 << 20}
+PARTS = 8
 #: Minimizers keep 48 bits; that two differ and agree in these costs work, not correctness.
 MASK = np.uint64((1 << 48) - 1)
 
@@ -85,7 +86,7 @@ def _keys(kind: str, length: int, k: int, buckets: int):
     def block(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, hot: np.ndarray) -> bytes:
         gap = np.diff(h, prepend=np.uint64(0))
         planes = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T[:6])
-        part = [np.array([len(h), len(ids)], np.int64), ids.T, doc.astype(np.int32), hot.astype(np.uint8), planes]
+        part = [np.array([len(h), len(ids)], np.int64), ids, doc.astype(np.int32), hot.astype(np.uint8), planes]
         return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in part))
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -103,7 +104,7 @@ def _keys(kind: str, length: int, k: int, buckets: int):
         h, doc = h[new], doc[new]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
-        differ = (np.minimum.reduceat(ids[doc], first) != np.maximum.reduceat(ids[doc], first)).any(1)
+        differ = np.minimum.reduceat(ids[doc], first) != np.maximum.reduceat(ids[doc], first)
         local = (size >= LOCAL) & differ
         is_local = np.repeat(local, size)
         keep = ~is_local
@@ -122,9 +123,9 @@ def _keys(kind: str, length: int, k: int, buckets: int):
             s, offsets, _ = symbols(b.column("text"), kind)
             doc, _, _, h = runs(s, offsets, length, k)
             if len(doc):
-                held.append((h & MASK, doc, np.stack([np.asarray(b.column(x)) for x in ("k1", "k2")], 1)))
+                held.append((h & MASK, doc, np.asarray(b.column("k1"))))
             size += len(h)
-            if size > 1 << 19:
+            if size > 1 << 18:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -134,31 +135,42 @@ def _keys(kind: str, length: int, k: int, buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """A bucket's minimizers of two texts or more: (k1, k2, h, hot) of each occurrence."""
+    """A bucket's minimizers of two texts or more: (k1, h, hot) of each occurrence. It is sorted in ``PARTS`` parts."""
     z = zstandard.ZstdDecompressor()
-    hs, ids, hots = [], [], []
+    hs, ids, docs, hots, n_ids = [], [], [], [], 0
     for blob in table.column("block").to_pylist():
         raw = z.decompress(blob)
-        n, m = np.frombuffer(raw, np.int64, 2)
-        at = 16 + 16 * m
-        ids.append(np.frombuffer(raw, np.int64, 2 * m, 16).reshape(2, m).T[np.frombuffer(raw, np.int32, n, at)])
+        n, m = map(int, np.frombuffer(raw, np.int64, 2))
+        at = 16 + 8 * m
+        ids.append(np.frombuffer(raw, np.int64, m, 16).copy())
+        docs.append(np.frombuffer(raw, np.int32, n, at) + np.int32(n_ids))
         hots.append(np.frombuffer(raw, np.uint8, n, at + 4 * n) > 0)
         gap = np.zeros((n, 8), np.uint8)
         gap[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, at + 5 * n).reshape(6, n).T
         hs.append(np.cumsum(gap.view(np.uint64).ravel()))
-    h, doc, hot = np.concatenate(hs), np.concatenate(ids), np.concatenate(hots)
-    if table.column("bucket")[0].as_py() >= 0:
-        o = np.argsort(h, kind="stable")
-        h, doc, hot = h[o], doc[o], hot[o]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        warm = np.logical_or.reduceat(hot, first)
-        both = warm | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)).any(1)
+        n_ids += m
+    local = table.column("bucket")[0].as_py() < 0
+    del table
+    h, doc, hot, ids = np.concatenate(hs), np.concatenate(docs), np.concatenate(hots), np.concatenate(ids)
+    del hs, docs, hots
+    if local:
+        return pa.table({"k1": pa.array(ids[doc]), "h": pa.array(h.view(np.int64)), "hot": pa.array(hot)})
+    part, out = (h >> np.uint64(40)) % np.uint64(PARTS), []
+    for i in range(PARTS):
+        mine = np.flatnonzero(part == i)
+        mine = mine[np.argsort(h[mine], kind="stable")]
+        if not len(mine):
+            continue
+        x, d, warm_of = h[mine], ids[doc[mine]], hot[mine]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        size = np.diff(np.append(first, len(x)))
+        warm = np.logical_or.reduceat(warm_of, first)
+        both = warm | (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
         warm |= size > HOT
-        keep = np.repeat(both, size) & ~hot  # the summaries' own documents come with their lists
-        hot = np.repeat(warm, size)[keep]
-        h, doc = h[keep], doc[keep]
-    return pa.table({"k1": pa.array(doc[:, 0].copy()), "k2": pa.array(doc[:, 1].copy()), "h": pa.array(h.view(np.int64)), "hot": pa.array(hot)})
+        keep = np.repeat(both, size) & ~warm_of  # the summaries' own texts come with their lists
+        out.append((d[keep], x[keep], np.repeat(warm, size)[keep]))
+    d, x, w = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"k1": pa.array(d), "h": pa.array(x.view(np.int64)), "hot": pa.array(w)})
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -176,18 +188,19 @@ def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: i
     """(doc_id, packed, shared, hot): zstd of the text, its shared minimizers, and the hot ones of them.
 
     Only the least document of each text is there, and only if it shares any minimizer with another text. No list is
-    longer than the text has runs. Also the number of all entries.
+    longer than the text has runs. Also the number of all entries. Texts are told apart by k1 here: where two texts
+    agree in it, each gets both lists, and only a passage that no third text shares could be missed.
     """
     spark, src = docs.sparkSession, keyed(docs)
     size = src.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(size // BUCKET_BYTES[kind]) + 16
-    keys = src.select("k1", "k2", "text").mapInArrow(_keys(kind, length, k, buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(_shared, "k1 long, k2 long, h long, hot boolean")
-    mine = keys.groupBy("k1", "k2").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    buckets = int(size // BUCKET_BYTES[kind]) + 6
+    keys = src.select("k1", "text").mapInArrow(_keys(kind, length, k, buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(_shared, "k1 long, h long, hot boolean")
+    mine = keys.groupBy("k1").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     shared = materialize(mine, f"{name}-shared")
     del keys, mine
     release(spark)
     n = shared.select(F.sum(F.size("shared").cast("long"))).first()[0] or 0
-    first = packed_texts(docs).join(shared, ["k1", "k2"]).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep")
+    first = packed_texts(docs).join(shared, "k1").join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep")
     return first.select("doc_id", "packed", "shared", "hot"), int(n)
 
 
@@ -208,7 +221,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Steps of ``with_shared``'s rows: ids, texts, and offsets and values of the lists ``shared`` and ``hot``."""
     z = zstandard.ZstdDecompressor()
     for b in batches:
-        for c in [b.slice(i, 64) for i in range(0, b.num_rows, 64)]:
+        for c in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
             lists = [(np.asarray(x.offsets), np.asarray(x.values).view(np.uint64)) for x in (c.column("shared"), c.column("hot"))]
             yield np.asarray(c.column("doc_id")), pa.array([z.decompress(x) for x in c.column("packed").to_pylist()], pa.binary()), *lists
 
