@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "mp4", "mov", "pdf", "pptx", "heic")
 MIMES = ("image/jpeg", "image/jpeg", "image/png", "image/webp", "video/mp4", "video/quicktime", "application/pdf", "application/vnd.openxmlformats-officedocument.presentationml.presentation", "image/heic")
