@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, release, text_steps, utf8, window_hash, window_min, word_hash, words
 
 
-#: A minimizer in more runs than this is hot: its windows are judged one by one, by an aggregate and a join.
-HOT = 512
-#: A minimizer in so many documents of one step is hot as well, see ``_keys``.
+#: A minimizer in more runs than this is hot: its windows are judged one by one, by an aggregate and a join. So many runs
+#: are some MB of a shard.
+HOT = 1 << 17
+#: A step with this many rows of a minimizer, or its share of ``HOT`` if that is more, takes it for hot, see ``_keys``.
 LOCAL = 16
+STEP_RUNS = 1 << 18
 #: Bytes of text for each bucket of minimizers: about four million runs, looked at in parts.
 BUCKET_BYTES = {"byte": 64 << 20, "word": 256 << 20}
 PARTS = 8
@@ -74,12 +76,12 @@ def runs(s: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.nd
     return np.searchsorted(offsets, start, side="right") - 1, start, count, least[start]
 
 
-def _keys(kind: str, length: int, k: int, buckets: int):
+def _keys(kind: str, length: int, k: int, buckets: int, local_rows: int):
     """Rows (bucket, block): a step's runs as zstd blocks of 48-bit minimizers, in order, and their documents.
 
-    A minimizer in ``LOCAL`` rows of one step or more is known to be shared and hot. Its list stays out of its
-    bucket, which gets one summary, and goes to a bucket of the step's own (below 0). So no bucket holds more than
-    ``LOCAL`` entries of one minimizer from a step, however many documents have it.
+    A minimizer in ``local_rows`` rows of one step or more is taken for hot, and known to be shared. Its list stays out of
+    its bucket, which gets one summary, and goes to a bucket of the step's own (below 0). So no bucket holds more than
+    ``local_rows`` entries of one minimizer from a step, however many documents have it.
     """
 
 
@@ -105,7 +107,7 @@ def _keys(kind: str, length: int, k: int, buckets: int):
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(first, len(h)))
         differ = np.minimum.reduceat(ids[doc], first) != np.maximum.reduceat(ids[doc], first)
-        local = (size >= LOCAL) & differ
+        local = (size >= local_rows) & differ
         is_local = np.repeat(local, size)
         keep = ~is_local
         keep[first] = True
@@ -125,7 +127,7 @@ def _keys(kind: str, length: int, k: int, buckets: int):
             if len(doc):
                 held.append((h & MASK, doc, np.asarray(b.column("k1"))))
             size += len(h)
-            if size > 1 << 18:
+            if size > STEP_RUNS:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -134,7 +136,7 @@ def _keys(kind: str, length: int, k: int, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, hot_runs: int) -> pa.Table:
     """A bucket's minimizers of two texts or more: (k1, h, hot) of each occurrence. It is sorted in ``PARTS`` parts."""
     z = zstandard.ZstdDecompressor()
     hs, ids, docs, hots, n_ids = [], [], [], [], 0
@@ -166,7 +168,7 @@ def _shared(table: pa.Table) -> pa.Table:
         size = np.diff(np.append(first, len(x)))
         warm = np.logical_or.reduceat(warm_of, first)
         both = warm | (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first))
-        warm |= size > HOT
+        warm |= size > hot_runs
         keep = np.repeat(both, size) & ~warm_of  # the summaries' own texts come with their lists
         out.append((d[keep], x[keep], np.repeat(warm, size)[keep]))
     d, x, w = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -194,7 +196,9 @@ def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: i
     spark, src = docs.sparkSession, keyed(docs)
     size = src.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES[kind]) + 6
-    keys = src.select("k1", "text").mapInArrow(_keys(kind, length, k, buckets), "bucket long, block binary").groupBy("bucket").applyInArrow(_shared, "k1 long, h long, hot boolean")
+    steps = size // (STEP_RUNS * {"byte": 15, "word": 96}[kind]) + 1  # a run is about so many bytes
+    local, hot = max(LOCAL, int(HOT // steps)), HOT
+    keys = src.select("k1", "text").mapInArrow(_keys(kind, length, k, buckets, local), "bucket long, block binary").groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "k1 long, h long, hot boolean")
     mine = keys.groupBy("k1").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     shared = materialize(mine, f"{name}-shared")
     del keys, mine

@@ -62,18 +62,10 @@ def brute_bytes(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot,local", [(512, 16), (3, 16), (512, 2), (512, 10**6)])
+@pytest.mark.parametrize("hot,local", [(1 << 17, 16), (3, 10**6), (1, 2)])
 def test_suffix_dedup(spark, monkeypatch, hot, local):
-    def patched(f):
-        def run(x):  # workers import the module anew
-            windows.HOT, windows.LOCAL = hot, local
-            return f(x)
-
-        return run
-
-    keys, shared = windows._keys, windows._shared
-    monkeypatch.setattr(windows, "_keys", lambda *a: patched(keys(*a)))
-    monkeypatch.setattr(windows, "_shared", patched(shared))
+    monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "LOCAL", local)
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, suffix_dedup.dedup_bytes(df).collect()), key=str) == brute_bytes(rows, 50)
