@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-LEAST = 0.75
+LEAST = 0.7
 #: Most bytes of all templates: their terms and weights are literals of the plan.
 TEMPLATE_BYTES = 1 << 20
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"

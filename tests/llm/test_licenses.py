@@ -55,3 +55,10 @@ def test_inheritance(spark):
 def test_anchors_are_lossless():
     w = licenses.Weights(list(licenses.TEMPLATES), licenses.LEAST)
     assert all(re.fullmatch("[a-z0-9]{4,}", a) for a in w.anchors)
+
+
+def test_short_lines_reach_the_threshold(spark):
+    texts = ["The MIT License", "prose\nThe MIT License (MIT)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.license, r.line) for r in licenses.scan(df).collect()}
+    assert got == brute_scan(list(enumerate(texts)), licenses.TEMPLATES, 0.7) == {0: ("MIT", 0), 1: ("MIT", 1)}
