@@ -1,13 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-DataFrame functions only. Units of comparison are the lines of a file, whatever their place. Terms are runs of
-letters and digits, lower-cased; weights are (1 + ln count) * idf with idf = ln((1 + T) / (1 + df)) + 1 over the T templates, so
+DataFrame functions only. Units of comparison are the lines of a file, whatever their place (``scan``, to ``TEMPLATES``), and,
+to ``HEADERS``, its lines, its blocks (lines up to a blank one), the run of comments at its head and, of a licence file, the whole
+text; that also to ``FULL`` texts. The best of these is the file's own licence. Terms are runs of letters and digits, lower-cased; weights are (1 + ln count) * idf with idf = ln((1 + T) / (1 + df)) + 1 over the T templates, so
 terms of no template have the largest idf. A line's licence is the template with the highest cosine, ties by name,
 if that is ``LEAST`` or more; a file's is that of its best line, ties by line number.
 
-Only lines that can reach ``LEAST`` are scored: for each template its longest terms are *anchors* until the rest
-alone has a norm below LEAST of the template's, so a line without an anchor stays below. Whether a text has an anchor is a plain
-search in the text, before anything is exploded; no text is shuffled.
+Only units that can reach ``LEAST`` are scored: for each template its longest terms (those that are anchors already come first)
+are *anchors* until the rest alone has a norm below LEAST of the template's, so a unit without an anchor stays below. Whether a text
+has an anchor is a plain search in the text, before anything is exploded; no text is shuffled. A unit is exploded only if its terms of no template are few enough for ``LEAST``.
 
 A directory's licence is that of its licence files (LICENSE, LICENCE, COPYING, NOTICE, with or without an ending),
 the best by cosine, then name, then path. A file without a licence of its own takes that of the nearest directory above it: the
@@ -22,11 +23,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
 LEAST = 0.7
 #: Most bytes of all templates: their terms and weights are literals of the plan.
@@ -43,6 +45,30 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_GPL = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_NO_WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} License for more details. You should have received a copy of the GNU {0} License along with this program. If not, see https://www.gnu.org/licenses/."
+_GNU = (("GPL-2.0", "General Public", "2"), ("GPL-3.0", "General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-3.0", "Lesser General Public", "3"), ("AGPL-3.0", "Affero General Public", "3"))
+_CC = (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: Titles, notices and identifiers as they head files; a licence has several. An unversioned GNU title is "GPL".
+HEADERS = (
+    ("Apache-2.0", "Apache License"), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"), ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", _TEXTS["BSD-3-Clause"]),
+    ("GPL", "GNU General Public License"), ("GPL-2.0", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"), ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", _TEXTS["MIT"]), ("MIT", _TEXTS["MIT"].split("\n\n")[1]),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *[(i, f"GNU {x} License version {v}") for i, x, v in _GNU],
+    *[(i, _GPL.format("This program", x, v) + t) for i, x, v in _GNU for t in ("", _NO_WARRANTY.format(x))],
+    *[(f"CC-{i}-4.0", t) for i, x in _CC for t in (f"Licensed under CC {i} 4.0.", f"Creative Commons {x} 4.0 International Public License", f"This work is licensed under a Creative Commons {x} 4.0 International License. http://creativecommons.org/licenses/{i.lower()}/4.0/")],
+    *[(i, f"SPDX-License-Identifier: {i}") for i in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "MPL-2.0", *[x[0] for x in _GNU], *[f"CC-{x[0]}-4.0" for x in _CC])],
+)
+#: Full texts of licences.
+FULL = tuple(_TEXTS.items())
+#: Lines of the run of comments at the head of a file.
+COMMENT = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
+
 
 def terms_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -65,7 +91,7 @@ class Weights:
             norm = math.sqrt(sum(x * x for x in weight.values()))
             self.rows += [(name, w, x / norm) for w, x in sorted(weight.items())]
             rest = dict(weight)
-            for w in sorted(weight, key=lambda w: (-len(w), w)):  # long words are rare in other texts
+            for w in sorted(weight, key=lambda w: (w not in anchors, -len(w), w)):  # long words are rare in other texts
                 if math.sqrt(sum(x * x for x in rest.values())) < least * norm * (1 - 1e-9):
                     break
                 anchors.add(w)
@@ -73,6 +99,23 @@ class Weights:
         self.anchors = sorted(anchors)
 
 
+def _words(c: str, w: Weights, least: float) -> Column:
+    """The terms of a unit that has an anchor and may reach ``least``, exploded; else a null.
+
+    Of the squared norm of a unit within reach, terms of templates have a share of least ** 2 or more. With n of a term,
+    (1 + ln n) ** 2 <= 1.5 n, so the distinct other terms are at most ``most`` times the terms of templates.
+    """
+    most = 1.5 * (max(w.idf.values()) / w.other) ** 2 * (1 / least**2 - 1) * (1 + 1e-9)
+
+    def kept(x: Column) -> Column:
+        known = F.size(F.filter(x, lambda t: t.isin(list(w.idf))))
+        other = F.size(F.array_distinct(F.filter(x, lambda t: ~t.isin(list(w.idf)))))
+        return F.when(F.exists(x, lambda t: t.isin(w.anchors)) & (other <= known * F.lit(most)), x)
+
+    # bound to a variable, so that the text is split once only; the outer form has no filter inferred that would split it again
+    return F.explode_outer(F.get(F.transform(F.array(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), 0)), kept), F.lit(0))).alias("term")
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, license, score, line) of the files with a licence of their own. ``files`` has id and text."""
     spark, w = files.sparkSession, Weights(list(templates), least)
@@ -81,8 +124,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     has = lambda c: F.expr(" or ".join(f"contains({c}, '{a}')" for a in w.anchors))
     low = files.where("id is not null and text is not null").select("id", F.lower(F.col("text").cast("string")).alias("text")).where(has("text"))
     line = low.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(has("s"))
-    word = line.select("id", "line", F.explode(F.regexp_extract_all("s", F.lit("[a-z0-9]+"), 0)).alias("term"))
-    count = word.groupBy("id", "line", "term").agg(F.count("*").alias("n"))
+    word = line.select("id", "line", _words("s", w, least)).where("term is not null")
+    count = materialize(word.groupBy("id", "line", "term").agg(F.count("*").alias("n")), "license-lines")
     idf = F.create_map(*[F.lit(x) for p in w.idf.items() for x in p])
     count = count.withColumn("weight", (1 + F.log("n")) * F.coalesce(idf[F.col("term")], F.lit(w.other)))
     shares = spark.createDataFrame(w.rows, "license string, term string, share double")  # of bounded size, see TEMPLATE_BYTES
@@ -93,6 +136,59 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     return best.select("id", F.col("x.license").alias("license"), (-F.col("x.low")).alias("score"), F.col("x.line").alias("line"))
 
 
+def _any(c: str, anchors: list[str]) -> Column:
+    """Whether a lower-case text may have one of the terms; short ones are looked for as whole terms."""
+    long, short = [a for a in anchors if len(a) > 3], [a for a in anchors if len(a) <= 3]
+    tests = [f"contains({c}, '{a}')" for a in long] + [f"{c} rlike '(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])'"] * bool(short)
+    return F.expr(" or ".join(tests) or "false")
+
+
+def _units(files: DataFrame) -> DataFrame:
+    """(id, unit, no, s) of texts in lower case: lines, blocks and heads of several lines, and whole licence files."""
+    lines = F.split("text", "\n")
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), F.lit(True)).cast("int")
+    head = F.array_join(F.when(code > 0, F.slice(lines, 1, code - 1)).otherwise(lines), "\n")
+    several = lambda xs: F.filter(xs, lambda x: F.contains(F.trim(x), F.lit("\n")))
+    name = F.element_at(F.split("path", "/"), -1)
+    kinds = {"line": lines, "block": several(F.split("text", r"\n\s*\n")), "head": several(F.array(head)), "file": F.when(name.rlike(LICENCE_FILE), F.array("text")).otherwise(F.array())}
+    unit = lambda k: lambda s, i: F.struct(F.lit(k).alias("unit"), i.alias("no"), s.alias("s"))
+    every = F.concat(*[F.transform(x, unit(k)) for k, x in kinds.items()])
+    return files.select("id", F.explode_outer(every).alias("u")).select("id", "u.*").where("s is not null")
+
+
+def _best(units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(id, license, score, unit, no) of the units that reach ``least``. Of a licence with several templates each counts."""
+    spark, w = units.sparkSession, Weights([(f"{i}\n{name}", text) for i, (name, text) in enumerate(templates)], least)
+    word = units.select("id", "unit", "no", _words("s", w, least)).where("term is not null")
+    count = materialize(word.groupBy("id", "unit", "no", "term").agg(F.count("*").alias("n")), "license-units")
+    by_term: dict[str, list] = {t: [] for t in w.idf}
+    for key, t, share in w.rows:
+        by_term[t].append((key, share))
+    terms = spark.createDataFrame([(t, w.idf[t], x) for t, x in by_term.items()], "term string, idf double, t array<struct<key: string, share: double>>")  # of bounded size
+    count = count.join(F.broadcast(terms), "term", "left").withColumn("weight", (1 + F.log("n")) * F.coalesce("idf", F.lit(w.other)))
+    unit = ["id", "unit", "no"]
+    norm = count.groupBy(*unit).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dot = count.where("t is not null").select(*unit, "weight", F.inline("t")).groupBy(*unit, "key").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    return dot.join(norm, unit).select("id", F.substring_index("key", "\n", -1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "unit", "no").where(F.col("score") >= least)
+
+
+def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(id, license, score) of the files (id, path, text) with a licence of their own, by lines, headers or full text.
+
+    Ties: by name. Without templates there are no licences.
+    """
+    by_line = scan(files.select("id", "text"), templates, least).select("id", "license", "score")
+    if not templates:
+        return by_line
+    low = files.where("id is not null and text is not null").select("id", "path", F.lower(F.col("text").cast("string")).alias("text"))
+    anchors = Weights([(f"{i}\n{name}", text) for i, (name, text) in enumerate(HEADERS)], least).anchors
+    by_header = _best(_units(low.where(_any("text", anchors))), HEADERS, least)
+    whole = low.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("id", F.lit("file").alias("unit"), F.lit(0).alias("no"), F.col("text").alias("s"))
+    every = by_line.unionByName(by_header.select("id", "license", "score")).unionByName(_best(whole, FULL, least).select("id", "license", "score"))
+    best = every.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("x"))
+    return materialize(best.select("id", F.col("x.license").alias("license"), (-F.col("x.low")).alias("score")), "licenses")
+
+
 def folders(path: Column) -> Column:
     """Array of the directories above a path, the nearest first; '' is the root."""
     parts = F.split(path, "/")
@@ -102,7 +198,7 @@ def folders(path: Column) -> Column:
 
 def license_files(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """Per row of ``files`` (id, path, text): id, path, license, origin ('own', 'inherited' or null), from_dir, score."""
-    own = scan(files.select("id", "text"), templates, least)
+    own = own_licenses(files, templates, least)
     named = files.select("id", "path").join(own, "id", "left")
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"/?[^/]*$", "")
     licensed = named.where(F.col("license").isNotNull() & name.rlike(LICENCE_FILE))
