@@ -54,3 +54,16 @@ def test_conversation_state(spark):
         for r in turns:
             operation, s = conversation.interpret(phrases[(r.conv_id + r.turn) % 8], s, catalogue.KNOWN)
             assert (r.operation, r.semantic_query, r.media_type, r.sort, r.doctor_name, r.excluded) == (operation, s.semantic_query, s.media_type, s.sort, s.doctor_name, "|".join(s.excluded))
+
+
+def test_search_benchmark_ranks_every_document(spark, tmp_path):
+    docs = [(i, "alpha beta" if i in (7, 11) else "alpha" if i in (13, 200) else "gamma" if i == 300 else "other") for i in range(7, 320)]
+    items = [(1, "alpha beta"), (2, "gamma"), (3, "nowhere"), (4, None), (5, "beta")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for item, text in items:
+        order = sorted((-len(set(t.split()) & set((text or "").split())), i) for i, t in docs)
+        first = next(n for n, (_, i) in enumerate(order, 1) if i % 100 == 0)
+        want.add((item, first, first <= 3))
+    assert {tuple(r) for r in catalogue.search_benchmark(spark, str(tmp_path)).collect()} == want
