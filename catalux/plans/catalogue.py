@@ -570,7 +570,7 @@ def outcome_buckets(spark, sf_dir):
 
 @query("SELECT event_id, CAST(round((event_id * CAST(2.5 AS DECIMAL(10,6)) + user_id * CAST(10 AS DECIMAL(10,6))) / 1000000, 6) AS DECIMAL(18,6)) AS cost FROM (SELECT CAST(event_id AS DECIMAL(18,0)) AS event_id, CAST(user_id AS DECIMAL(18,0)) AS user_id FROM events WHERE event_id % 2 = 0)")
 def token_costs(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    e = fx.table(spark, sf_dir, "events")
     return e.select(F.col("event_id").cast("decimal(18,0)").alias("event_id"), shape.token_cost("event_id", "user_id", 2.5, 10).alias("cost"))
 
 

@@ -56,6 +56,13 @@ def test_conversation_state(spark):
             assert (r.operation, r.semantic_query, r.media_type, r.sort, r.doctor_name, r.excluded) == (operation, s.semantic_query, s.media_type, s.sort, s.doctor_name, "|".join(s.excluded))
 
 
+def test_token_costs_of_every_event(spark):
+    events = catalogue.fx.table(spark, SF, "events").select("event_id", "user_id").collect()
+    got = sorted((int(r.event_id), r.cost) for r in catalogue.token_costs(spark, SF).collect())
+    micro = lambda e: (decimal.Decimal(e.event_id) * decimal.Decimal("2.5") + e.user_id * 10) / 1_000_000
+    assert got == sorted((e.event_id, micro(e).quantize(decimal.Decimal("0.000001"), decimal.ROUND_HALF_UP)) for e in events)
+
+
 def test_search_benchmark_ranks_every_document(spark, tmp_path):
     docs = [(i, "alpha beta" if i in (7, 11) else "alpha" if i in (13, 200) else "gamma" if i == 300 else "other") for i in range(7, 320)]
     items = [(1, "alpha beta"), (2, "gamma"), (3, "nowhere"), (4, None), (5, "beta")]
