@@ -16,12 +16,14 @@ null ``item_id`` is left out. Items go to the executors in blocks of at most ``I
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, LOWER, NOT_WORD, materialize, read, text_steps, utf8, word_hash, words
@@ -30,7 +32,7 @@ from .windows import merge_spans, ranges
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 ITEM_BYTES = 32 << 20
-INDEX = "docs array<long>, n_words array<int>, terms binary, postings binary"
+INDEX = "segment string, docs array<long>, n_words array<int>, terms binary, postings binary"
 
 
 def _terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words = pa.array(np.diff(first).astype(np.int32))
         pack = lambda x: pa.array([x])
         one_list = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        yield pa.RecordBatch.from_arrays([one_list(b.column("doc_id")), one_list(n_words), pack(z.compress(terms)), pack(z.compress(planes.tobytes()))], ["docs", "n_words", "terms", "postings"])
+        yield pa.RecordBatch.from_arrays([pack(uuid.uuid4().hex), one_list(b.column("doc_id")), one_list(n_words), pack(z.compress(terms)), pack(z.compress(planes.tobytes()))], ["segment", "docs", "n_words", "terms", "postings"])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def match(items: Items, terms: bytes, postings: bytes, doc_of: np.ndarray, slop:
     return np.concatenate(out_w), np.concatenate(out_p)
 
 
-FOUND = "doc_id long, n_words long, n_hit long, matches array<struct<item_id: string, start: int, length: int>>"
+FOUND = "segment string, no int, doc_id long, n_words long, n_hit long, matches array<struct<item_id: string, start: int, length: int>>"
 
 
 def _search(rows: list[tuple[str, str]], window: int, slop: int):
@@ -143,7 +145,7 @@ def _search(rows: list[tuple[str, str]], window: int, slop: int):
         items, z = Items(rows, window), zstandard.ZstdDecompressor()
         kind = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
         for b in batches:
-            for docs, n_words, terms, postings in zip(*(b.column(x) for x in ("docs", "n_words", "terms", "postings")), strict=True):
+            for segment, docs, n_words, terms, postings in zip(*(b.column(x) for x in ("segment", "docs", "n_words", "terms", "postings")), strict=True):
                 n = np.asarray(n_words.values, np.int64)
                 first = np.concatenate([[0], np.cumsum(n)])
                 doc_of = np.repeat(np.arange(len(n)), n)
@@ -158,7 +160,7 @@ def _search(rows: list[tuple[str, str]], window: int, slop: int):
                 total = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1])])
                 cut = np.searchsorted(p, first)
                 flat = pa.StructArray.from_arrays([pa.array([items.ids[i] for i in items.item[w]] if len(w) else [], pa.string()), pa.array((p - first[doc_of[p]]).astype(np.int32) if len(p) else [], pa.int32()), pa.array(size.astype(np.int32))], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([docs.values, pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat)], ["doc_id", "n_words", "n_hit", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()] * len(n), pa.string()), pa.array(np.arange(len(n), dtype=np.int32)), docs.values, pa.array(n), pa.array(total[first[1:]] - total[first[:-1]]), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat)], ["segment", "no", "doc_id", "n_words", "n_hit", "matches"])
 
     return run
 
@@ -175,13 +177,22 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per indexed document: doc_id, n_words, n_hit and its matches (item_id as a string, first word, words).
 
-    With several blocks of items a document has a row for each block.
+    With several blocks of items the rows of a document, known by segment and number, are merged: the blocks' matches
+    together, by first word, and the words in any of their spans. ``index`` must then be stored: segment ids are random.
     """
-    found = None
-    for rows in item_blocks(items):
-        part = index.mapInArrow(_search(rows, window, slop), FOUND)
-        found = part if found is None else found.unionByName(part)
-    return found
+    parts = [index.mapInArrow(_search(rows, window, slop), FOUND) for rows in item_blocks(items)]
+    if len(parts) == 1:
+        return parts[0].drop("segment", "no")
+    found = reduce(DataFrame.unionByName, parts).groupBy("segment", "no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    found = found.withColumn("matches", F.array_sort("matches", lambda a, b: a["start"] - b["start"]))
+    # spans in order of their start: a word counts from where the last span ended
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def add(s: Column, m: Column) -> Column:
+        end = F.least(m["start"].cast("long") + m["length"], F.col("n_words"))
+        return F.struct((s["n"] + F.greatest(F.lit(0), end - F.greatest(s["end"], m["start"].cast("long")))).alias("n"), F.greatest(s["end"], end).alias("end"))
+
+    return found.select("doc_id", "n_words", F.aggregate("matches", start, add)["n"].alias("n_hit"), "matches")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -111,3 +111,15 @@ def test_proximity(spark):
     exact = {r.doc_id for r in decontaminate.search(index, items).collect() if r.matches}
     near = {r.doc_id for r in decontaminate.search(index, items, slop=1).collect() if r.matches}
     assert exact == {3} and near == {1, 3}
+
+
+def test_several_blocks_of_items(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["the", "of", "Été", "x1", "nd", "er"]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([2, 3, 12])))) for i in range(40)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 60)))) for i in range(40)] + [(None, items[0][1]), (3, items[1][1]), (3, items[1][1]), (50, None)]
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", sum(len(t.encode()) for _, t in items) // 3)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate.item_blocks(b))) > 2
+    assert sorted(map(tuple, decontaminate.contamination(d, b).collect()), key=str) == brute_contamination(docs, items)
