@@ -7,9 +7,9 @@ judged on the input: an earlier line counts even if it goes itself.
 1. Lines become (128-bit hash, length, position); equal lines are aggregated to their first position.
 2. A line of length l is cut into threshold + 1 segments. Of two lines within the threshold, one segment of the
    shorter occurs in the longer, near its place; the positions to probe depend on both lengths (multi-match-aware). Index
-   and probe keys are hashes of (length, segment number, bytes).
+   and probe keys are hashes of (length, segment number, bytes), made and joined for one segment number after the other.
 3. Keys that one line only has fall away in an aggregate. Within a key only the pairs of an index and a probe line meet.
-4. Candidate pairs fetch their lines by document and are verified by banded bit-parallel edit distance.
+4. Candidate pairs fetch their lines by document and are verified by edit distance with a bound.
 
 Null or empty texts have one empty line. Null ``doc_id``: kept whole, and no source. Rows of one id are versions of one
 document: their lines have equal positions, and what goes in one goes in the others.
@@ -17,12 +17,15 @@ document: their lines have equal positions, and what goes in one goes in the oth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, materialize, read, release
 
-THRESHOLD = 1
+#: Takes in a changed, added or dropped short word.
+THRESHOLD = 4
 MIN_BYTES = 32
 
 
@@ -45,16 +48,14 @@ def segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return small * (i - 1) + late + 1, small + F.when(F.lit(parts - i) < longer, 1).otherwise(0)
 
 
-def keys(raw: Column, length: Column, threshold: int) -> Column:
-    """Array of (key, probe): index keys of a line, and probe keys for lines as long or shorter."""
-    out = []
-    for i in range(1, threshold + 2):
-        start, size = segment(length, i, threshold)
-        out.append(F.struct(F.xxhash64(length, F.lit(i), F.substring(raw, start, size)).alias("key"), F.lit(False).alias("probe")))
-        for less in range(threshold + 1):
-            start, size = segment(length - less, i, threshold)
-            for shift in range(max(-(i - 1), less - (threshold + 1 - i)), min(i - 1, less + threshold + 1 - i) + 1):
-                out.append(F.struct(F.xxhash64(length - less, F.lit(i), F.substring(raw, start + shift, size)).alias("key"), F.lit(True).alias("probe")))
+def keys(raw: Column, length: Column, threshold: int, i: int) -> Column:
+    """Array of (key, probe) of the i-th segment: the index key of a line, and probe keys for lines as long or shorter."""
+    start, size = segment(length, i, threshold)
+    out = [F.struct(F.xxhash64(length, F.lit(i), F.substring(raw, start, size)).alias("key"), F.lit(False).alias("probe"))]
+    for less in range(threshold + 1):
+        start, size = segment(length - less, i, threshold)
+        for shift in range(max(-(i - 1), less - (threshold + 1 - i)), min(i - 1, less + threshold + 1 - i) + 1):
+            out.append(F.struct(F.xxhash64(length - less, F.lit(i), F.substring(raw, start + shift, size)).alias("key"), F.lit(True).alias("probe")))
     return F.array(*out)
 
 
@@ -100,33 +101,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return end["d"] + down <= threshold
 
 
-def common(a: Column, b: Column, most: Column, tail: bool = False) -> Column:
-    """Length of the common prefix (or suffix) of two byte strings, at most ``most``, by bisection with ever smaller powers of two."""
-
-    def same(n: Column) -> Column:
-        if tail:
-            return F.substring(a, F.length(a) - n + 1, n) == F.substring(b, F.length(b) - n + 1, n)
-        return F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)
-
-    powers = F.sequence(F.ceil(F.log2(most + 2)).cast("int"), F.lit(0), F.lit(-1))
-    return F.aggregate(powers, F.lit(0), lambda s, k: F.when((s + F.pow(F.lit(2), k).cast("int") <= most) & same(s + F.pow(F.lit(2), k).cast("int")), s + F.pow(F.lit(2), k).cast("int")).otherwise(s))
-
-
 def near_lines(pairs: DataFrame, threshold: int) -> DataFrame:
-    """The rows of ``pairs`` (long, short: byte strings) within ``threshold`` edits.
-
-    Equal ends, all but ``threshold + 1`` bytes of the shorter line at most, are cut off first; they don't change the
-    distance. With one edit, what is left of a near pair is a few bytes; other pairs need no distance.
-    """
-    least = F.lit(threshold + 1)
-    df = pairs.withColumn("_head", common(F.col("long"), F.col("short"), F.greatest(F.length("short") - least, F.lit(0))))
-    df = df.withColumn("_tail", common(F.col("long"), F.col("short"), F.greatest(F.length("short") - least - F.col("_head"), F.lit(0)), tail=True))
-    mid = lambda c: F.substring(F.col(c), F.col("_head") + 1, F.length(c) - F.col("_head") - F.col("_tail"))
-    df = df.withColumns({"_a": mid("long"), "_b": mid("short")})
-    near = within(F.col("_a"), F.col("_b"), threshold)
-    if threshold == 1:
-        near = F.when(F.length("_a") <= 2 * threshold + 2, near).otherwise(False)
-    return df.where(near).drop("_head", "_tail", "_a", "_b")
+    """The rows of ``pairs`` (long, short: byte strings) within ``threshold`` edits, of bytes: each is decoded as one character."""
+    one = lambda c: F.decode(c, "ISO-8859-1")
+    return pairs.where(F.levenshtein(one("long"), one("short"), threshold) >= 0)
 
 
 def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -136,14 +114,17 @@ def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_B
     place = F.struct("doc_id", "no")
     first = materialize(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
     length = F.octet_length("line")
-    keyed = lines.select("a", "b", F.explode(F.array_distinct(keys(F.col("line").cast("binary"), length, threshold))).alias("k")).select("a", "b", "k.key", "k.probe")
-    mixed = keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("probe").alias("p")).where("lo < hi and not p").select("key")
-    shared = materialize(keyed.join(mixed, "key").distinct(), "lines-keys")
-    del keyed, mixed
-    release(spark)
-    x = shared.where("probe").select("key", F.col("a").alias("a1"), F.col("b").alias("b1"))
-    y = shared.where("not probe").select("key", F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pair = x.join(y, "key").where("a1 <> a2 or b1 <> b2").select("a1", "b1", "a2", "b2").distinct()
+    parts = []
+    for i in range(1, threshold + 2):  # a segment number at a time: keys of different numbers don't meet, and the shuffles are smaller
+        keyed = lines.select("a", "b", F.explode(F.array_distinct(keys(F.col("line").cast("binary"), length, threshold, i))).alias("k")).select("a", "b", "k.key", "k.probe")
+        mixed = keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("probe").alias("p")).where("lo < hi and not p").select("key")
+        shared = materialize(keyed.join(mixed, "key").distinct(), "lines-keys")
+        del keyed, mixed
+        release(spark)
+        x = shared.where("probe").select("key", F.col("a").alias("a1"), F.col("b").alias("b1"))
+        y = shared.where("not probe").select("key", F.col("a").alias("a2"), F.col("b").alias("b2"))
+        parts.append(x.join(y, "key").where("a1 <> a2 or b1 <> b2").select("a1", "b1", "a2", "b2"))
+    pair = reduce(DataFrame.unionByName, parts).distinct()
     at = lambda i: first.select(F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}"), F.col("first").alias(f"f{i}"))
     pair = materialize(pair.join(at(1), ["a1", "b1"]).join(at(2), ["a2", "b2"]), "lines-pairs")
     wanted = pair.select(F.explode(F.array("f1", "f2")).alias("f")).select("f.*").distinct()

@@ -79,3 +79,10 @@ def test_dedup_lines(spark, k):
 
 def test_dedup_lines_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_default_takes_in_a_short_word(spark):
+    line = "ne er tion of that orinre and then some more words follow here"
+    texts = [line, line.replace("of that", "of at"), line.replace("and then", "and of then"), line.replace("then", "zzzz"), line.replace("some more", "quite another")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_near for r in line_dedup.dedup_lines(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
