@@ -1,7 +1,7 @@
 """Line dedup: a segment-partition edit join, in DataFrame functions only.
 
-A line is a piece of a text between ``\\n``. Lines of ``min_bytes`` UTF-8 bytes or more take part; shorter and blank lines
-stay. A line goes if an earlier one, by (doc_id, number), is equal or within ``threshold`` edits of bytes. Lines are
+A line is a piece of a text between ``\\n``. Lines of ``min_bytes`` UTF-8 bytes or more take part; of shorter ones
+that are not blank exact repeats go, from ``exact_bytes`` on, if given. A line goes if an earlier one, by (doc_id, number), is equal or within ``threshold`` edits of bytes. Lines are
 judged on the input: an earlier line counts even if it goes itself.
 
 1. Lines become (128-bit hash, length, position); equal lines are aggregated to their first position.
@@ -27,6 +27,8 @@ from .common import DOC_COLUMNS, materialize, read, release
 #: Takes in a changed, added or dropped short word.
 THRESHOLD = 4
 MIN_BYTES = 32
+#: Of exact repeats: lines that are not blank and have so many bytes.
+EXACT_BYTES = 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,8 +37,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return src.select("doc_id", F.posexplode("lines").alias("no", "line"))
 
 
-def _identity(lines: DataFrame, min_bytes: int) -> DataFrame:
-    raw = lines.where(F.octet_length("line") >= min_bytes)
+def _identity(lines: DataFrame, min_bytes: int, exact_bytes: int | None = None) -> DataFrame:
+    taken = F.octet_length("line") >= min_bytes
+    if exact_bytes is not None:
+        taken = taken | ((F.octet_length("line") >= exact_bytes) & F.expr(r"trim(BOTH ' \t\r' FROM line) <> ''"))
+    raw = lines.where(taken)
     return raw.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
 
 
@@ -107,16 +112,16 @@ def near_lines(pairs: DataFrame, threshold: int) -> DataFrame:
     return pairs.where(F.levenshtein(one("long"), one("short"), threshold) >= 0)
 
 
-def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(a, b, doc_id, no, near): first position of each line that repeats or is near an earlier one."""
     spark = docs.sparkSession
-    lines = _identity(_lines(docs), min_bytes)
+    lines = _identity(_lines(docs), min_bytes, exact_bytes)
     place = F.struct("doc_id", "no")
     first = materialize(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
     length = F.octet_length("line")
     parts = []
     for i in range(1, threshold + 2):  # a segment number at a time: keys of different numbers don't meet, and the shuffles are smaller
-        keyed = lines.select("a", "b", F.explode(F.array_distinct(keys(F.col("line").cast("binary"), length, threshold, i))).alias("k")).select("a", "b", "k.key", "k.probe")
+        keyed = lines.where(length >= min_bytes).select("a", "b", F.explode(F.array_distinct(keys(F.col("line").cast("binary"), length, threshold, i))).alias("k")).select("a", "b", "k.key", "k.probe")
         mixed = keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("probe").alias("p")).where("lo < hi and not p").select("key")
         shared = materialize(keyed.join(mixed, "key").distinct(), "lines-keys")
         del keyed, mixed
@@ -141,17 +146,17 @@ def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_B
     return materialize(both.select("a", "b", "first.doc_id", "first.no", F.coalesce("near", F.lit(False)).alias("near")), "lines-verdicts")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(doc_id, gone): the numbers of the lines that go, for each document with any."""
-    judged = verdicts(docs, threshold, min_bytes).withColumnsRenamed({"doc_id": "first_doc", "no": "first_no"})
-    lines = _identity(_lines(docs), min_bytes).select("doc_id", "no", "a", "b")
+    judged = verdicts(docs, threshold, min_bytes, exact_bytes).withColumnsRenamed({"doc_id": "first_doc", "no": "first_no"})
+    lines = _identity(_lines(docs), min_bytes, exact_bytes).select("doc_id", "no", "a", "b")
     gone = lines.join(judged, ["a", "b"]).where("near or doc_id > first_doc or (doc_id = first_doc and no > first_no)")
     return gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_removed, n_near (removed lines whose text is near an earlier one) and kept (text)."""
-    gone = removed_lines(docs, threshold, min_bytes).withColumnsRenamed({"doc_id": "_doc", "gone": "_gone", "n_near": "_near"})
+    gone = removed_lines(docs, threshold, min_bytes, exact_bytes).withColumnsRenamed({"doc_id": "_doc", "gone": "_gone", "n_near": "_near"})
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("_gone", y["i"]))
@@ -163,13 +168,13 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MI
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_near, kept_sha256."""
-    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_bytes=EXACT_BYTES)
     return found.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The columns of ``documents``: texts without the lines that go; documents of which nothing is left go."""
-    found = dedup_lines(docs.select(*DOC_COLUMNS))
+    found = dedup_lines(docs.select(*DOC_COLUMNS), exact_bytes=EXACT_BYTES)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = found.where("n_removed = 0 or trim(BOTH ' \\t\\n\\r' FROM kept) <> ''").withColumn("text", text)
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

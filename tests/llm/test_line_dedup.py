@@ -86,3 +86,8 @@ def test_default_takes_in_a_short_word(spark):
     texts = [line, line.replace("of that", "of at"), line.replace("and then", "and of then"), line.replace("then", "zzzz"), line.replace("some more", "quite another")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.n_near for r in line_dedup.dedup_lines(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_exact_repeats_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "short\n\n  \nshort", "en", "s", 15), (2, "short\nshor\n\n  \t", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in line_dedup.stage(docs).collect()} == {1: "short\n\n  ", 2: "shor\n\n  \t"}
