@@ -4,22 +4,29 @@ A line is a piece of a text between ``\\n``. Lines of ``min_bytes`` UTF-8 bytes
 that are not blank exact repeats go, from ``exact_bytes`` on, if given. A line goes if an earlier one, by (doc_id, number), is equal or within ``threshold`` edits of bytes. Lines are
 judged on the input: an earlier line counts even if it goes itself.
 
-1. Lines become (128-bit hash, length, position); equal lines are aggregated to their first position.
-2. A line of length l is cut into threshold + 1 segments. Of two lines within the threshold, one segment of the
-   shorter occurs in the longer, near its place; the positions to probe depend on both lengths (multi-match-aware). Index
-   and probe keys are hashes of (length, segment number, bytes), made and joined for one segment number after the other.
-3. Keys that one line only has fall away in an aggregate. Within a key only the pairs of an index and a probe line meet.
-4. Candidate pairs fetch their lines by document and are verified by edit distance with a bound.
-
-Null or empty texts have one empty line. Null ``doc_id``: kept whole, and no source. Rows of one id are versions of one
-document: their lines have equal positions, and what goes in one goes in the others.
+1. Equal lines are aggregated to their first position: what follows sees distinct lines only.
+2. Lengths fall into classes whose bounds grow by a quarter. The first bytes of a line, as many as its class has at
+   least, are cut into threshold + 1 equal segments. Of two lines within the threshold one segment of the shorter
+   occurs in the longer near its place: if i is the first number for which the first i segments have fewer than i
+   edits, segment i has none and is displaced by less than i; the edits that are left bound the displacement from
+   the other side. Keys are hashes of (class, segment number, bytes): a line's own segments, and displaced
+   substrings that it is probed with, in the class of lines up to ``threshold`` bytes shorter too.
+3. Keys are dealt out once; those of one line only fall away by a window of the key.
+4. The lines of a key meet in blocks of ``BLOCK``: a key of m lines makes m / BLOCK rows for each, never pairs. In a block pair
+   each line looks for an earlier one, by length, then ``levenshtein`` with a bound, then the banded bit-parallel distance.
+   A pair is verified under the first key that it has in common only.
+
+Null or empty texts have one empty line. Null ``doc_id``: kept whole, and no source. Rows of one id are separate
+documents; of two lines at the same (doc_id, number) neither is earlier. Columns of the input may have any names; n_lines,
+n_removed, n_near and kept are replaced. An empty table gives an empty one. Very long lines are compared whole.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, materialize, read, release
@@ -31,37 +38,63 @@ MIN_BYTES = 32
 EXACT_BYTES = 1
 
 
+def _doc_id() -> Column:
+    return F.col("doc_id").try_cast("long")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, line) of the lines of rows with an id and a text."""
-    src = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
-    return src.select("doc_id", F.posexplode("lines").alias("no", "line"))
+    """(doc_id, t, no, line) of the lines of rows with an id and a text; ``t`` tells the texts of one id apart."""
+    src = docs.select(_doc_id().alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return src.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
-def _identity(lines: DataFrame, min_bytes: int, exact_bytes: int | None = None) -> DataFrame:
+def _taken(lines: DataFrame, min_bytes: int, exact_bytes: int | None = None) -> DataFrame:
     taken = F.octet_length("line") >= min_bytes
     if exact_bytes is not None:
         taken = taken | ((F.octet_length("line") >= exact_bytes) & F.expr(r"trim(BOTH ' \t\r' FROM line) <> ''"))
-    raw = lines.where(taken)
-    return raw.withColumns({"a": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")})
+    return lines.where(taken)
+
+
+#: Lines of one key that meet at a time.
+BLOCK = 64
+#: Each class of lengths begins at so many times the begin of the class before it.
+GROWTH = 1.25
+#: Segment numbers whose keys are dealt out together: shuffles of one round are gone before the next.
+ROUND = 2
+
+
+def length_class(length: Column, least: int) -> Column:
+    """The least length of the class that a length (``least`` or more) is in."""
+    begin = lambda c: F.floor(F.lit(float(least)) * F.pow(F.lit(GROWTH), c)).cast("int")
+    c = F.floor(F.log(length / F.lit(float(least))) / math.log(GROWTH))
+    return F.when(begin(c + 1) <= length, begin(c + 1)).when(begin(c) <= length, begin(c)).otherwise(begin(c - 1))
+
+
+def displacements(i: int, threshold: int) -> range:
+    """Where the i-th segment of the shorter line may be in the longer one."""
+    return range(max(-(i - 1), i - threshold - 1), min(i - 1, 2 * threshold + 1 - i) + 1)
+
 
+def segment(raw: Column, begin: Column, threshold: int, i: Column | int, s: Column | int = 0) -> Column:
+    """The bytes of the i-th segment of a class, displaced by s."""
+    w = (begin / (threshold + 1)).cast("int")
+    return F.substring(raw, w * (i - 1) + 1 + s, w)
 
-def segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of the i-th (from 1) segment of a line: even sizes, the last ones one longer."""
-    parts = threshold + 1
-    small, longer = (length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    late = F.greatest(F.lit(0), longer - (parts - i + 1))  # longer segments before this one
-    return small * (i - 1) + late + 1, small + F.when(F.lit(parts - i) < longer, 1).otherwise(0)
 
+def keys(raw: Column, mine: Column, below: Column, threshold: int, numbers: range) -> Column:
+    """Array of keys of the segments of these numbers (from 1): first a line's own, one for each number, then displaced ones.
 
-def keys(raw: Column, length: Column, threshold: int, i: int) -> Column:
-    """Array of (key, probe) of the i-th segment: the index key of a line, and probe keys for lines as long or shorter."""
-    start, size = segment(length, i, threshold)
-    out = [F.struct(F.xxhash64(length, F.lit(i), F.substring(raw, start, size)).alias("key"), F.lit(False).alias("probe"))]
-    for less in range(threshold + 1):
-        start, size = segment(length - less, i, threshold)
-        for shift in range(max(-(i - 1), less - (threshold + 1 - i)), min(i - 1, less + threshold + 1 - i) + 1):
-            out.append(F.struct(F.xxhash64(length - less, F.lit(i), F.substring(raw, start + shift, size)).alias("key"), F.lit(True).alias("probe")))
-    return F.array(*out)
+    ``mine`` and ``below`` are the class of the line and that of lines ``threshold`` bytes shorter.
+    """
+    shifts = [(i, s) for i in numbers for s in displacements(i, threshold)]
+    own = [(i, 0) for i in numbers] + [x for x in shifts if x[1]]
+
+    def of(begin: Column, places: list[tuple[int, int]]) -> Column:
+        place = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in places])
+        # a function of an array of literals: as 20 and more expressions of a projection they are too long for the JIT
+        return F.transform(place, lambda x: F.xxhash64(begin, x["i"], segment(raw, begin, threshold, x["i"], x["s"])))
+
+    return F.when(mine == below, of(mine, own)).otherwise(F.concat(of(mine, own), of(below, shifts)))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -107,63 +140,112 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def near_lines(pairs: DataFrame, threshold: int) -> DataFrame:
-    """The rows of ``pairs`` (long, short: byte strings) within ``threshold`` edits, of bytes: each is decoded as one character."""
+    """The rows of ``pairs`` (long, short: byte strings) within ``threshold`` edits."""
+    return pairs.where(_near("long", "short", threshold))
+
+
+def _near(long: Column | str, short: Column | str, threshold: int) -> Column:
+    """``levenshtein`` (each byte decoded as a character) says no at once; the bit-parallel distance of what differs confirms."""
+    long, short = (F.col(x) if isinstance(x, str) else x for x in (long, short))
     one = lambda c: F.decode(c, "ISO-8859-1")
-    return pairs.where(F.levenshtein(one("long"), one("short"), threshold) >= 0)
+    middle = F.exists(F.array(without_ends(long, short, threshold)), lambda z: within(z["l"], z["s"], threshold))
+    return (F.levenshtein(one(long), one(short), threshold) >= 0) & middle
+
+
+def without_ends(long: Column, short: Column, threshold: int) -> Column:
+    """Struct (l, s): the two without common ends, which do not change the distance; s keeps ``threshold`` bytes or more.
+
+    Common ends are found by bisection, up to 2 ** 21 bytes each.
+    """
+    most = F.length(short) - threshold
+    part = {True: lambda c, k: F.substring(c, F.lit(1), k), False: lambda c, k: F.substring(c, -k, k)}
+
+    def common(front: bool) -> Column:
+        def step(n: Column, more: Column) -> Column:
+            k = n + more
+            return F.when((k <= most) & (part[front](long, k) == part[front](short, k)), k).otherwise(n)
+
+        return F.aggregate(F.array(*[F.lit(1 << i) for i in range(20, -1, -1)]), F.lit(0), step)
+
+    both = F.transform(F.array(F.struct(common(True).alias("p"), common(False).alias("q"))), lambda z: F.struct(z["p"].alias("p"), F.least(z["q"], most - z["p"]).alias("q")))
+    return F.transform(both, lambda z: F.struct(*[F.substring(c, z["p"] + 1, F.length(c) - z["p"] - z["q"]).alias(n) for c, n in ((long, "l"), (short, "s"))]))[0]
+
+
+def distinct_lines(docs: DataFrame, min_bytes: int, exact_bytes: int | None = None) -> DataFrame:
+    """(line, first, n): each line that takes part, its first position and how often it is there."""
+    lines = _taken(_lines(docs), min_bytes, exact_bytes)
+    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"))
+
+
+def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
+    """(id) of the lines (id, line, first) that are within ``threshold`` edits of an earlier one."""
+    size = F.octet_length("line")
+    shorter = F.greatest(size - threshold, F.lit(min_bytes))
+    long = lines.where(size >= min_bytes).select("id", "first", F.col("line").cast("binary").alias("raw"), length_class(size, min_bytes).alias("mine"), length_class(shorter, min_bytes).alias("below"))
+    found = []
+    for begin in range(1, threshold + 2, ROUND):
+        numbers = range(begin, min(begin + ROUND, threshold + 2))
+        keyed = long.select("id", F.posexplode(keys(F.col("raw"), F.col("mine"), F.col("below"), threshold, numbers)).alias("at", "key"))
+        keyed = keyed.select("id", "key", (F.col("at") < len(numbers)).alias("own"))
+        key = Window.partitionBy("key")
+        met = keyed.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key), "any": F.max("own").over(key), "m": F.count("*").over(key)})
+        found.append(materialize(met.where("any and lo < hi").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("m").alias("m")), "lines-keys"))
+        del keyed, met
+        release(lines.sparkSession)
+    member = reduce(DataFrame.unionByName, found).join(long, "id")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    member = member.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
+    place = F.struct("id", "own", "first", "block", F.length("raw").alias("size"), "raw", "mine").alias("x")
+    member = member.select("key", place, "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    group = member.groupBy("key", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).agg(F.collect_list("x").alias("xs"))
+
+    def hit(x: Column, y: Column) -> Column:
+        """Whether y is an earlier line near x; of two blocks only lines of different ones are compared."""
+        more = x["size"] - y["size"]
+        far = (F.col("p") == F.col("q")) | (x["block"] != y["block"])
+        # the shorter line's own segment, of two of one length the earlier line's, is the one that is looked for
+        pair = F.array(F.when(more >= 0, F.struct(x["raw"].alias("l"), y.alias("s"))).otherwise(F.struct(y["raw"].alias("l"), x.alias("s"))))
+        return (y["first"] < x["first"]) & more.between(-threshold, threshold) & far & F.exists(pair, lambda z: here(z["l"], z["s"]) & _near(z["l"], z["s"]["raw"], threshold))
+
+    def here(long: Column, short: Column) -> Column:
+        """Whether the key is that of the first segment that the two have in common, so that a pair is verified once."""
+        own = lambda i: segment(short["raw"], short["mine"], threshold, i)
+        met = lambda i: F.exists(F.array(*map(F.lit, displacements(i, threshold))), lambda s: segment(long, short["mine"], threshold, i, s) == own(i))
+        which = F.coalesce(*[F.when(met(i), F.xxhash64(short["mine"], F.lit(i), own(i))) for i in range(1, threshold + 2)], F.lit(0).cast("long"))
+        return short["own"] & (which == F.col("key"))
+
+    near = group.select(F.explode(F.filter("xs", lambda x: F.exists("xs", lambda y: hit(x, y)))).alias("x")).select("x.id").distinct()
+    return materialize(near, "lines-near")
 
 
 def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(a, b, doc_id, no, near): first position of each line that repeats or is near an earlier one."""
-    spark = docs.sparkSession
-    lines = _identity(_lines(docs), min_bytes, exact_bytes)
-    place = F.struct("doc_id", "no")
-    first = materialize(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "lines-first")
-    length = F.octet_length("line")
-    parts = []
-    for i in range(1, threshold + 2):  # a segment number at a time: keys of different numbers don't meet, and the shuffles are smaller
-        keyed = lines.where(length >= min_bytes).select("a", "b", F.explode(F.array_distinct(keys(F.col("line").cast("binary"), length, threshold, i))).alias("k")).select("a", "b", "k.key", "k.probe")
-        mixed = keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.min("probe").alias("p")).where("lo < hi and not p").select("key")
-        shared = materialize(keyed.join(mixed, "key").distinct(), "lines-keys")
-        del keyed, mixed
-        release(spark)
-        x = shared.where("probe").select("key", F.col("a").alias("a1"), F.col("b").alias("b1"))
-        y = shared.where("not probe").select("key", F.col("a").alias("a2"), F.col("b").alias("b2"))
-        parts.append(x.join(y, "key").where("a1 <> a2 or b1 <> b2").select("a1", "b1", "a2", "b2"))
-    pair = reduce(DataFrame.unionByName, parts).distinct()
-    at = lambda i: first.select(F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}"), F.col("first").alias(f"f{i}"))
-    pair = materialize(pair.join(at(1), ["a1", "b1"]).join(at(2), ["a2", "b2"]), "lines-pairs")
-    wanted = pair.select(F.explode(F.array("f1", "f2")).alias("f")).select("f.*").distinct()
-    held = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.groupBy("doc_id").agg(F.collect_set("no").alias("nos")), "doc_id")
-    text = held.select("doc_id", F.explode("nos").alias("no"), "text").select(F.struct("doc_id", "no").alias("f"), F.element_at(F.split("text", "\n"), F.col("no") + 1).cast("binary").alias("line"))
-    text = text.where("line is not null").groupBy("f").agg(F.max("line").alias("line"))
-    side = lambda i: text.select(F.col("f").alias(f"f{i}"), F.col("line").alias(f"l{i}"))
-    near = pair.join(side(1), "f1").join(side(2), "f2")
-    long, short = [F.when(F.length("l1") >= F.length("l2"), F.col(p)).otherwise(F.col(q)) for p, q in (("l1", "l2"), ("l2", "l1"))]
-    near = near_lines(near.withColumns({"long": long, "short": short}), threshold)
-    later = F.when(F.col("f1") > F.col("f2"), F.struct(F.col("a1").alias("a"), F.col("b1").alias("b"))).otherwise(F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))
-    late = near.select(later.alias("x")).select("x.a", "x.b", F.lit(True).alias("near")).distinct()
-    both = first.join(late, ["a", "b"], "left").where("n > 1 or near")
-    return materialize(both.select("a", "b", "first.doc_id", "first.no", F.coalesce("near", F.lit(False)).alias("near")), "lines-verdicts")
+    lines = materialize(distinct_lines(docs, min_bytes, exact_bytes).withColumn("id", F.xxhash64("line")), "lines")
+    release(docs.sparkSession)
+    late = near_earlier(lines, threshold, min_bytes).withColumn("near", F.lit(True))
+    both = lines.join(late, "id", "left").where("n > 1 or near")
+    return both.select(F.col("id").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "first.doc_id", "first.no", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(doc_id, gone): the numbers of the lines that go, for each document with any."""
-    judged = verdicts(docs, threshold, min_bytes, exact_bytes).withColumnsRenamed({"doc_id": "first_doc", "no": "first_no"})
-    lines = _identity(_lines(docs), min_bytes, exact_bytes).select("doc_id", "no", "a", "b")
+    judged = materialize(verdicts(docs, threshold, min_bytes, exact_bytes), "lines-verdicts").withColumnsRenamed({"doc_id": "first_doc", "no": "first_no"})
+    lines = _taken(_lines(docs), min_bytes, exact_bytes).select("doc_id", "t", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     gone = lines.join(judged, ["a", "b"]).where("near or doc_id > first_doc or (doc_id = first_doc and no > first_no)")
-    return gone.groupBy("doc_id").agg(F.collect_set("no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
+    return gone.groupBy("doc_id", "t").agg(F.collect_set("no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs`` with n_lines, n_removed, n_near (removed lines whose text is near an earlier one) and kept (text)."""
-    gone = removed_lines(docs, threshold, min_bytes, exact_bytes).withColumnsRenamed({"doc_id": "_doc", "gone": "_gone", "n_near": "_near"})
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    stay = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("_gone", y["i"]))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda y: y["x"]), "\n"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near", "kept")]
+    src = docs.select(F.struct(*own).alias("row"), _doc_id().alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("t"))
+    joined = src.join(removed_lines(docs, threshold, min_bytes, exact_bytes), ["doc_id", "t"], "left")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    stay = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    removed = F.when(F.col("_gone").isNotNull(), F.size(F.array_intersect("_gone", F.sequence(F.lit(0), F.size(lines) - 1))))
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": n(removed), "n_near": n(F.col("_near")), "kept": kept}).drop("_doc", "_gone", "_near")
+    found = joined.select("row", F.size(lines).cast("long").alias("n_lines"), n(F.size("gone")).alias("n_removed"), n(F.col("n_near")).alias("n_near"), kept.alias("kept"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in own], "n_lines", "n_removed", "n_near", "kept")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
