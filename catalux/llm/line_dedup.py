@@ -42,6 +42,11 @@ def _doc_id() -> Column:
     return F.col("doc_id").try_cast("long")
 
 
+def _place() -> Column:
+    """(doc_id, no) as one number, in their order: a hash aggregate can hold its minimum."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")).cast("decimal(32,0)")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, t, no, line) of the lines of rows with an id and a text; ``t`` tells the texts of one id apart."""
     src = docs.select(_doc_id().alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -172,9 +177,9 @@ def without_ends(long: Column, short: Column, threshold: int) -> Column:
 
 
 def distinct_lines(docs: DataFrame, min_bytes: int, exact_bytes: int | None = None) -> DataFrame:
-    """(line, first, n): each line that takes part, its first position and how often it is there."""
+    """(line, first, n): each line that takes part, its first place and how often it is there."""
     lines = _taken(_lines(docs), min_bytes, exact_bytes)
-    return lines.groupBy("line").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"))
+    return lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
 
 
 def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
@@ -215,23 +220,27 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
         return short["own"] & (which == F.col("key"))
 
     near = group.select(F.explode(F.filter("xs", lambda x: F.exists("xs", lambda y: hit(x, y)))).alias("x")).select("x.id").distinct()
-    return materialize(near, "lines-near")
+    near = materialize(near, "lines-near")
+    del group, member
+    release(lines.sparkSession)
+    return near
 
 
 def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
-    """(a, b, doc_id, no, near): first position of each line that repeats or is near an earlier one."""
+    """(a, b, first, near): first place of each line that repeats or is near an earlier one."""
     lines = materialize(distinct_lines(docs, min_bytes, exact_bytes).withColumn("id", F.xxhash64("line")), "lines")
     release(docs.sparkSession)
     late = near_earlier(lines, threshold, min_bytes).withColumn("near", F.lit(True))
     both = lines.join(late, "id", "left").where("n > 1 or near")
-    return both.select(F.col("id").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "first.doc_id", "first.no", F.coalesce("near", F.lit(False)).alias("near"))
+    return both.select(F.col("id").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(doc_id, gone): the numbers of the lines that go, for each document with any."""
-    judged = materialize(verdicts(docs, threshold, min_bytes, exact_bytes), "lines-verdicts").withColumnsRenamed({"doc_id": "first_doc", "no": "first_no"})
-    lines = _taken(_lines(docs), min_bytes, exact_bytes).select("doc_id", "t", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    gone = lines.join(judged, ["a", "b"]).where("near or doc_id > first_doc or (doc_id = first_doc and no > first_no)")
+    judged = materialize(verdicts(docs, threshold, min_bytes, exact_bytes), "lines-verdicts")
+    release(docs.sparkSession)
+    lines = _taken(_lines(docs), min_bytes, exact_bytes).select("doc_id", "t", "no", _place().alias("place"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
+    gone = lines.join(judged, ["a", "b"]).where("near or place > first")
     return gone.groupBy("doc_id", "t").agg(F.collect_set("no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
 
 
@@ -262,11 +271,16 @@ def stage(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
+# places of a line: (doc_id, no); near lines are looked for among those that have one of five parts in common, which loses none:
+# four edits leave one part as it is.
 OP6_SQL = """
 WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-e AS (SELECT * FROM l WHERE strlen(line) >= 32),
-f AS (SELECT line, strlen(line) AS n, min(struct_pack(doc_id := doc_id, no := no)) AS first FROM e GROUP BY line),
-near AS (SELECT DISTINCT x.line FROM f x JOIN f y ON y.n IN (x.n - 1, x.n, x.n + 1) AND y.first < x.first AND levenshtein(x.line, y.line) <= 1),
+e AS (SELECT * FROM l WHERE strlen(line) >= 32 OR trim(line, ' ' || chr(9) || chr(13)) <> ''),
+f AS (SELECT line, strlen(line) AS n, CAST(length(line) // 5 AS INTEGER) AS w, min(struct_pack(doc_id := doc_id, no := no)) AS first FROM e GROUP BY line),
+g AS (SELECT * FROM f WHERE n >= 32),
+near AS (SELECT DISTINCT CASE WHEN y.first < x.first THEN x.line ELSE y.line END AS line FROM g x JOIN g y ON y.n BETWEEN x.n - 4 AND x.n + 4 AND x.line < y.line
+         AND (contains(y.line, x.line[1:x.w]) OR contains(y.line, x.line[x.w + 1:2 * x.w]) OR contains(y.line, x.line[2 * x.w + 1:3 * x.w]) OR contains(y.line, x.line[3 * x.w + 1:4 * x.w]) OR contains(y.line, x.line[4 * x.w + 1:5 * x.w]))
+         AND levenshtein(x.line, y.line) <= 4),
 gone AS (SELECT e.doc_id, count(DISTINCT e.no) AS n_removed, count(DISTINCT CASE WHEN near.line IS NOT NULL THEN e.no END) AS n_near, list(DISTINCT e.no) AS nos
          FROM e JOIN f ON e.line = f.line LEFT JOIN near ON e.line = near.line WHERE near.line IS NOT NULL OR struct_pack(doc_id := e.doc_id, no := e.no) > f.first GROUP BY e.doc_id)
 SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
