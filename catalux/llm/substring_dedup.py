@@ -46,7 +46,7 @@ OCCURRENCE = "h long, c long, d long, doc_id long, start int, n int, prv long, n
 
 def _occurrences(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, shared, _ in unpacked(batches):
+        for ids, _, texts, shared, _ in unpacked(batches):
             s, offsets, _ = symbols(texts, "word")
             doc, first, count, h = runs(s, offsets, length, k)
             ok = listed(doc, h, *shared)

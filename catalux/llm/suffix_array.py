@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Above so many names, the shortened string is sorted by doubled ranks instead of bucket by bucket.
+#: Above so many symbols suffixes are induced one at a time; a step for each bucket would cost more. Both are linear.
 MOST_BUCKETS = 2048
 
 
@@ -83,22 +83,30 @@ def induce(x: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return np.concatenate([y for c in range(sigma) for y in (left[c], right[c])])
 
 
-def _doubled(x: np.ndarray) -> np.ndarray:
-    n = len(x)
-    rank, h = np.unique(x, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + second
-        sa = np.argsort(key, kind="stable")
-        k = key[sa]
-        new = np.zeros(n, np.int64)
-        new[1:] = np.cumsum(k[1:] != k[:-1])
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        if new[-1] == n - 1:
-            return sa
-        h *= 2
+def induce_singly(x: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """``induce`` for alphabets nearly as large as the text: two scans, one suffix at a time."""
+    count = np.bincount(x, minlength=sigma)
+    last = np.cumsum(count)
+    head, tail = (last - count).tolist(), last.tolist()
+    symbol, small, out = x.tolist(), is_s.tolist(), [-1] * len(x)
+    for p in lms[::-1].tolist():
+        c = symbol[p]
+        tail[c] -= 1
+        out[tail[c]] = p
+    for i in range(len(x)):
+        p = out[i] - 1
+        if p >= 0 and not small[p]:
+            c = symbol[p]
+            out[head[c]] = p
+            head[c] += 1
+    tail = last.tolist()
+    for i in range(len(x) - 1, -1, -1):
+        p = out[i] - 1
+        if p >= 0 and small[p]:
+            c = symbol[p]
+            tail[c] -= 1
+            out[tail[c]] = p
+    return np.array(out, lms.dtype)
 
 
 def suffix_array(x: np.ndarray, sigma: int | None = None) -> np.ndarray:
@@ -116,9 +124,10 @@ def suffix_array(x: np.ndarray, sigma: int | None = None) -> np.ndarray:
     is_lms[1:] &= ~is_s[:-1]
     is_lms[0] = False
     lms = np.flatnonzero(is_lms).astype(np.int32 if n < 1 << 31 else np.int64)
+    sort = induce if sigma <= MOST_BUCKETS else induce_singly
     if len(lms) < 2:
-        return induce(y, is_s, lms, sigma)[1:]
-    order = induce(y, is_s, lms, sigma)
+        return sort(y, is_s, lms, sigma)[1:]
+    order = sort(y, is_s, lms, sigma)
     order = order[is_lms[order]]  # LMS substrings in order
     number = np.empty(n + 1, lms.dtype)
     number[lms] = np.arange(len(lms))
@@ -140,8 +149,8 @@ def suffix_array(x: np.ndarray, sigma: int | None = None) -> np.ndarray:
         short = np.empty(len(lms), np.int64)
         short[number[order]] = names
         top = int(names[-1]) + 1
-        order = lms[suffix_array(short, top) if top <= MOST_BUCKETS else _doubled(short)]
-    return induce(y, is_s, order, sigma)[1:]
+        order = lms[suffix_array(short, top)]
+    return sort(y, is_s, order, sigma)[1:]
 
 
 def permuted_common_prefix(x: np.ndarray, sa: np.ndarray, stop: int | None = None) -> np.ndarray:

@@ -2,20 +2,18 @@
 
 1. Copies of a whole text are removed by its hash; of each text the least document goes on. Super-windows (see
    ``windows``): candidate runs of windows by minimizer, without loss.
-2. Runs go to shards by minimizer, in compressed blocks, so that all occurrences
-   of any repeated window meet in one shard.
-3. In a shard, contents that are alone with their minimizer, or have no window hash
-   in common with another content, need no sorting. The others are concatenated and sorted by induced sorting; suffixes
-   whose permuted common prefix reaches ``length`` form groups, whose least
-   document is the verdict of their windows.
-4. Hot minimizers (in more than ``windows.HOT`` runs) are not sent to a shard:
-   their windows are told apart by a 128-bit hash, pre-aggregated by step,
-   aggregated to their least document, and joined back; Spark splits skew there.
-5. Spans meet the texts by document; kept bytes are hashed.
+2. Runs go to shards by minimizer, in compressed blocks, so that all windows
+   of one content meet in one shard. Equal contents of a step are one there, with the step's least document.
+3. A shard's contents that have a window hash in common are concatenated and sorted by induced sorting; suffixes
+   whose permuted common prefix reaches ``length`` form groups, whose least document is the verdict of their windows. Verdicts
+   go back as ranges: whole contents for larger documents, the windows that other contents have earlier for the least one.
+4. Hot minimizers (``windows.HOT``, ``windows.LOCAL``): each of their windows goes to a shard by its own hash.
+5. Spans meet the texts by (doc_id, hash); kept bytes are hashed.
 
 Documents are judged on the input, never on what is left. Null or empty text:
 no bytes, nothing removed. Null ``doc_id``: kept whole. Texts of equal id do not
-remove each other. Texts shorter than ``length`` are kept whole.
+remove each other, and each is judged for itself. Texts shorter than ``length`` are kept whole; very long ones are
+looked at whole. No rows: no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, M64, materialize, read, release, utf8, window_hash
+from .common import materialize, read, release, utf8, window_hash
 from .suffix_array import permuted_common_prefix, suffix_array
 from .windows import listed, merge_spans, packed_texts, ranges, runs, text_classes, unpacked, with_shared
 
@@ -38,90 +36,100 @@ K = 26
 #: Bytes of run contents a shard is meant to hold, and suffixes sorted together.
 SHARD_BYTES = 4 << 20
 SORT_SUFFIXES = 1 << 19
-BASE2 = (BASE * 0xD1342543DE82EF95 | 1) & M64
+#: Bytes of text whose equal contents are brought together before the shuffle.
+STEP_BYTES = 4 << 20
 
 
 def _blocks(length: int, k: int, shards: int):
-    """Blocks of runs by shard (``shard`` >= 0), and hot windows with their least document (below 0, by step)."""
-
-    def block(order: np.ndarray, h, ids, start, count, raw, at) -> bytes:
-        size = count[order] + length - 1
-        data = raw[ranges(at[order], size)]
-        head = np.array([len(order)], np.int64)
-        parts = [head, h[order], ids[order], start[order].astype(np.int32), size.astype(np.int32), data]
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, ids, start, count, at, hot = (np.concatenate(x) for x in list(zip(*held, strict=True))[:6])
-        raws = [x[6] for x in held]
+    """Rows (shard, doc_id, k1, block) of a step's distinct contents.
+
+    Of equal contents of a step only the occurrences in its least document go to the shard (0 or more), as a block of many
+    contents; those in larger documents are covered already, and go as spans to a shard below 0. So a shard gets a content once a
+    step at most, however many documents have it. Windows of hot minimizers are contents of their own, by their own hash.
+    """
+
+    def flush(held: list[tuple]) -> Iterator[tuple]:
+        h, ids, k1, start, count, at, hot = (np.concatenate(x) for x in list(zip(*held, strict=True))[:7])
+        raws = [x[7] for x in held]
         shift = np.cumsum([0, *map(len, raws)])
         at = at + np.repeat(shift[:-1], [len(x[0]) for x in held])
         raw = np.concatenate(raws)
-        cold = np.flatnonzero(~hot)
-        if len(cold):
-            shard = (h[cold] % np.uint64(shards)).astype(np.int64)
-            o = np.argsort(shard, kind="stable")
-            cut = np.flatnonzero(np.diff(shard[o])) + 1
-            for part in np.split(cold[o], cut):
-                yield int(h[part[0]] % np.uint64(shards)), None, None, None, block(part, h, ids, start, count, raw, at)
-        warm = np.flatnonzero(hot)
-        if len(warm):
-            n = count[warm]
-            data = raw[ranges(at[warm], n + length - 1)].astype(np.uint64)
-            where = ranges(np.cumsum(n + length - 1) - (n + length - 1), n)
-            doc, pos = np.repeat(ids[warm], n), ranges(start[warm], n)
-            a, b = (window_hash(data, length, x)[where].view(np.int64) for x in (BASE, BASE2))
-            o = np.lexsort((doc, b, a))
-            a, b, doc, pos = a[o], b[o], doc[o], pos[o]
-            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            for i, j in zip(new, np.append(new[1:], len(a)), strict=True):
-                yield -1 - int(a[0]) % shards, int(a[i]), int(b[i]), int(doc[i]), doc[i:j].tobytes() + pos[i:j].astype(np.int32).tobytes()
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
+        del raws
+        if hot.any():
+            w = np.flatnonzero(hot)
+            n = count[w]
+            size = n + length - 1
+            data = raw[ranges(at[w], size)].astype(np.uint64)
+            own = window_hash(data, length)[ranges(np.cumsum(size) - size, n)]
+            keep = ~hot
+            again = lambda x: np.concatenate([x[keep], np.repeat(x[w], n)])
+            h, ids, k1 = np.concatenate([h[keep], own]), again(ids), again(k1)
+            start, at = (np.concatenate([x[keep], ranges(x[w], n)]) for x in (start, at))
+            count = np.concatenate([count[keep], np.ones(len(own), count.dtype)])
+        size, whole, number = count + length - 1, raw.tobytes(), {}
+        which = np.fromiter((number.setdefault(whole[i:j], len(number)) for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)), np.int64, len(at))
+        low = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(low, which, ids)
+        least = ids == low[which]
+        gone = ~least
+        spans = _pack(ids[gone], k1[gone], start[gone], (start + size)[gone])
+        for d, x, b in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "k1", "spans")), strict=True):
+            yield -1 - x % shards, d, x, b
+        one = np.zeros(len(number), np.int64)
+        one[which] = np.arange(len(which))  # an occurrence of each content
+        contents, key = list(number), h[one]
+        del number
+        mine = np.flatnonzero(least)
+        mine = mine[np.argsort(which[mine], kind="stable")]
+        cut = np.searchsorted(which[mine], np.arange(len(contents) + 1))
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        z = zstandard.ZstdCompressor(level=1)
+        for part in np.split(o := np.argsort(shard, kind="stable"), np.flatnonzero(np.diff(shard[o])) + 1):
+            where = mine[ranges(cut[part], cut[part + 1] - cut[part])]
+            each = (cut[part + 1] - cut[part]).astype(np.int32)
+            parts = [np.array([len(part), len(where)], np.int64), key[part], low[part], k1[where], start[where].astype(np.int32), each, size[one[part]].astype(np.int32)]
+            yield int(shard[part[0]]), None, None, z.compress(b"".join([*(p.tobytes() for p in parts), *(contents[i] for i in part.tolist())]))
+
+    def out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         c = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["shard", "a", "b", "lo", "block"])
+        if c:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], ["shard", "doc_id", "k1", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for ids, texts, shared, hot in unpacked(batches):
+        for ids, k1, texts, shared, hot in unpacked(batches):
             raw, offsets = utf8(texts)
             doc, first, count, h = runs(raw.astype(np.uint64), offsets, length, k)
             ok = listed(doc, h, *shared)
             doc, first, count, h = doc[ok], first[ok], count[ok], h[ok]
             if not len(doc):
                 continue
-            held.append((h, ids[doc], first - offsets[doc], count, first, listed(doc, h, *hot), raw))
+            held.append((h, ids[doc], k1[doc], first - offsets[doc], count, first, listed(doc, h, *hot), raw))
             size += len(raw)
-            if size > 4 << 20:
-                if rows := list(flush(held)):
-                    yield out(rows)
+            if size > STEP_BYTES:
+                yield from out(flush(held))
                 held, size = [], 0
-        if held and (rows := list(flush(held))):
-            yield out(rows)
+        if held:
+            yield from out(flush(held))
 
     return run
 
 
-def _pack(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Rows (doc_id, spans): the union of each document's spans as pairs of int32."""
-    o = np.lexsort((start, doc))
-    doc, start, end = doc[o], start[o], end[o]
-    if len(doc):
-        new = np.ones(len(doc), bool)
-        cut = np.flatnonzero(np.diff(doc)) + 1
-        piece = np.zeros(len(doc), np.int64)
-        piece[cut] = 1
-        lift = np.cumsum(piece) << 40  # documents do not touch each other
-        s, e = merge_spans(start + lift, end + lift)
-        which = s >> 40
-        pair = np.stack([s - (which << 40), e - (which << 40)], 1).astype(np.int32)
-        new = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        ids = doc[np.concatenate([[0], cut])][which[new]]
-        data = [pair[i:j].tobytes() for i, j in zip(new, np.append(new[1:], len(pair)), strict=True)]
-    else:
-        ids, data = doc, []
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(data, pa.binary())})
+def _pack(doc: np.ndarray, k1: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """Rows (doc_id, k1, spans): the union of each text's spans as pairs of int32."""
+    if not len(doc):
+        return pa.table({"doc_id": pa.array([], pa.int64()), "k1": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
+    o = np.lexsort((start, k1, doc))
+    doc, k1, start, end = doc[o], k1[o], start[o], end[o]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (k1[1:] != k1[:-1])])
+    text = np.cumsum(new) - 1
+    s, e = merge_spans(start + (text << 40), end + (text << 40))  # texts do not touch each other
+    which = s >> 40
+    pair = np.stack([s - (which << 40), e - (which << 40)], 1).astype(np.int32)
+    cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    data = [pair[i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(pair)), strict=True)]
+    return pa.table({"doc_id": pa.array(doc[new]), "k1": pa.array(k1[new]), "spans": pa.array(data, pa.binary())})
 
 
 def _judge(segments: list[bytes], lows: np.ndarray, length: int) -> list[np.ndarray]:
@@ -145,15 +153,15 @@ def _judge(segments: list[bytes], lows: np.ndarray, length: int) -> list[np.ndar
     return [verdict[b : b + n - length + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
-def _alike(keys: list[tuple[int, bytes]], length: int) -> np.ndarray:
+def _alike(keys: list[bytes], length: int) -> np.ndarray:
     """Which contents have a window whose hash another content has; the others need no sorting."""
     out = np.zeros(len(keys), bool)
-    size = np.fromiter((len(x) for _, x in keys), np.int64, len(keys))
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
     hashes = np.empty(int((size - length + 1).sum()), np.uint64)
     at = 0
     for i in range(0, len(keys), 4096):
         n = size[i : i + 4096]
-        data = np.frombuffer(b"".join(x for _, x in keys[i : i + 4096]), np.uint8).astype(np.uint64)
+        data = np.frombuffer(b"".join(keys[i : i + 4096]), np.uint8).astype(np.uint64)
         h = window_hash(data, length)[ranges(np.cumsum(n) - n, n - length + 1)]
         hashes[at : at + len(h)] = h
         at += len(h)
@@ -167,99 +175,81 @@ def _alike(keys: list[tuple[int, bytes]], length: int) -> np.ndarray:
 
 def _shard(length: int):
     def judge(table: pa.Table) -> pa.Table:
-        """A shard's spans; hot windows pass as they are."""
+        """A shard's spans by text; those of shards below 0 pass as they are."""
         if table.column("shard")[0].as_py() < 0:
-            return table.select(["a", "b", "lo", "block"]).append_column("doc_id", pa.nulls(len(table), pa.int64()))
-        out = cold(table)
-        empty = pa.nulls(len(out), pa.int64())
-        return pa.table({"a": empty, "b": empty, "lo": empty, "block": out.column("spans"), "doc_id": out.column("doc_id")})
-
-    def cold(table: pa.Table) -> pa.Table:
+            return pa.table({"doc_id": table.column("doc_id"), "k1": table.column("k1"), "spans": table.column("block")})
         z = zstandard.ZstdDecompressor()
-        number: dict[tuple[int, bytes], int] = {}
-        content, docs, starts = [], [], []
+        number: dict[bytes, int] = {}
+        key, which, docs, texts, starts = [], [], [], [], []
         for blob in table.column("block").to_pylist():
             raw = z.decompress(blob)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            h = np.frombuffer(raw, np.uint64, n, 8)
-            docs.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            starts.append(np.frombuffer(raw, np.int32, n, 8 + 16 * n))
-            size = np.frombuffer(raw, np.int32, n, 8 + 20 * n)
-            end = 8 + 24 * n + np.cumsum(size.astype(np.int64))
-            content.append(np.fromiter((number.setdefault((x, raw[i:j]), len(number)) for x, i, j in zip(h.tolist(), (end - size).tolist(), end.tolist(), strict=True)), np.int64, n))
-        doc, start, which = np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(content)
+            n, m = map(int, np.frombuffer(raw, np.int64, 2))
+            at = 16
+            parts = []
+            for kind, c in ((np.uint64, n), (np.int64, n), (np.int64, m), (np.int32, m), (np.int32, n), (np.int32, n)):
+                parts.append(np.frombuffer(raw, kind, c, at))
+                at += c * np.dtype(kind).itemsize
+            h, low, k1, start, each, size = parts
+            end = at + np.cumsum(size.astype(np.int64))
+            mine = []
+            for x, i, j in zip(h.tolist(), (end - size).tolist(), end.tolist(), strict=True):
+                c = number.setdefault(raw[i:j], len(number))
+                if c == len(key):
+                    key.append(x)
+                mine.append(c)
+            which.append(np.repeat(np.array(mine, np.int64), each))
+            docs.append(np.repeat(low, each)), texts.append(k1.copy()), starts.append(start.astype(np.int64))
+        del table
+        doc, k1, start, which = (np.concatenate(x) for x in (docs, texts, starts, which))
         low = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(low, which, doc)
-        keys = list(number)
+        contents, key = list(number), np.array(key, np.uint64)
         del number
-        h = np.fromiter((x for x, _ in keys), np.uint64, len(keys))
-        size = np.fromiter((len(x) for _, x in keys), np.int64, len(keys))
-        o = np.argsort(h, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(h[o])) + 1, [len(o)]])
-        many = np.diff(cut) > 1
-        alike = _alike(keys, length)  # contents with a window that another content has
-        alone = np.zeros(len(keys), bool)
-        alone[o[cut[:-1][~many]]] = True
-        alone |= ~alike
-        out_doc, out_start, out_end = [], [], []
-        hit = alone[which] & (low[which] < doc)
-        out_doc.append(doc[hit]), out_start.append(start[hit]), out_end.append(start[hit] + size[which[hit]])
+        size = np.fromiter(map(len, contents), np.int64, len(contents))
+        later = low[which] < doc  # covered whole; in the least document of a content, windows that other contents have earlier
+        out = [(doc[later], k1[later], start[later], (start + size[which])[later])]
         by = np.argsort(which, kind="stable")
-        at = np.searchsorted(which[by], np.arange(len(keys) + 1))
+        by = by[~later[by]]
+        at = np.searchsorted(which[by], np.arange(len(contents) + 1))
+
+        def settle(batch: list[int]) -> None:
+            for i, v in zip(batch, _judge([contents[i] for i in batch], low[batch], length), strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (v < low[i]).astype(np.int8), [0]])))
+                if len(edge):
+                    who, (s, e) = by[at[i] : at[i + 1]], edge.reshape(-1, 2).T
+                    n = len(s)
+                    at_ = np.repeat(start[who], n)
+                    out.append((np.repeat(doc[who], n), np.repeat(k1[who], n), at_ + np.tile(s, len(who)), at_ + np.tile(e, len(who)) + length - 1))
+
+        o = np.argsort(key, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(key[o])) + 1, [len(o)]])
+        many = np.diff(cut) > 1
+        alike = _alike(contents, length)
         batch, held = [], 0
-
-        def settle() -> None:
-            for i, v in zip(batch, _judge([keys[i][1] for i in batch], low[batch], length), strict=True):
-                who = by[at[i] : at[i + 1]]
-                if v.min() >= doc[who].max():
-                    continue
-                row, win = np.nonzero(v[None, :] < doc[who][:, None])
-                s = start[who][row] + win
-                out_doc.append(doc[who][row]), out_start.append(s), out_end.append(s + length)
-
         for i, j in zip(cut[:-1][many].tolist(), cut[1:][many].tolist(), strict=True):
             x = o[i:j][alike[o[i:j]]]
             batch += x.tolist()
             held += int(size[x].sum()) + len(x)
             if held > SORT_SUFFIXES:
-                settle()
+                settle(batch)
                 batch, held = [], 0
         if batch:
-            settle()
-        return _pack(np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_end))
+            settle(batch)
+        return _pack(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
     return judge
 
 
-def _hot_spans(length: int):
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, starts = [], []
-            for low, blob in zip(b.column("least").to_pylist(), b.column("block").to_pylist(), strict=True):
-                n = len(blob) // 12
-                d, s = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int32, n, 8 * n)
-                docs.append(d[d > low])
-                starts.append(s[d > low])
-            if docs:
-                s = np.concatenate(starts).astype(np.int64)
-                yield from _pack(np.concatenate(docs), s, s + length).to_batches()
-
-    return spans
-
-
 def repeated_spans(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, spans): for each text's least document, its removed bytes as int32 pairs (start, end), possibly in several rows."""
+    """(doc_id, k1, spans): for each text's least document, its removed bytes as int32 pairs (start, end), possibly in several rows."""
     spark = docs.sparkSession
     texts, n = with_shared(docs, copies, "byte", length, k, "suffix")
     shards = max(8, n * (length + 14) // SHARD_BYTES + 1)
-    blocks = texts.mapInArrow(_blocks(length, k, shards), "shard long, a long, b long, lo long, block binary").groupBy("shard")
-    judged = materialize(blocks.applyInArrow(_shard(length), "a long, b long, lo long, block binary, doc_id long"), "suffix-spans")
+    blocks = texts.mapInArrow(_blocks(length, k, shards), "shard long, doc_id long, k1 long, block binary").groupBy("shard")
+    judged = materialize(blocks.applyInArrow(_shard(length), "doc_id long, k1 long, spans binary"), "suffix-spans")
     del texts, blocks
     release(spark)
-    hot = judged.where("doc_id is null").select("a", "b", "lo", "block")
-    least = hot.groupBy("a", "b").agg(F.min("lo").alias("least"))
-    warm = hot.join(least, ["a", "b"]).mapInArrow(_hot_spans(length), "doc_id long, spans binary")
-    return judged.where("doc_id is not null").select("doc_id", F.col("block").alias("spans")).unionByName(warm)
+    return judged
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +272,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Rows of one id and text have equal results. Different texts of one id are versions of one document:
-    offsets removed in one are removed in the others.
+    Rows of one id and text have equal results. Different texts of one id are separate documents.
     """
     docs = docs.select("doc_id", "text")
     copies = text_classes(docs, "suffix")
-    spans = repeated_spans(docs, copies, length, k).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, "doc_id").mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"])
+    spans = repeated_spans(docs, copies, length, k).groupBy("doc_id", "k1").agg(F.collect_list("spans").alias("spans"))
+    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, ["doc_id", "k1"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_bytes") >= length)

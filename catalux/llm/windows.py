@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, release, text_steps, utf8, window_hash, window_min, word_hash, words
 
 
-#: A minimizer in more runs than this is hot: its windows are judged one by one, by an aggregate and a join. So many runs
-#: are some MB of a shard.
+#: A minimizer in more runs than this is hot: its windows go to shards one by one. So many runs are some MB of a shard.
 HOT = 1 << 17
-#: A step with this many rows of a minimizer, or its share of ``HOT`` if that is more, takes it for hot, see ``_keys``.
-LOCAL = 16
+#: A step with this many texts of a minimizer takes it for hot, see ``_keys``. Steps are of one size, so inputs of any size
+#: have the same share of hot minimizers.
+LOCAL = 256
 STEP_RUNS = 1 << 18
 #: Bytes of text for each bucket of minimizers: about four million runs, looked at in parts.
 BUCKET_BYTES = {"byte": 64 << 20, "word": 256 << 20}
@@ -187,7 +187,7 @@ def text_classes(docs: DataFrame, name: str) -> DataFrame:
 
 
 def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: int, name: str) -> tuple[DataFrame, int]:
-    """(doc_id, packed, shared, hot): zstd of the text, its shared minimizers, and the hot ones of them.
+    """(doc_id, k1, packed, shared, hot): zstd of the text, its shared minimizers, and the hot ones of them.
 
     Only the least document of each text is there, and only if it shares any minimizer with another text. No list is
     longer than the text has runs. Also the number of all entries. Texts are told apart by k1 here: where two texts
@@ -196,8 +196,7 @@ def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: i
     spark, src = docs.sparkSession, keyed(docs)
     size = src.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(size // BUCKET_BYTES[kind]) + 6
-    steps = size // (STEP_RUNS * {"byte": 15, "word": 96}[kind]) + 1  # a run is about so many bytes
-    local, hot = max(LOCAL, int(HOT // steps)), HOT
+    local, hot = LOCAL, HOT
     keys = src.select("k1", "text").mapInArrow(_keys(kind, length, k, buckets, local), "bucket long, block binary").groupBy("bucket").applyInArrow(lambda t: _shared(t, hot), "k1 long, h long, hot boolean")
     mine = keys.groupBy("k1").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     shared = materialize(mine, f"{name}-shared")
@@ -205,7 +204,7 @@ def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: i
     release(spark)
     n = shared.select(F.sum(F.size("shared").cast("long"))).first()[0] or 0
     first = packed_texts(docs).join(shared, "k1").join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep")
-    return first.select("doc_id", "packed", "shared", "hot"), int(n)
+    return first.select("doc_id", "k1", "packed", "shared", "hot"), int(n)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -222,12 +221,12 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Steps of ``with_shared``'s rows: ids, texts, and offsets and values of the lists ``shared`` and ``hot``."""
+    """Steps of ``with_shared``'s rows: ids, k1, texts, and offsets and values of the lists ``shared`` and ``hot``."""
     z = zstandard.ZstdDecompressor()
     for b in batches:
         for c in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
             lists = [(np.asarray(x.offsets), np.asarray(x.values).view(np.uint64)) for x in (c.column("shared"), c.column("hot"))]
-            yield np.asarray(c.column("doc_id")), pa.array([z.decompress(x) for x in c.column("packed").to_pylist()], pa.binary()), *lists
+            yield np.asarray(c.column("doc_id")), np.asarray(c.column("k1")), pa.array([z.decompress(x) for x in c.column("packed").to_pylist()], pa.binary()), *lists
 
 
 def listed(doc: np.ndarray, h: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:

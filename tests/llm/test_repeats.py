@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from catalux.llm import substring_dedup, suffix_dedup, windows
+from catalux.llm import suffix_array as suffix_array_module
 from catalux.llm.suffix_array import permuted_common_prefix, suffix_array
 
 
@@ -26,6 +27,11 @@ def test_suffix_array_and_common_prefixes():
             assert p[b] == k
 
 
+def test_induced_sorting_of_large_alphabets(monkeypatch):
+    monkeypatch.setattr(suffix_array_module, "MOST_BUCKETS", 3)
+    test_suffix_array_and_common_prefixes()
+
+
 def corpus(seed=1, n=60):
     r = random.Random(seed)
     vocab = ["the", "of", "Ünd", "a", "thane", "ouvi", "nd", "er", "tion", "x" * 30]
@@ -39,6 +45,7 @@ def corpus(seed=1, n=60):
     base = rows[3][1]
     rows += [(2_000_000 + i, base) for i in range(8)] + [(3_000_000 + i, base[:200] + str(i) + base[205:]) for i in range(8)]
     rows += [(None, base), (5, None), (7, ""), (8, "a"), (9, "ab" * 300), (10, "ab" * 200), rows[2], rows[2]]
+    rows += [(9_000_000, line(40)), (9_000_000, shared[2] + line(30)), (1, shared[2]), (9_000_001, line(90) + base[:150]), (9_000_001, base[20:] + line(5))]  # several texts of an id
     return list({(i, t): 0 for i, t in rows}) + [rows[2]]
 
 
@@ -62,7 +69,7 @@ def brute_bytes(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot,local", [(1 << 17, 16), (3, 10**6), (1, 2)])
+@pytest.mark.parametrize("hot,local", [(1 << 17, 256), (3, 10**6), (1, 2)])
 def test_suffix_dedup(spark, monkeypatch, hot, local):
     monkeypatch.setattr(windows, "HOT", hot)
     monkeypatch.setattr(windows, "LOCAL", local)
