@@ -6,7 +6,9 @@ kinds ``iban`` (mod-97), ``ssn`` and ``secret``: a proposal has a score by its c
 ``CONTEXT`` characters before it raise it, words that point elsewhere lower it, and it is reported from
 ``THRESHOLD`` on. Base spans have scores as well, but stay in any case. Offsets are code points, ends exclusive.
 
-Null or empty text: no spans. Each row stands for itself; null and repeated ids are kept as they are.
+Null or empty text: no spans. Each row stands for itself; null and repeated ids are kept as they are. Very long texts are
+looked at whole, in linear time: a pattern that failed at the first digit of a run is not tried at the others. No rows: no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import read, text_steps
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")

@@ -92,3 +92,12 @@ def test_personal_data(spark):
     assert got[1].spans.endswith("secret:9:49") and "secret" not in got[2].spans
     assert "ssn:4:15" in got[3].spans and "987" not in got[3].spans
     assert got[4].spans == got[5].spans == "" and got[None].n_email == 1
+
+
+def test_long_runs_of_digits_take_linear_time():
+    import time
+
+    began = time.time()
+    assert pii.base_spans("1" * 1_000_000) == []
+    assert pii.base_spans("7" * 50 + ".1.2.3") == [] and pii.base_spans("x007.1.2.3.4") == [("ip", 1, 10)]
+    assert time.time() - began < 20
