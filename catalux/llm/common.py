@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,6 +43,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/catalux/{name}-{uuid.uuid4().hex}"
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a place in the shared folder, for executors."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

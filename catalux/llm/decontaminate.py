@@ -10,8 +10,10 @@ rarest, and so on. With ``slop`` 0 matches are exact phrases; with more, each te
 place (proximity). Terms are compared as strings with the dictionary, not by hash alone.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Null and empty texts have
-none. Null ``doc_id`` and repeated rows are documents like others. An item without words matches nothing; a
-null ``item_id`` is left out. Items go to the executors in blocks of at most ``ITEM_BYTES``, however many there are.
+none. Null ``doc_id`` and repeated rows are documents like others. An item without words matches nothing; an
+item of null ``item_id`` counts for the words that are hit, and has no id to list. Items are read by the executors in blocks of
+about ``ITEM_BYTES``, however many there are. Very long texts are segments of their own. An empty table gives no rows, no
+items no matches; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, LOWER, NOT_WORD, materialize, read, text_steps, utf8, word_hash, words
+from .common import DOC_COLUMNS, LOWER, NOT_WORD, materialize, new_path, open_folder, read, text_steps, utf8, word_hash, words
 from .windows import merge_spans, ranges
 
 WINDOW = 10
@@ -140,9 +144,9 @@ def match(items: Items, terms: bytes, postings: bytes, doc_of: np.ndarray, slop:
 FOUND = "segment string, no int, doc_id long, n_words long, n_hit long, matches array<struct<item_id: string, start: int, length: int>>"
 
 
-def _search(rows: list[tuple[str, str]], window: int, slop: int):
+def _search(file: str, window: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, z = Items(rows, window), zstandard.ZstdDecompressor()
+        items, z = _load(file, window), zstandard.ZstdDecompressor()
         kind = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
         for b in batches:
             for segment, docs, n_words, terms, postings in zip(*(b.column(x) for x in ("segment", "docs", "n_words", "terms", "postings")), strict=True):
@@ -165,13 +169,21 @@ def _search(rows: list[tuple[str, str]], window: int, slop: int):
     return run
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The items, in blocks of about ``ITEM_BYTES``."""
-    items = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+def item_blocks(items: DataFrame) -> list[str]:
+    """Files of the items in the shared folder, each of about ``ITEM_BYTES``; executors read them, the driver doesn't."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // ITEM_BYTES) + 1
-    for i in range(blocks):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+    folder = new_path(spark, "items")
+    items.repartition(int(size // ITEM_BYTES) + 1, "item_id", "text").write.parquet(folder)
+    system, path = open_folder(folder)
+    return sorted(f"{folder}/{x.base_name}" for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet"))
+
+
+def _load(file: str, window: int) -> Items:
+    system, path = open_folder(file)
+    table = pq.read_table(path, filesystem=system, partitioning=None)
+    return Items(list(zip(*(table.column(c).to_pylist() for c in ("item_id", "text")), strict=True)), window)
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -180,7 +192,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     With several blocks of items the rows of a document, known by segment and number, are merged: the blocks' matches
     together, by first word, and the words in any of their spans. ``index`` must then be stored: segment ids are random.
     """
-    parts = [index.mapInArrow(_search(rows, window, slop), FOUND) for rows in item_blocks(items)]
+    parts = [index.mapInArrow(_search(file, window, slop), FOUND) for file in item_blocks(items)]
     if len(parts) == 1:
         return parts[0].drop("segment", "no")
     found = reduce(DataFrame.unionByName, parts).groupBy("segment", "no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
@@ -198,7 +210,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = search(materialize(build_index(docs), "postings"), items, window)
-    named = found.withColumn("items", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))))
+    named = found.withColumn("items", F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda i: i.isNotNull()))))
     return named.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -208,10 +220,10 @@ def stage(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     Each step of texts is indexed, searched and filtered in one pass; blocks of items follow each other.
     """
     docs = docs.select(*DOC_COLUMNS)
-    for rows in item_blocks(items):
+    for file in item_blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
-            known, z = Items(rows, window), zstandard.ZstdDecompressor()
+        def run(batches: Iterator[pa.RecordBatch], file: str = file) -> Iterator[pa.RecordBatch]:
+            known, z = _load(file, window), zstandard.ZstdDecompressor()
             for b in text_steps(batches, SEGMENT_BYTES):
                 (segment,) = _build(iter([b.select(["doc_id", "text"])]))
                 n = np.asarray(segment.column("n_words").values, np.int64)
@@ -231,13 +243,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[p:p + least(len(w), 10) - 1] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT r, p, n, w[p:p + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM t, sizes WHERE len(w) >= n)),
 m AS (SELECT dw.r, dw.p, dw.n, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
 h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
-k AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY r)
+k AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM m WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM t LEFT JOIN h ON t.r = h.r LEFT JOIN k ON t.r = k.r
 """

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, read
+from .common import materialize, new_path, open_folder, read
 
 MIN_BYTES = 100
 BLOCK_LINES = 1000
@@ -92,13 +91,9 @@ def parse(raw: bytes) -> dict:
     return {"page_id": page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": page(fields.get("WARC-Refers-To")), "payload": payload}
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(folder)
+        system, path = open_folder(folder)
         name, at, rows = f"part-{uuid.uuid4().hex}.warc.gz", 0, []
         out = None
         for b in batches:
@@ -120,7 +115,7 @@ def _write(folder: str):
 
 def new_folder(spark: SparkSession, name: str) -> str:
     folder = new_path(spark, name)
-    system, path = _open(folder)
+    system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
     return folder
 
@@ -138,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def _blocks(folder: str, lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(folder)
+        system, path = open_folder(folder)
         name, at, rows, out, held = f"index-{uuid.uuid4().hex}.cdx.gz", 0, [], None, []
 
         def flush() -> None:
@@ -182,7 +177,7 @@ def _lines(raw: bytes) -> list[tuple]:
 
 
 def read_range(folder: str, file: str, offset: int, length: int) -> bytes:
-    system, path = _open(folder)
+    system, path = open_folder(folder)
     with system.open_input_file(f"{path}/{file}") as f:
         f.seek(offset)
         return f.read(length)
@@ -217,7 +212,7 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def _records(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(folder)
+        system, path = open_folder(folder)
         name, f = None, None
         names = [x.split()[0] for x in READ.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

@@ -69,8 +69,8 @@ def brute_contamination(docs, items, window=10):
     for i, t in items:
         w = tok(t)
         n = min(len(w), window)
-        for j in range(len(w) - n + 1) if w and i is not None else ():
-            grams.setdefault(tuple(w[j : j + n]), set()).add(str(i))
+        for j in range(len(w) - n + 1) if w else ():
+            grams.setdefault(tuple(w[j : j + n]), set()).update([] if i is None else [str(i)])
     sizes = {len(g) for g in grams}
     out = []
     for i, t in docs:
@@ -78,7 +78,7 @@ def brute_contamination(docs, items, window=10):
         hit, ids = set(), set()
         for n in sizes:
             for j in range(len(w) - n + 1):
-                if x := grams.get(tuple(w[j : j + n])):
+                if (x := grams.get(tuple(w[j : j + n]))) is not None:
                     ids |= x
                     hit |= set(range(j, j + n))
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
