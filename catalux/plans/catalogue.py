@@ -427,9 +427,11 @@ def url_folder_id(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", text.folder_id(link).alias("folder_id"))
 
 
-@query(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(t, '(?i)(bearer|access_token|refresh_token|client_secret|password)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g'), '\s+', ' ', 'g')), 500) AS redacted FROM (SELECT doc_id, concat('Password: ', source, '  x ', text) AS t FROM documents)")
+@query(r"""SELECT doc_id, left(trim(regexp_replace(regexp_replace(t, '(?i)(bearer|access[_ -]?token|refresh[_ -]?token|client_secret|service[_ -]?role|password|authorization)\s*[:=]\s*\S+', '\1=[REDACTED]', 'g'), '\s+', ' ', 'g')), 500) AS redacted
+ FROM (SELECT doc_id, concat('Password: ', source, '  x ', CASE doc_id % 3 WHEN 0 THEN 'access token: ' WHEN 1 THEN 'SERVICE-ROLE = ' ELSE 'authorization:' END, lang, ' ', text) AS t FROM documents)""")
 def redact_secrets(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.concat(F.lit("Password: "), "source", F.lit("  x "), "text")).alias("redacted"))
+    kind = F.expr("CASE doc_id % 3 WHEN 0 THEN 'access token: ' WHEN 1 THEN 'SERVICE-ROLE = ' ELSE 'authorization:' END")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.concat(F.lit("Password: "), "source", F.lit("  x "), kind, "lang", F.lit(" "), "text")).alias("redacted"))
 
 
 @query(fx.with_(fx.FILES) + "SELECT file_id, concat(left(checksum, 8), '…', right(checksum, 4)) AS id, concat('Restricted file.', file_extension) AS name FROM files")
@@ -471,15 +473,44 @@ def idempotency_keys(spark, sf_dir):
     return f.select("file_id", hashing.idempotency_key(F.col("checksum"), F.lit("folder"), F.lit("v1"), "asset-destination").alias("key"))
 
 
-KNOWN = conversation.Vocabulary(doctors=((r"\b(with|only ones? with|by) dr\.? hair\b", "Dr Hair"),), brands=((r"\blong hair fue\b", "Long Hair FUE"),))
+KNOWN = conversation.Vocabulary(doctors={"Dr Hair": ("with dr hair", "by dr hair")}, brands={"Long Hair FUE": ("long hair fue",)})
+SAID = ("show me hair transplant clips", "Only videos.", "newest first", "with Dr. Hair", "no testimonials", "female patients consultation", "clear the doctor", "start over", "long hair fue, photos only", "include testimonials")
 
 
-@query()
+def _said(phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(said, ' {p} ')" for p in phrases) + ")"
+
+
+def _chosen(values: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {_said(p)} THEN {{'v': {f"'{v}'" if v else 'CAST(NULL AS VARCHAR)'}}}" for v, p in values.items()) + " END"
+
+
+def _now(c: str) -> str:
+    return f"last_value({c} IGNORE NULLS) OVER u"
+
+
+@query(fr"""WITH t AS (SELECT conv_id, turn * 2 AS turn, text FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, {fx._pick(SAID, f"((conv_id + turn) % {len(SAID)})")} FROM conversations),
+c AS (SELECT *, trim(left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 300)) AS clean FROM t),
+w AS (SELECT *, concat(' ', array_to_string(list_filter(regexp_split_to_array(lower(clean), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), ' '), ' ') AS said FROM c),
+i AS (SELECT *, trim(said) IN {conversation.RESETS} AS reset, {_chosen(conversation.MEDIA)} AS media, {_chosen(conversation.SORTS)} AS ord, {_said(conversation.NO_DOCTOR)} AS no_doctor, {_chosen(KNOWN.doctors)} AS doctor, {_said(conversation.EXCLUDE)} AS excl,
+ {_said(conversation.INCLUDE)} AS incl, {_chosen(KNOWN.brands)} AS brand, {_chosen(KNOWN.treatments)} AS care, {_chosen(conversation.SUBJECTS)} AS who, {_chosen(conversation.CONTENTS)} AS what FROM w),
+h AS (SELECT *, clean <> '' AND NOT reset AS live, media IS NOT NULL OR ord IS NOT NULL OR no_doctor OR excl OR incl AS hard, sum(CAST(reset AS INT)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS part FROM i),
+a AS (SELECT *, coalesce(bool_or(live AND NOT hard) OVER (PARTITION BY conv_id, part ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS asked FROM h),
+k AS (SELECT *, live AND NOT (hard OR (doctor IS NOT NULL AND NOT no_doctor AND asked)) AS plain FROM a),
+z AS (SELECT *, CASE WHEN plain THEN {{'v': clean}} END AS q1, CASE WHEN live THEN media END AS m1, CASE WHEN live THEN ord END AS o1, CASE WHEN live THEN CASE WHEN no_doctor THEN {{'v': CAST(NULL AS VARCHAR)}} ELSE doctor END END AS d1,
+ CASE WHEN live THEN CASE WHEN excl THEN {{'v': 'Patient Testimonial'}} WHEN incl THEN {{'v': ''}} END END AS e1, CASE WHEN live THEN coalesce(brand, CASE WHEN plain THEN care END) END AS t1, CASE WHEN plain THEN who END AS s1, CASE WHEN plain THEN what END AS c1 FROM k),
+f AS (SELECT *, coalesce({_now('q1')}.v, '') AS semantic_query, {_now('m1')}.v AS media_type, {_now('t1')}.v AS treatment, {_now('s1')}.v AS subject, {_now('d1')}.v AS doctor_name, {_now('c1')}.v AS content_type, coalesce({_now('e1')}.v, '') AS excluded, coalesce({_now('o1')}.v, 'relevance') AS sort
+ FROM z WINDOW u AS (PARTITION BY conv_id, part ORDER BY turn, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, turn, CASE WHEN reset THEN 'RESET_SEARCH' WHEN clean = '' THEN 'REFINE_SEMANTIC_QUERY' WHEN plain THEN CASE WHEN asked THEN 'REFINE_SEMANTIC_QUERY' ELSE 'START_NEW_SEARCH' END WHEN excl THEN 'ADD_FILTER' WHEN incl OR no_doctor THEN 'REMOVE_FILTER'
+ WHEN ord IS NOT NULL THEN 'CHANGE_SORT' WHEN media IS NOT NULL THEN CASE WHEN media.v IS NULL THEN 'REMOVE_FILTER' ELSE 'CHANGE_MEDIA_TYPE' END ELSE 'ADD_FILTER' END AS operation, semantic_query, media_type, treatment, subject, doctor_name, content_type, excluded, sort,
+ array_to_string(list_filter([subject, treatment, CASE media_type WHEN 'video' THEN 'Videos' WHEN 'image' THEN 'Images' END, doctor_name, content_type, CASE WHEN excluded <> '' THEN concat('Not ', excluded) END, CASE sort WHEN 'newest' THEN 'Newest first' WHEN 'oldest' THEN 'Oldest first' END], lambda x: x IS NOT NULL), '|') AS labels,
+ left(regexp_replace(array_to_string(list_filter([semantic_query, treatment, subject, doctor_name, content_type], lambda x: x IS NOT NULL AND x <> ''), '. '), '\s+', ' ', 'g'), 300) AS effective_query FROM f""")
 def conversation_state(spark, sf_dir):
-    """Fold of phrases into a search state; tested against a plain loop."""
-    phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Hair", "no testimonials", "female patients consultation", "clear doctor", "start over")
-    pick = F.get(F.array(*map(F.lit, phrases)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(phrases))).cast("int"))
-    return conversation.fold(fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", pick.alias("text")), KNOWN)
+    """The search state after every turn: the texts of the conversations, each followed by a turn with a phrase."""
+    t = fx.table(spark, sf_dir, "conversations")
+    pick = F.get(F.array(*map(F.lit, SAID)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(SAID))).cast("int"))
+    turns = t.select("conv_id", (F.col("turn") * 2).alias("turn"), "text").unionByName(t.select("conv_id", (F.col("turn") * 2 + 1).alias("turn"), pick.alias("text")))
+    return conversation.states(turns, KNOWN)
 
 
 @query(fx.with_(fx.FILES, _REASON) + """, t AS (SELECT *, row_number() OVER (PARTITION BY checksum, size_bytes ORDER BY relative_path, file_id) AS n FROM decisions WHERE decision = 'TAKE'),
@@ -494,7 +525,7 @@ def migration_outcomes(spark, sf_dir):
     return first.unionByName(rest).unionByName(other).where("n > 0")
 
 
-@query(fx.with_(fx.INDEX) + ", b AS (SELECT item_id, " + _words("text") + " AS w FROM benchmark), r AS (SELECT item_id, asset_id, len(list_intersect(list_distinct(" + _words("searchable_text") + """), list_distinct(w))) AS hits FROM b, idx WHERE asset_id % 50 = 0),
+@query(fx.with_(fx.INDEX) + ", b AS (SELECT item_id, " + _words("text") + " AS w FROM benchmark), r AS (SELECT item_id, asset_id, len(list_intersect(list_distinct(" + _words("searchable_text") + """), list_distinct(w))) AS hits FROM b, idx),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, asset_id) AS n FROM r) SELECT item_id, min(CASE WHEN asset_id % 100 = 0 THEN n END) AS first_expected, coalesce(min(CASE WHEN asset_id % 100 = 0 THEN n END) <= 3, false) AS passed FROM k GROUP BY 1""")
 def search_benchmark(spark, sf_dir):
     """Rank of the first expected asset (id % 100 = 0) for each benchmark query (texts) among all assets, and whether it is in the top 3.
@@ -568,7 +599,7 @@ def outcome_buckets(spark, sf_dir):
     return d.select("id", shape.outcome_bucket("upload_status").alias("bucket"), shape.is_exception("upload_status", "failure", "again").alias("exception"))
 
 
-@query("SELECT event_id, CAST(round((event_id * CAST(2.5 AS DECIMAL(10,6)) + user_id * CAST(10 AS DECIMAL(10,6))) / 1000000, 6) AS DECIMAL(18,6)) AS cost FROM (SELECT CAST(event_id AS DECIMAL(18,0)) AS event_id, CAST(user_id AS DECIMAL(18,0)) AS user_id FROM events WHERE event_id % 2 = 0)")
+@query("SELECT CAST(event_id AS DECIMAL(18,0)) AS event_id, CAST(CAST((event_id * 25 + user_id * 100 + 5) // 10 AS DECIMAL(12,0)) * CAST(0.000001 AS DECIMAL(6,6)) AS DECIMAL(18,6)) AS cost FROM events")
 def token_costs(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
     return e.select(F.col("event_id").cast("decimal(18,0)").alias("event_id"), shape.token_cost("event_id", "user_id", 2.5, 10).alias("cost"))

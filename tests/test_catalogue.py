@@ -7,7 +7,6 @@ import uuid
 import duckdb
 import pytest
 
-from catalux.operators import conversation
 from catalux.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,19 +42,6 @@ def test_idempotency_keys(spark):
         assert r.key == str(uuid.uuid5(uuid.NAMESPACE_URL, f"asset-destination:{files[r.file_id]}|folder|v1"))
 
 
-def test_conversation_state(spark):
-    states = {}
-    for r in sorted(catalogue.conversation_state(spark, SF).collect(), key=lambda r: (r.conv_id, r.turn)):
-        states.setdefault(r.conv_id, []).append(r)
-    assert states
-    for turns in states.values():
-        s = conversation.State()
-        phrases = ("Show me hair transplant clips", "only videos", "newest first", "with Dr Hair", "no testimonials", "female patients consultation", "clear doctor", "start over")
-        for r in turns:
-            operation, s = conversation.interpret(phrases[(r.conv_id + r.turn) % 8], s, catalogue.KNOWN)
-            assert (r.operation, r.semantic_query, r.media_type, r.sort, r.doctor_name, r.excluded) == (operation, s.semantic_query, s.media_type, s.sort, s.doctor_name, "|".join(s.excluded))
-
-
 def test_token_costs_of_every_event(spark):
     events = catalogue.fx.table(spark, SF, "events").select("event_id", "user_id").collect()
     got = sorted((int(r.event_id), r.cost) for r in catalogue.token_costs(spark, SF).collect())

@@ -137,15 +137,20 @@ def test_quality_and_digest(spark):
     assert (got[0].short_caption, got[0].subject, got[0].error) == ("c", None, None) and [r.error for r in got[1:]] == ["NOT_AN_OBJECT", "UNAPPROVED_FIELDS", "NOT_AN_OBJECT"]
 
 
-def test_interpret():
-    s = conversation.State()
-    known = conversation.Vocabulary(doctors=((r"\bwith dr\.? hair\b", "Dr Hair"),), brands=((r"\blong hair fue\b", "Long Hair FUE"),))
-    op, s = conversation.interpret("long hair fue before and after", s, known)
-    assert op == "START_NEW_SEARCH" and s.treatment == "Long Hair FUE" and s.semantic_query == "long hair fue before and after"
-    assert conversation.interpret("with Dr. Hair", s, known)[1].doctor_name == "Dr Hair" and conversation.interpret("with Dr. Hair", s)[1].doctor_name is None
-    op, s = conversation.interpret("videos only, no testimonials", s)
-    assert op == "ADD_FILTER" and s.media_type == "video" and s.excluded == ("Patient Testimonial",) and s.semantic_query == "long hair fue before and after"
-    op, s = conversation.interpret("include testimonials", s)
-    assert op == "REMOVE_FILTER" and s.excluded == ()
-    assert conversation.interpret("Start over.", s) == ("RESET_SEARCH", conversation.State()) and conversation.interpret(None, s) == ("REFINE_SEMANTIC_QUERY", s)
-    assert conversation.effective_query(conversation.interpret("woman", conversation.State())[1]) == "woman. Female patient"
+def test_conversation_states(spark):
+    known = conversation.Vocabulary(doctors={"Dr Hair": ("with dr hair",)}, brands={"Long Hair FUE": ("long hair fue",)})
+    said = ["With Dr. Hair", "long hair fue before and after", "videos only, no testimonials", None, "with Dr Hair", "include testimonials", "clear doctor", "Start over.", "woman"]
+    turns = spark.createDataFrame([(1, n, t) for n, t in enumerate(said)], "conv_id long, turn long, text string")
+    r = {x.turn: x for x in conversation.states(turns, known).collect()}
+    assert [r[n].operation for n in range(9)] == ["START_NEW_SEARCH", "REFINE_SEMANTIC_QUERY", "ADD_FILTER", "REFINE_SEMANTIC_QUERY", "ADD_FILTER", "REMOVE_FILTER", "REMOVE_FILTER", "RESET_SEARCH", "START_NEW_SEARCH"]
+    assert r[1].treatment == "Long Hair FUE" and r[4].semantic_query == "long hair fue before and after" and r[4].doctor_name == "Dr Hair"
+    assert r[2].media_type == "video" and r[2].excluded == "Patient Testimonial" and r[2].labels == "Long Hair FUE|Videos|Dr Hair|Not Patient Testimonial"
+    assert r[5].excluded == "" and r[6].doctor_name is None and r[7].effective_query == "" and r[8].effective_query == "woman. Female patient"
+
+
+def test_state_parameters(spark):
+    row = spark.createDataFrame([("a  b", "video", "", None, None, "Other", "x|y", "relevance"), ("", "sound", "t", None, None, None, "", "newest")], ", ".join(f"{c} string" for c in conversation.FIELDS))
+    back = row.select(conversation.to_parameters().alias("p")).select("p", *[x.alias(c) for c, x in conversation.from_parameters(F.col("p")).items()]).collect()
+    assert back[0].p == {"cs_q": "a  b", "cs_media": "video", "cs_content": "Other", "cs_exclude": "x|y"} and back[0].semantic_query == "a b" and back[0].sort == "relevance"
+    assert back[1].media_type is None and back[1].treatment == "t" and back[1].sort == "newest" and back[1].semantic_query == ""
+
