@@ -25,6 +25,11 @@ def fingerprint(content_hash: Column, updated_at: Column, *identity: str) -> Col
     return F.sha2(F.concat_ws("|", h, F.when(h == "", F.coalesce(updated_at, F.lit(""))).otherwise(""), *map(F.lit, identity)), 256)
 
 
+def review_fingerprint(base: Column, searchable: Column, reviewer: Column, at: Column) -> Column:
+    """SHA-256 over a fingerprint, the digest of the searchable text, and who reviewed it when."""
+    return F.sha2(F.concat_ws("|", base, F.sha2(searchable, 256), reviewer, at), 256)
+
+
 def row_digest(*columns: str) -> Column:
     """First 64 bits of the SHA-256 of a row as an integer; null differs from every value."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]

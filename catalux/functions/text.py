@@ -158,3 +158,23 @@ def boolean(c: Named) -> Column:
     """true/yes/1/on and false/no/0/off in any case; else null."""
     x = F.lower(F.trim(col(c)))
     return F.when(x.isin("true", "yes", "1", "on"), True).when(x.isin("false", "no", "0", "off"), False)
+
+
+def joined_path(*parts: Named) -> Column:
+    """Parts joined by one slash; outer slashes and empty parts go."""
+    clean = F.array(*[F.regexp_replace(F.coalesce(col(p), F.lit("")), r"^/+|/+$", "") for p in parts])
+    return F.array_join(F.filter(clean, lambda x: x != ""), "/")
+
+
+def path_depth(c: Named) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(col(c), F.lit("")), "/"), lambda x: x != ""))
+
+
+def cache_key(c: Named, cap: int = 120) -> Column:
+    """A key that is safe as a file name."""
+    return F.left(F.regexp_replace(col(c), r"[^A-Za-z0-9._-]+", "_"), F.lit(cap))
+
+
+def with_offset(c: Named, zone: str, offset: str) -> Column:
+    """A time (of a session in UTC) as ISO text of a zone, with its fixed offset."""
+    return F.concat(F.date_format(F.from_utc_timestamp(col(c), zone), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def positional_mismatches(a: DataFrame, b: DataFrame, index: str, columns: list[
     return x.join(y, index, "full").where("a is null or b is null or not (x <=> y)").select(index)
 
 
-def folder_paths(edges: DataFrame, root: str, most_depth: int = 64) -> DataFrame:
+def folder_paths(edges: DataFrame, root: str) -> DataFrame:
     """(node, depth, path) of what hangs below ``root`` in ``edges`` (parent, node, name), breadth first.
 
     A level is a join of the last one with the edges; nodes seen before are left out, so cycles end. The loop ends with the
@@ -62,7 +64,7 @@ def folder_paths(edges: DataFrame, root: str, most_depth: int = 64) -> DataFrame
     """
     spark = edges.sparkSession
     level = seen = spark.createDataFrame([(root, 0, "")], "node string, depth int, path string")
-    for d in range(1, most_depth + 1):
+    for d in count(1):
         step = level.select(F.col("node").alias("parent"), "path").join(edges, "parent").select("node", F.lit(d).alias("depth"), F.concat_ws("/", F.nullif("path", F.lit("")), "name").alias("path"))
         level = materialize(step.join(seen.select("node"), "node", "left_anti").groupBy("node", "depth").agg(F.min("path").alias("path")), "tree-level")
         if level.isEmpty():

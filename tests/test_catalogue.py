@@ -7,7 +7,7 @@ import uuid
 import duckdb
 import pytest
 
-from catalux.plans import catalogue
+from catalux.plans import catalogue, records  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
