@@ -7,15 +7,15 @@ terms of no template have the largest idf. A line's licence is the template with
 if that is ``LEAST`` or more; a file's is that of its best line, ties by line number.
 
 Only units that can reach ``LEAST`` are scored: for each template its longest terms (those that are anchors already come first)
-are *anchors* until the rest alone has a norm below LEAST of the template's, so a unit without an anchor stays below. Whether a text
-has an anchor is a plain search in the text, before anything is exploded; no text is shuffled. A unit is exploded only if its terms of no template are few enough for ``LEAST``.
+are *anchors* until the rest alone has a norm below LEAST of the template's, so a unit without an anchor stays below. Texts without any anchor
+are left out first, and no text is shuffled. A unit is exploded only if its terms of no template are few enough for ``LEAST``.
 
 A directory's licence is that of its licence files (LICENSE, LICENCE, COPYING, NOTICE, with or without an ending),
 the best by cosine, then name, then path. A file without a licence of its own takes that of the nearest directory above it: the
 directories on each distinct path are joined with the licensed ones.
 
-Null or empty texts have no licence of their own. Null path: nothing to inherit. Repeated rows have equal results. No files or
-templates: no rows, or no licences.
+Null or empty texts have no licence of their own. Null path: nothing to inherit. Repeated rows have equal results; texts of one id are
+separate files. No files or templates: no rows, or no licences. Very long texts are looked at whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,6 +70,10 @@ FULL = tuple(_TEXTS.items())
 COMMENT = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
 
 
+#: Words that ordinary texts have: they become anchors only where a template has hardly any others.
+COMMON = frozenset("a an and any as at be by can do for free from have in is it its may not of on or that the this to under with without you your".split())
+
+
 def terms_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
@@ -91,7 +95,7 @@ class Weights:
             norm = math.sqrt(sum(x * x for x in weight.values()))
             self.rows += [(name, w, x / norm) for w, x in sorted(weight.items())]
             rest = dict(weight)
-            for w in sorted(weight, key=lambda w: (w not in anchors, -len(w), w)):  # long words are rare in other texts
+            for w in sorted(weight, key=lambda w: (w in COMMON, w not in anchors, -len(w), w)):  # long words are rare in other texts
                 if math.sqrt(sum(x * x for x in rest.values())) < least * norm * (1 - 1e-9):
                     break
                 anchors.add(w)
@@ -99,21 +103,34 @@ class Weights:
         self.anchors = sorted(anchors)
 
 
+def _terms(c: str | Column) -> Column:
+    return F.split(c, "[^a-z0-9]+")
+
+
+def _list(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
 def _words(c: str, w: Weights, least: float) -> Column:
     """The terms of a unit that has an anchor and may reach ``least``, exploded; else a null.
 
     Of the squared norm of a unit within reach, terms of templates have a share of least ** 2 or more. With n of a term,
-    (1 + ln n) ** 2 <= 1.5 n, so the distinct other terms are at most ``most`` times the terms of templates.
+    (1 + ln n) ** 2 <= 1.5 n, so the distinct other terms are at most ``most`` times the terms of templates. Those of a low
+    idf, the words that every text has, count as the share that they can have at most.
     """
-    most = 1.5 * (max(w.idf.values()) / w.other) ** 2 * (1 / least**2 - 1) * (1 + 1e-9)
+    top = max(w.idf.values())
+    weak = [t for t, x in w.idf.items() if x <= w.other / 2]
+    strong = [t for t in w.idf if t not in set(weak)]
+    most = 1.5 * (top / w.other) ** 2 * (1 / least**2 - 1) * (1 + 1e-9)
+    share = max((w.idf[t] for t in weak), default=0.0) ** 2 / top**2
 
     def kept(x: Column) -> Column:
-        known = F.size(F.filter(x, lambda t: t.isin(list(w.idf))))
-        other = F.size(F.array_distinct(F.filter(x, lambda t: ~t.isin(list(w.idf)))))
-        return F.when(F.exists(x, lambda t: t.isin(w.anchors)) & (other <= known * F.lit(most)), x)
+        other = F.size(F.array_except(x, _list([*w.idf, ""])))
+        count = lambda words: F.size(F.filter(x, lambda t: t.isin(words))) if words else F.lit(0)
+        return F.when(F.arrays_overlap(x, _list(w.anchors)) & (other <= (count(strong) + count(weak) * F.lit(share)) * F.lit(most)), F.filter(x, lambda t: t != ""))
 
     # bound to a variable, so that the text is split once only; the outer form has no filter inferred that would split it again
-    return F.explode_outer(F.get(F.transform(F.array(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), 0)), kept), F.lit(0))).alias("term")
+    return F.explode_outer(F.get(F.transform(F.array(_terms(c)), kept), F.lit(0))).alias("term")
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -121,9 +138,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     spark, w = files.sparkSession, Weights(list(templates), least)
     if not w.anchors:
         return files.select("id").limit(0).selectExpr("id", "string(null) license", "double(null) score", "int(null) line")
-    has = lambda c: F.expr(" or ".join(f"contains({c}, '{a}')" for a in w.anchors))
-    low = files.where("id is not null and text is not null").select("id", F.lower(F.col("text").cast("string")).alias("text")).where(has("text"))
-    line = low.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(has("s"))
+    low = files.where("id is not null and text is not null").select("id", F.lower(F.col("text").cast("string")).alias("text"))
+    line = low.select("id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     word = line.select("id", "line", _words("s", w, least)).where("term is not null")
     count = materialize(word.groupBy("id", "line", "term").agg(F.count("*").alias("n")), "license-lines")
     idf = F.create_map(*[F.lit(x) for p in w.idf.items() for x in p])
@@ -136,13 +152,6 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     return best.select("id", F.col("x.license").alias("license"), (-F.col("x.low")).alias("score"), F.col("x.line").alias("line"))
 
 
-def _any(c: str, anchors: list[str]) -> Column:
-    """Whether a lower-case text may have one of the terms; short ones are looked for as whole terms."""
-    long, short = [a for a in anchors if len(a) > 3], [a for a in anchors if len(a) <= 3]
-    tests = [f"contains({c}, '{a}')" for a in long] + [f"{c} rlike '(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])'"] * bool(short)
-    return F.expr(" or ".join(tests) or "false")
-
-
 def _units(files: DataFrame) -> DataFrame:
     """(id, unit, no, s) of texts in lower case: lines, blocks and heads of several lines, and whole licence files."""
     lines = F.split("text", "\n")
@@ -173,20 +182,23 @@ def _best(units: DataFrame, templates: list[tuple[str, str]], least: float) -> D
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(id, license, score) of the files (id, path, text) with a licence of their own, by lines, headers or full text.
+    """(id, t, license, score) of the files (id, path, text) with a licence of their own, by lines, headers or full text.
+
+    ``t`` is the hash of the text: files of one id are told apart by it.
 
     Ties: by name. Without templates there are no licences.
     """
-    by_line = scan(files.select("id", "text"), templates, least).select("id", "license", "score")
+    low = files.where("id is not null and text is not null").select(F.struct("id", F.xxhash64("text").alias("t")).alias("id"), "path", F.lower(F.col("text").cast("string")).alias("text"))
     if not templates:
-        return by_line
-    low = files.where("id is not null and text is not null").select("id", "path", F.lower(F.col("text").cast("string")).alias("text"))
-    anchors = Weights([(f"{i}\n{name}", text) for i, (name, text) in enumerate(HEADERS)], least).anchors
-    by_header = _best(_units(low.where(_any("text", anchors))), HEADERS, least)
+        return low.limit(0).selectExpr("id.id", "id.t", "string(null) license", "double(null) score")
+    anchors = {a for x in (list(templates), [(f"{i}\n{name}", text) for i, (name, text) in enumerate(HEADERS)], [(f"{i}\n{name}", text) for i, (name, text) in enumerate(FULL)]) for a in Weights(x, least).anchors}
+    low = materialize(low.where(F.arrays_overlap(_terms("text"), _list(sorted(anchors)))), "license-candidates")
+    by_line = scan(low.select("id", "text"), templates, least).select("id", "license", "score")
+    by_header = _best(_units(low), HEADERS, least)
     whole = low.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("id", F.lit("file").alias("unit"), F.lit(0).alias("no"), F.col("text").alias("s"))
     every = by_line.unionByName(by_header.select("id", "license", "score")).unionByName(_best(whole, FULL, least).select("id", "license", "score"))
     best = every.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("x"))
-    return materialize(best.select("id", F.col("x.license").alias("license"), (-F.col("x.low")).alias("score")), "licenses")
+    return materialize(best.select("id.id", "id.t", F.col("x.license").alias("license"), (-F.col("x.low")).alias("score")), "licenses")
 
 
 def folders(path: Column) -> Column:
@@ -199,7 +211,7 @@ def folders(path: Column) -> Column:
 def license_files(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """Per row of ``files`` (id, path, text): id, path, license, origin ('own', 'inherited' or null), from_dir, score."""
     own = own_licenses(files, templates, least)
-    named = files.select("id", "path").join(own, "id", "left")
+    named = files.select("id", "path", F.xxhash64("text").alias("t")).join(own, ["id", "t"], "left")
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", r"/?[^/]*$", "")
     licensed = named.where(F.col("license").isNotNull() & name.rlike(LICENCE_FILE))
     of_dir = licensed.groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("low"), "license", "path")).alias("x")).select("dir", F.col("x.license").alias("dir_license"))

@@ -55,7 +55,7 @@ def test_inheritance(spark):
 
 def test_anchors_are_lossless():
     w = licenses.Weights(list(licenses.TEMPLATES), licenses.LEAST)
-    assert all(re.fullmatch("[a-z0-9]{4,}", a) for a in w.anchors)
+    assert all(re.fullmatch("[a-z0-9]+", a) for a in w.anchors)  # whole terms, so of any length
 
 
 def test_short_lines_reach_the_threshold(spark):
@@ -105,3 +105,9 @@ def test_units_against_brute_force(spark):
     for x in licenses._best(units, licenses.HEADERS, 0.7).collect():
         got.setdefault(x.id, {})[x.license] = max(x.score, got.get(x.id, {}).get(x.license, 0))
     assert got == {i: x for i, t in enumerate(texts) if (x := brute_units(t, licenses.HEADERS, 0.7))}
+
+
+def test_texts_of_one_id_are_separate_files(spark):
+    df = spark.createDataFrame([(1, "a/x", "Released under the MIT License."), (1, "a/y", "some other text of the same id"), (2, "a/z", None)], "id long, path string, text string")
+    got = {r.path: r.license for r in licenses.license_files(df).collect()}
+    assert got == {"a/x": "MIT", "a/y": None, "a/z": None}
