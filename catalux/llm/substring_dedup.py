@@ -8,11 +8,11 @@ whose minimizer occurs in two documents or more are built.
    its coordinates, its neighbours in the text, and the hashes of its edges.
 2. Super-edges of equal content are aggregated to one node, with the least source
    coordinate (document, word). A minimizer with one content only doesn't branch.
-3. Nodes that follow each other alone, with the same source document and adjoining
+3. Nodes that follow each other alone, with the same source text and adjoining
    source coordinates, are compacted to paths by pointer doubling through joins.
-   An occurrence is removed if its path's source is a smaller document. Both
-   content hashes of an occurrence must agree with those at the source
-   coordinate; where they don't, the super-edge counts as branching.
+   A path is judged as a whole, at its head: an occurrence is removed if the path's source is a smaller document and
+   its words are those at the source coordinate, by a digest of both texts' words. Super-edges with equal first
+   and different second hashes count as branching.
 4. Branching super-edges fall apart into edges. Each edge is aggregated to its least
    document and joined back to its occurrences.
 5. Spans meet the texts by document and the kept words are hashed.
@@ -20,8 +20,8 @@ whose minimizer occurs in two documents or more are built.
 All grouping is by aggregates with map-side combination and by joins that Spark
 can split where they are skewed. Null or empty text: no words. Null ``doc_id``:
 kept whole. Documents of fewer than ``length`` words are kept whole. Rows of one
-id and text have equal results; different texts of one id are versions of one
-document, words removed in one are removed in the others.
+id and text have equal results; different texts of one id are separate documents, which do not remove each other. Very long
+texts are looked at whole. No rows: no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +41,12 @@ from .windows import listed, merge_spans, packed_texts, ranges, runs, symbols, t
 LENGTH = 50
 K = 20
 BASE2 = (BASE * 0xD1342543DE82EF95 | 1) & M64
-OCCURRENCE = "h long, c long, d long, doc_id long, start int, n int, prv long, nxt long, edges array<long>"
+OCCURRENCE = "h long, c long, d long, doc_id long, k1 long, start int, n int, prv long, nxt long, edges array<long>"
 
 
 def _occurrences(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, texts, shared, _ in unpacked(batches):
+        for ids, k1, texts, shared, _ in unpacked(batches):
             s, offsets, _ = symbols(texts, "word")
             doc, first, count, h = runs(s, offsets, length, k)
             ok = listed(doc, h, *shared)
@@ -61,8 +61,8 @@ def _occurrences(length: int, k: int):
             edges = window_hash(s, length, BASE2)[ranges(first, count)].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(edges))
             longs = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (h, c, d)]
-            cols = [pa.array(x) for x in longs] + [pa.array(ids[doc]), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(prv.astype(np.uint64).view(np.int64)), pa.array(nxt.astype(np.uint64).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "c", "d", "doc_id", "start", "n", "prv", "nxt", "edges"])
+            cols = [pa.array(x) for x in longs] + [pa.array(ids[doc]), pa.array(k1[doc]), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(prv.astype(np.uint64).view(np.int64)), pa.array(nxt.astype(np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "c", "d", "doc_id", "k1", "start", "n", "prv", "nxt", "edges"])
 
     return run
 
@@ -71,23 +71,24 @@ def nodes(occurrences: DataFrame) -> DataFrame:
     """One row per super-edge content: least source coordinate, neighbours if unique, and whether its minimizer branches."""
     same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(0)
     node = occurrences.groupBy("h", "c").agg(
-        F.min(F.struct("doc_id", "start", "d")).alias("src"), F.max("n").alias("n"), (F.min("d") != F.max("d")).alias("clash"), same("prv").alias("prv"), same("nxt").alias("nxt")
+        F.min(F.struct("doc_id", "k1", "start")).alias("src"), F.min("d").alias("d"), F.max("n").alias("n"), (F.min("d") != F.max("d")).alias("clash"), same("prv").alias("prv"), same("nxt").alias("nxt")
     )
     minimizer = node.groupBy("h").agg(((F.count("*") > 1) | F.max("clash")).alias("branches"))
-    return node.join(minimizer, "h").select("h", "c", F.col("src.doc_id").alias("src_doc"), F.col("src.start").alias("src_start"), F.col("src.d").alias("d"), "n", "prv", "nxt", "branches")
+    return node.join(minimizer, "h").select("h", "c", F.col("src.doc_id").alias("src_doc"), F.col("src.k1").alias("src_k1"), F.col("src.start").alias("src_start"), "d", "n", "prv", "nxt", "branches")
 
 
-def compact(node: DataFrame) -> DataFrame:
-    """(c, path, src_doc, path_start): for each plain node the head of its nonbranching path.
+def compact(node: DataFrame, length: int) -> DataFrame:
+    """(c, src_doc, src_k1, src_start, words) of each nonbranching path: its first node, its source coordinate, its length.
 
     ``up`` points to the node before, if each is the other's only neighbour and their sources adjoin; joins
     double it until every node points to the head of its path. Source positions rise along a path, so there
-    are no cycles.
+    are no cycles. As all occurrences of a node of a path go on to the next one, wherever the head is the whole path is.
     """
     plain = node.where("not branches")
-    a = plain.select(F.col("c").alias("up"), F.col("nxt").alias("c"), F.col("src_doc").alias("up_doc"), (F.col("src_start") + F.col("n")).alias("at")).where("c <> 0")
-    link = plain.join(a, "c").where("prv = up and src_doc = up_doc and src_start = at").select("c", "up")
-    path = plain.select("c", "src_doc", "src_start").join(link, "c", "left").select("c", F.coalesce("up", "c").alias("up"), "src_doc", "src_start")
+    source = ["src_doc", "src_k1"]
+    a = plain.select(F.col("c").alias("up"), F.col("nxt").alias("c"), *[F.col(x).alias(f"up_{x}") for x in source], (F.col("src_start") + F.col("n")).alias("at")).where("c <> 0")
+    link = plain.join(a, "c").where("prv = up and src_doc = up_src_doc and src_k1 = up_src_k1 and src_start = at").select("c", "up")
+    path = plain.select("c", *source, "src_start", "n").join(link, "c", "left").select("c", F.coalesce("up", "c").alias("up"), *source, "src_start", "n")
     path = materialize(path, "substring-path")
     before = -1
     while True:
@@ -97,26 +98,47 @@ def compact(node: DataFrame) -> DataFrame:
             break
         before = open_
         step = path.select(F.col("c").alias("up"), F.col("up").alias("up2"))
-        path = materialize(path.join(step, "up").select("c", F.col("up2").alias("up"), "src_doc", "src_start"), "substring-path")
-    head = path.where("up = c").select(F.col("c").alias("up"), F.col("src_start").alias("path_start"))
-    return path.join(head, "up").select("c", F.col("up").alias("path"), "src_doc", "path_start")
+        path = materialize(path.join(step, "up").select("c", F.col("up2").alias("up"), *source, "src_start", "n"), "substring-path")
+    whole = path.groupBy("up").agg(F.min("src_doc").alias("src_doc"), F.min("src_k1").alias("src_k1"), F.min("src_start").alias("src_start"), (F.sum("n") + length - 1).cast("int").alias("words"))
+    return whole.withColumnRenamed("up", "c")
+
+
+def _digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        c, digest = [], []
+        for packed, paths in zip(b.column("packed").to_pylist(), b.column("paths").to_pylist(), strict=True):
+            words = z.decompress(packed).split()
+            c += [x["c"] for x in paths]
+            digest += [_digest(words, x["src_start"], x["src_start"] + x["words"]) for x in paths]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(digest, pa.binary())], ["c", "digest"])
 
 
 def repeated_words(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, start, end, src_doc): removed word spans; they may overlap or touch."""
+    """(doc_id, k1, start, end, digest): removed word spans; they may overlap or touch.
+
+    ``digest`` is that of the words at the source coordinate of a path: a span counts if its own words have the same one.
+    """
     spark = docs.sparkSession
     texts, _ = with_shared(docs, copies, "word", length, k, "substring")
     occ = materialize(texts.mapInArrow(_occurrences(length, k), OCCURRENCE), "substring-edges")
     release(spark)
     node = materialize(nodes(occ), "substring-nodes")
-    paths = compact(node)
-    coord = occ.select("h", "c", "d", "doc_id", "start", "n")
-    plain = coord.join(node.where("not branches").select("h", "c", "d"), ["h", "c", "d"]).join(paths, "c").where("src_doc < doc_id")
-    whole = plain.select("doc_id", "start", (F.col("start") + F.col("n") + length - 1).alias("end"), "src_doc")
-    forked = occ.join(node.where("branches").select("h", "c"), ["h", "c"]).select("h", "doc_id", "start", F.posexplode("edges").alias("i", "e"))
+    paths = materialize(compact(node, length), "substring-paths")
+    at_source = paths.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_k1").alias("k1")).agg(F.collect_list(F.struct("c", "src_start", "words")).alias("paths"))  # of one text
+    digests = packed_texts(docs).dropDuplicates(["doc_id", "k1", "k2"]).join(at_source, ["doc_id", "k1"]).mapInArrow(_sources, "c long, digest binary")
+    told = materialize(paths.select("c", "src_doc", "words").join(digests, "c"), "substring-sources")
+    release(spark)
+    heads = occ.select("c", "doc_id", "k1", "start").join(told, "c").where("src_doc < doc_id")
+    whole = heads.select("doc_id", "k1", "start", (F.col("start") + F.col("words")).alias("end"), "digest")
+    forked = occ.join(node.where("branches").select("h", "c"), ["h", "c"]).select("h", "doc_id", "k1", "start", F.posexplode("edges").alias("i", "e"))
     least = forked.groupBy("h", "e").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("hi")).where("src_doc < hi").drop("hi")
     at = F.col("start") + F.col("i")
-    edges = forked.join(least, ["h", "e"]).where("src_doc < doc_id").select("doc_id", at.alias("start"), (at + length).alias("end"), "src_doc")
+    edges = forked.join(least, ["h", "e"]).where("src_doc < doc_id").select("doc_id", "k1", at.alias("start"), (at + length).alias("end"), F.lit(None).cast("binary").alias("digest"))
     return whole.unionByName(edges)
 
 
@@ -126,7 +148,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, digest = [], []
         for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
             words = z.decompress(packed).split()
-            pair = np.minimum(np.array([(x["start"], x["end"]) for x in spans], np.int64), len(words))
+            right = [x for x in spans if x["digest"] is None or x["digest"] == _digest(words, x["start"], x["end"])]
+            pair = np.minimum(np.array([(x["start"], x["end"]) for x in right], np.int64).reshape(-1, 2), len(words))
             start, end = merge_spans(pair[:, 0], pair[:, 1])
             kept, at = [], 0
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
@@ -147,8 +170,8 @@ def dedup_words(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
     copies = text_classes(docs, "substring")
-    spans = repeated_words(docs, copies, length, k).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, "doc_id").mapInArrow(_cut, "k1 long, k2 long, n_removed long, sha string").dropDuplicates(["k1", "k2"])
+    spans = repeated_words(docs, copies, length, k).groupBy("doc_id", "k1").agg(F.collect_list(F.struct("start", "end", "digest")).alias("spans"))
+    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, ["doc_id", "k1"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, sha string").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text")).mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole string")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= length)

@@ -109,6 +109,17 @@ def test_substring_dedup(spark, length, k):
     assert sorted(map(tuple, substring_dedup.dedup_words(df, length, k).collect()), key=str) == brute_words(rows, length)
 
 
+def test_paths_decide(spark, monkeypatch):
+    """Without the compaction nothing of a passage that doesn't branch is removed."""
+    passage = " ".join(f"w{i}" for i in range(600))
+    rows = [(i, f"a{i} {passage} b{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.dedup_words(df).collect()), key=str) == brute_words(rows, 50)
+    whole = substring_dedup.compact
+    monkeypatch.setattr(substring_dedup, "compact", lambda node, length: whole(node, length).where("c is null"))
+    assert {r.n_removed for r in substring_dedup.dedup_words(df).collect() if r.doc_id} != {600}
+
+
 def test_substring_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, h long, c long")
     assert substring_dedup.dedup_words(df).count() == 0
