@@ -7,10 +7,12 @@ it. Files of attempts that fail are never listed, so a repeated task does no har
 ``build_index`` sorts the captures by reversed-host key into compressed blocks of ``BLOCK_LINES`` lines, in files of a
 range of keys each, and gives the directory: first key, file, offset and length of each block. ``lookup`` finds the
 blocks of a key by binary search in the directory, reads that range, finds the lines by binary search in
-the block, and reads the range of each record. ``read_all`` goes through every block and reads every record.
+the block, and reads the range of each record. ``read_pages`` does so for a table of pages, an index file at a time; ``read_all`` goes
+through every block and reads every record.
 
 Null html: an empty payload. Null url: key "-". Null ``page_id``: a response that nothing refers to. Rows of one
-``page_id`` and payload are all responses or refer to the same page.
+``page_id`` and payload are all responses or refer to the same page. Very long payloads are records of their own length. No
+pages: no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ BLOCK_LINES = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first_key string, last_key string, n int, file string, offset long, length long"
+DIRECTORY = "first_key string, last_key string, n int, file string, offset long, length long, first_page long, last_page long"
 
 
 def key_of(url: str | None) -> str:
@@ -140,7 +142,7 @@ def _blocks(folder: str, lines: int):
             nonlocal at, held
             data = gzip.compress("".join("\t".join("" if v is None else str(v) for v in x) + "\n" for x in held).encode(), 6, mtime=0)
             out.write(data)
-            rows.append((held[0][0], held[-1][0], len(held), name, at, len(data)))
+            rows.append((held[0][0], held[-1][0], len(held), name, at, len(data), held[0][1], held[-1][1]))
             at, held = at + len(data), []
 
         for b in batches:
@@ -155,8 +157,8 @@ def _blocks(folder: str, lines: int):
         if out is not None:
             out.close()
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["first_key", "last_key", "n", "file", "offset", "length"])
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["first_key", "last_key", "n", "file", "offset", "length", "first_page", "last_page"])
 
     return run
 
@@ -164,7 +166,8 @@ def _blocks(folder: str, lines: int):
 def build_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
     """Write the sorted, compressed blocks; the stored directory, one row a block."""
     n = captures.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    by = captures.repartitionByRange(int(n), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    order = ("key", "page_id", "file", "offset")
+    by = captures.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
     return materialize(by.mapInArrow(_blocks(folder, lines), DIRECTORY), "directory")
 
 
@@ -188,7 +191,7 @@ def lookup(folder: str, directory: list[tuple], url: str, index: str) -> list[di
     key, found = key_of(url), []
     firsts = [r[0] for r in directory]
     lo = max(0, bisect_left(firsts, key) - 1)
-    for first, last, _, file, offset, length in directory[lo : bisect_right(firsts, key)]:
+    for first, last, _, file, offset, length, *_ in directory[lo : bisect_right(firsts, key)]:
         if first <= key <= last:
             lines = _lines(read_range(index, file, offset, length))
             keys = [x[0] for x in lines]
@@ -240,10 +243,69 @@ def read_all(spark: SparkSession, folder: str, index: str, directory: DataFrame)
     return ordered.mapInArrow(_records(folder), READ)
 
 
+def _place(key: str, page: int | None) -> tuple:
+    """Key and page in the order of the index: a null page comes first."""
+    return key, page is not None, page or 0
+
+
+def _files_of(bounds: list[tuple]):
+    """Rows (file, key, page_id): the index files that may have a page. ``bounds``: (first place, last place, file), in order."""
+    firsts = [b[0] for b in bounds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for page, url in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
+                key = key_of(url)
+                place = _place(key, page)
+                i = bisect_right(firsts, place) - 1
+                while i >= 0 and bounds[i][1] >= place:
+                    out.append((bounds[i][2], key, page))
+                    i -= 1
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["file", "key", "page_id"])
+
+    return run
+
+
+def _found(index: str):
+    def run(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The lines of an index file's wanted pages: the block by bisection of the directory, the line by that of the block."""
+        want = sorted({_place(k, p) for k, p in zip(wanted.column("key").to_pylist(), wanted.column("page_id").to_pylist(), strict=True)})
+        out = []
+        for x in blocks.to_pylist():
+            lo, hi = bisect_left(want, _place(x["first_key"], x["first_page"])), bisect_right(want, _place(x["last_key"], x["last_page"]))
+            if lo == hi:
+                continue
+            lines = _lines(read_range(index, x["file"], x["offset"], x["length"]))
+            places = [_place(*line[:2]) for line in lines]
+            for place in want[lo:hi]:
+                out += [line[2:] for line in lines[bisect_left(places, place) : bisect_right(places, place)]]
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
+
+    return run
+
+
+def read_pages(pages: DataFrame, folder: str, index: str, directory: DataFrame) -> DataFrame:
+    """The records of ``pages`` (page_id, url), each found in the index by binary search.
+
+    The driver holds the key range of each index file, of which there are as many as shuffle partitions, and no more.
+    """
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda k, p: F.struct(k, p)
+    rows = directory.groupBy("file").agg(F.min(place("first_key", "first_page")).alias("a"), F.max(place("last_key", "last_page")).alias("b")).collect()
+    bounds = sorted((_place(*r.a), _place(*r.b), r.file) for r in rows)
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    wanted = src.mapInArrow(_files_of(bounds), "file string, key string, page_id long")
+    found = wanted.groupBy("file").cogroup(directory.groupBy("file")).applyInArrow(_found(index), "file string, offset long, length long")
+    return found.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_records(folder), READ)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = new_folder(spark, "warc"), new_folder(spark, "warc-index")
-    directory = build_index(write_archives(read(spark, sf_dir, "pages"), folder), index)
-    return read_all(spark, folder, index, directory)
+    pages = read(spark, sf_dir, "pages")
+    return read_pages(pages, folder, index, build_index(write_archives(pages, folder), index))
 
 
 OP8_SQL = """

@@ -28,7 +28,10 @@ def test_round_trip(spark, tmp_path):
         to = first[h or ""] if i is not None and len(b) >= 100 and i > first[h or ""] else None
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "response" if to is None else "revisit", to))
     assert got == sorted(want, key=str)
-    blocks = sorted(tuple(r) for r in directory.collect())
+    assert sorted((tuple(r) for r in warc.read_pages(df, folder, index, directory).collect()), key=str) == got
+    some = df.where("page_id % 3 = 0 or page_id is null")
+    assert sorted((tuple(r) for r in warc.read_pages(some, folder, index, directory).collect()), key=str) == [r for r in got if r[0] is None or r[0] % 3 == 0]
+    blocks = sorted((tuple(r) for r in directory.collect()), key=str)
     assert sum(r[2] for r in blocks) == len(rows)
     index_of = {r[3]: r for r in blocks}
     assert index_of
@@ -52,4 +55,5 @@ def test_keys_and_records():
 def test_empty(spark):
     folder, index = warc.new_folder(spark, "t"), warc.new_folder(spark, "i")
     df = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_all(spark, folder, index, warc.build_index(warc.write_archives(df, folder), index)).count() == 0
+    directory = warc.build_index(warc.write_archives(df, folder), index)
+    assert warc.read_all(spark, folder, index, directory).count() == 0 and warc.read_pages(df, folder, index, directory).count() == 0
