@@ -9,7 +9,7 @@ from .minhash import op3_minhash
 from .packing import op9_packing
 from .pii import op10_pii
 from .quality import op7_quality
-from .substring_dedup import op5_substring_dedup
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 from .warc import OP8_SQL, op8_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}

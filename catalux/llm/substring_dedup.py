@@ -183,3 +183,14 @@ def dedup_words(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+f AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+l AS (SELECT r, list(DISTINCT q) AS qs FROM (SELECT r, unnest(range(p, p + 50)) AS q FROM g JOIN f USING (g) WHERE m < doc_id) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(qs), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(qs, []), x[2])), lambda x: x[1]), ' ')) AS kept_sha256
+FROM d LEFT JOIN l USING (r)
+"""
