@@ -12,7 +12,7 @@
 5. Components by alternating large-star and small-star.
 
 Null or empty text: an empty set, linked with nothing. Null ``doc_id``: linked with nothing, component null,
-kept. Rows of one id are one node: they share a component.
+kept. Rows of one id that have shingles are one node: they share a component.
 """
 
 from __future__ import annotations
@@ -179,6 +179,14 @@ def _settle(size: int, percent: int, bands: int):
     return run
 
 
+def _links_of_one_id(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): the least document of each class that an id of several sets is in, and that id."""
+    own = ["n_shingles", "f1", "f2"]
+    several = live.groupBy("doc_id").agg(F.min(F.xxhash64(*own)).alias("a"), F.max(F.xxhash64(*own)).alias("b")).where("a < b").select("doc_id")
+    sets = live.select("doc_id", *own).join(several, "doc_id").join(classes.select("rep", *own), own)
+    return sets.where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 32, rows: int = ROWS, seed: int = 7) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept. See the module's text."""
     spark = docs.sparkSession
@@ -193,7 +201,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
     texts = packed_texts(docs)
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("k1").alias(f"k{x}"), F.col("packed").alias(f"p{x}"))
-    links = materialize(pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(_verify(size, percent), "u long, v long"), "minhash-links")
+    found = pairs.join(side("v"), "v").join(side("u"), "u").mapInArrow(_verify(size, percent), "u long, v long")
+    links = materialize(found.unionByName(_links_of_one_id(live, classes)), "minhash-links")
     del pairs
     release(spark)
     comp = materialize(connected_components(links), "minhash-components")
@@ -228,3 +237,17 @@ def stage(docs: DataFrame) -> DataFrame:
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity 0.85, over all of ``documents``."""
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85, bands=BANDS)
+
+
+# links by the shingles in common, then all that is reachable over links: small tables only
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS p FROM t WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, coalesce(n, 0) AS n FROM t LEFT JOIN (SELECT r, count(*) AS n FROM s GROUP BY r) USING (r)),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY x.r, y.r),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN n x ON x.r = c.a JOIN n y ON y.r = c.b WHERE 100 * k >= 85 * (x.n + y.n - k) AND x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+q AS (SELECT a, b FROM e UNION SELECT q.a, e.b FROM q JOIN e ON q.b = e.a),
+m AS (SELECT a, least(a, min(b)) AS m FROM q GROUP BY a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CAST(coalesce(m, doc_id) AS BIGINT) AS component_id, coalesce(doc_id = coalesce(m, doc_id), true) AS kept FROM n LEFT JOIN m ON n.doc_id = m.a AND n > 0
+"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from .decontaminate import OP1_SQL, op1_decontamination
 from .licenses import op2_licenses
 from .line_dedup import OP6_SQL, op6_line_dedup
-from .minhash import op3_minhash
+from .minhash import OP3_SQL, op3_minhash
 from .packing import op9_packing
 from .pii import op10_pii
 from .quality import op7_quality
 from .substring_dedup import OP5_SQL, op5_substring_dedup
-from .suffix_dedup import op4_suffix_dedup
+from .suffix_dedup import OP4_SQL, op4_suffix_dedup
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
@@ -25,4 +25,11 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_warc": OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op3_minhash": OP3_SQL,
+    "op4_suffix_dedup": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op8_warc": OP8_SQL,
+}

@@ -289,3 +289,20 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(read(spark, sf_dir, "documents"))
+
+
+# bytes as two hexadecimal digits each; windows of 50 bytes begin at p, runs of them that meet are spans
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100 AND doc_id IS NOT NULL)),
+f AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+z AS (SELECT r, p FROM g JOIN f USING (g) WHERE m < doc_id),
+o AS (SELECT r, p, p > 50 + lag(p, 1, -51) OVER (PARTITION BY r ORDER BY p) AS new FROM z),
+i AS (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS i FROM o),
+b AS (SELECT r, i, min(p) AS s, max(p) + 50 AS e FROM i GROUP BY r, i),
+k AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS last FROM b),
+x AS (SELECT r, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS e, string_agg(substr(h, 2 * last + 1, 2 * (s - last)), '' ORDER BY s) AS h FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(x.h, '') || substr(d.h, 2 * coalesce(x.e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
