@@ -60,3 +60,12 @@ def schema_mismatches(df: DataFrame, schema: T.StructType) -> list[str]:
 def latest_run(runs: DataFrame, fingerprint: str, metadata: str = "metadata") -> DataFrame:
     """The latest run whose metadata has a report fingerprint."""
     return runs.where(F.get_json_object(metadata, "$.report_sha256") == fingerprint).orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(1)
+
+
+def published(spark: SparkSession, folder: str, table: str = "table", version: str | None = None, kind: str = "parquet") -> DataFrame:
+    """A table of the latest published version (of that name, if given); what has no marker is not seen."""
+    marks = spark.read.schema("version string, folder string, at timestamp").json(f"{folder}/_published")
+    last = marks.where(F.lit(version is None) | (F.col("version") == version)).orderBy(F.col("at").desc(), F.col("folder").desc()).first()
+    if last is None:
+        raise ValueError(f"no published version in {folder}")
+    return spark.read.format(kind).load(f"{folder}/{last.folder}/{table}")

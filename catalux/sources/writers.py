@@ -1,16 +1,30 @@
-"""Writers. Spark's committer publishes whole results, so there is nothing to rename by hand."""
+"""Writers. What replaces something older is a new version in a folder of its own, published by a marker that is written last.
+
+A version is never written over, so readers (``readers.published``) see whole versions only, and a job that fails
+before its marker leaves the version before it in place.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import redacted
 
 
-def report(df: DataFrame, path: str) -> None:
-    """A JSON report in place of the one before."""
-    df.write.mode("overwrite").json(path)
+def _publish(tables: dict[str, DataFrame], folder: str, version: str, kind: str = "parquet") -> None:
+    place = f"{version}-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").format(kind).save(f"{folder}/{place}/{name}")
+    one = next(iter(tables.values())).sparkSession.range(1)
+    one.select(F.lit(version).alias("version"), F.lit(place).alias("folder"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{folder}/_published")
+
+
+def report(df: DataFrame, path: str, version: str = "report") -> None:
+    """A JSON report that takes the place of the one before."""
+    _publish({"report": df}, path, version, "json")
 
 
 def scan_report(df: DataFrame, folder: str) -> None:
@@ -29,13 +43,11 @@ def events(df: DataFrame, path: str, details: str = "details") -> None:
     df.withColumn(details, redacted(details)).write.mode("append").parquet(path)
 
 
-def snapshot(df: DataFrame, path: str) -> None:
-    """A new version of a table; ``df`` must not read ``path``."""
-    df.write.mode("overwrite").parquet(path)
+def snapshot(df: DataFrame, path: str, version: str = "snapshot") -> None:
+    """A new version of a table; ``df`` may read the version before it."""
+    _publish({"table": df}, path, version)
 
 
 def completed(index: DataFrame, embeddings: DataFrame, folder: str, version: str) -> None:
-    """Two tables that belong together, published by a marker that is written last; readers take marked versions only."""
-    index.write.mode("overwrite").parquet(f"{folder}/{version}/index")
-    embeddings.write.mode("overwrite").parquet(f"{folder}/{version}/embeddings")
-    index.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").json(f"{folder}/_published")
+    """Two tables that belong together, published at once."""
+    _publish({"index": index, "embeddings": embeddings}, folder, version)

@@ -58,3 +58,22 @@ def test_streams(spark, tmp_path):
     assert sorted(jobs) == [(1, "PENDING"), (2, "SKIPPED")]
     incremental.append_available(incremental.arrived(spark, str(tmp_path / "in"), kind), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_published_versions(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    writers.snapshot(spark.range(3), folder)
+    writers.snapshot(readers.published(spark, folder).where("id > 0"), folder)  # reads the version that it replaces
+    assert sorted(r.id for r in readers.published(spark, folder).collect()) == [1, 2]
+    with pytest.raises(Exception):
+        writers.snapshot(spark.range(1).selectExpr("raise_error('lost')"), folder)
+    assert readers.published(spark, folder).count() == 2
+    both = str(tmp_path / "b")
+    writers.completed(spark.range(1), spark.range(2), both, "v1")
+    writers.completed(spark.range(5), spark.range(6), both, "v2")
+    writers.completed(spark.range(7), spark.range(8), both, "v1")  # again: a folder of its own
+    assert [readers.published(spark, both, "embeddings", v).count() for v in ("v1", "v2", None)] == [8, 6, 8]
+    with pytest.raises(ValueError):
+        readers.published(spark, both, "index", "v3")
+    writers.report(spark.range(2), str(tmp_path / "r"))
+    assert readers.published(spark, str(tmp_path / "r"), "report", kind="json").count() == 2
