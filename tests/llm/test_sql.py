@@ -1,4 +1,4 @@
-"""The queries with SQL against DuckDB: on the smallest tables, and op3 and op4 on rows at the edge."""
+"""The queries with SQL against DuckDB: on the smallest tables, and some on rows at the edge."""
 
 import os
 
@@ -45,9 +45,10 @@ def edge(tmp_path_factory):
         f"copy (select unnest(?::bigint[]) as doc_id, unnest(?::varchar[]) as text) to '{folder}/documents.parquet'",
         [[r[0] for r in rows], [r[1] for r in rows]],
     )
+    duckdb.connect().execute(f"copy (select unnest(?::varchar[]) as text) to '{folder}/benchmark.parquet'", [[long, None, "two words"]])
     return folder
 
 
-@pytest.mark.parametrize("name", ["op3_minhash", "op4_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op3_minhash", "op4_suffix_dedup", "op11_spelling", "op13_resampling"])
 def test_edge_rows(spark, edge, name):
     compare(spark, edge, name)
