@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from . import records
+from .checks import matching
+from .fulltext import FIELDS, SearchIndex
 from .rules import category_filter
 
+CATEGORIES = ("image", "video", "document", "other")
+PAGE_SIZES = (25, 50, 100)
+LONGEST_QUERY, LONGEST_NAME, LONGEST_EXTENSION = 300, 100, 12
+
 
 @dataclass(frozen=True)
 class Query:
@@ -25,6 +33,28 @@ class Query:
     extension: str | None = None
     limit: int | None = 25
     offset: int | None = 0
+    #: Part of a file name and order, of the library page that stands for an empty query.
+    name: str | None = None
+    sort: str = "newest"
+
+    @classmethod
+    def of(cls, parameters: Mapping[str, str | None]) -> Query:
+        """A query from request parameters. Unknown ones, categories and orders are refused; numbers that aren't any take their default."""
+        known = {"page", "pageSize", "query", "category", "type", "extension", "sort", "nlq"}
+        if unknown := sorted(set(parameters) - known):
+            raise ValueError(f"unknown parameters: {', '.join(unknown)}")
+        p = {k: v or "" for k, v in parameters.items()}
+        number = lambda k, other: int(m[0]) if (m := re.match(r"\s*[+-]?[0-9]+", p.get(k, ""))) else other
+        size = number("pageSize", 25)
+        size = size if size in PAGE_SIZES else 25
+        category, sort = parameters.get("category", parameters.get("type")) or None, p.get("sort") or "newest"
+        if category is not None and category not in CATEGORIES:
+            raise ValueError(f"unknown category: {category}")
+        if sort not in records.SORTS:
+            raise ValueError(f"unknown order: {sort}")
+        ext = re.sub("[^A-Za-z0-9]", "", p.get("extension", ""))[:LONGEST_EXTENSION].lower()
+        name = re.sub("[*,()]", "", p.get("query", "").strip()[:LONGEST_NAME])
+        return cls(q=p.get("nlq", "").strip()[:LONGEST_QUERY] or None, category=category, extension=ext or None, limit=size, offset=(max(1, number("page", 1) or 1) - 1) * size, name=name or None, sort=sort)
 
     @property
     def words(self) -> str | None:
@@ -35,18 +65,6 @@ class Query:
         return max(1, min(25 if self.limit is None else self.limit, 100)), max(0, self.offset or 0)
 
 
-def terms(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def text_rank(document: Column, q: str) -> Column:
-    """Share of the query's distinct words that the text has. A rank of its own: no stemming or stop words as in a database's text search."""
-    words = sorted({w for w in re.split(r"[\W_]+", q.lower()) if w})
-    if not words:
-        return F.lit(0.0)
-    return F.size(F.array_intersect(terms(document), F.array(*map(F.lit, words)))) / F.lit(float(len(words)))
-
-
 def optional_on(left: DataFrame, right: DataFrame, key: str, **wanted: str | None) -> DataFrame:
     """Left join on ``key`` and those of ``wanted`` that are not None; a null parameter matches every identity."""
     for c, v in wanted.items():
@@ -74,62 +92,85 @@ def _page(df: DataFrame, q: Query) -> DataFrame:
     return top.crossJoin(F.broadcast(total))  # one row
 
 
-def hybrid_v1(assets: DataFrame, index: DataFrame, embeddings: DataFrame, q: Query) -> DataFrame:
+def _filtered(df: DataFrame, q: Query) -> DataFrame:
+    return df.where(F.lower("file_extension") == q.extension.lower()) if q.extension is not None else df
+
+
+def _found(df: DataFrame, terms: SearchIndex, w: str | None) -> DataFrame:
+    """c_text, near_<field> (0 or 1) and named (0 or 1), from the lists of the query's terms and trigrams."""
+    if w is None:
+        return df.withColumns({"c_text": F.lit(0.0), "named": F.lit(0), **{f"near_{f}": F.lit(0) for f in FIELDS}})
+    out = df.join(terms.text_ranks(w), "asset_id", "left").join(terms.similar_fields(w), "asset_id", "left").join(terms.names_with(w).withColumn("named", F.lit(1)), "asset_id", "left")
+    return out.withColumns({"c_text": F.coalesce("text_rank", F.lit(0.0)), "named": F.coalesce("named", F.lit(0)), **{f"near_{f}": F.coalesce(f"near_{f}", F.lit(0)) for f in FIELDS}})
+
+
+def hybrid_v1(assets: DataFrame, index: DataFrame, embeddings: DataFrame, q: Query, terms: SearchIndex) -> DataFrame:
     """0.45 semantic, 0.20 text, 0.08 treatment, 0.07 subject, 0.10 doctor, 0.10 file name; capped at 1.
 
-    ``assets``: asset_id, file_name, mime_type, file_extension, already restricted to active ones. Null identity parameters match
-    every embedding of an asset, so an asset may come more than once. Scores are in hundredths of a percent.
+    ``assets``: asset_id, mime_type, file_extension, already restricted to active ones; ``index``: asset_id, indexing_status. Null identity
+    parameters match every embedding of an asset, so an asset may come more than once. Scores are in hundredths of a percent.
+    No text is read: ``terms`` holds the postings. A query without words or vector finds nothing.
     """
-    df = optional_on(assets.join(index.where("indexing_status = 'INDEXED'"), "asset_id"), embeddings, "asset_id", **q.semantic_identity)
+    df = optional_on(assets.join(index.where("indexing_status = 'INDEXED'").select("asset_id"), "asset_id"), embeddings, "asset_id", **q.semantic_identity)
     if q.words is None and q.semantic is None:
         df = df.limit(0)
-    if q.extension is not None:
-        df = df.where(F.lower("file_extension") == q.extension.lower())
+    df = _filtered(df, q)
     if q.category is not None:
         df = df.where(category_filter(q.category))
-    zero, w = F.lit(0.0), q.words
-    semantic = zero if q.semantic is None else F.coalesce(vectors.cosine(F.col("embedding"), vectors.literal(q.semantic)), zero)
-    near = lambda c, x: zero if w is None else F.when(text.trigram_similarity(c, F.lit(w)) >= 0.3, F.lit(x)).otherwise(zero)
-    ranked = zero if w is None else text_rank(F.col("searchable_text"), w)
-    fields = near("treatment", 0.08) + near("subject", 0.07) + near("doctor_name", 0.10)
-    name = zero if w is None else F.when(F.contains(F.lower("file_name"), F.lit(w.lower())), F.lit(0.10)).otherwise(zero)
-    df = df.withColumns({"c_semantic": semantic, "c_text": ranked, "c_fields": fields, "c_name": name})
+    semantic = F.lit(0.0) if q.semantic is None else F.coalesce(vectors.cosine(F.col("embedding"), vectors.literal(q.semantic)), F.lit(0.0))
+    df = _found(df, terms, q.words).withColumns({"c_semantic": semantic, "c_fields": 0.08 * F.col("near_treatment") + 0.07 * F.col("near_subject") + 0.10 * F.col("near_doctor_name"), "c_name": 0.10 * F.col("named")})
     df = df.withColumn("raw_score", F.round(0.45 * F.col("c_semantic") + 0.20 * F.col("c_text") + F.col("c_fields") + F.col("c_name"), 9))
     cols = [_ppm(F.least("raw_score", F.lit(1.0))).alias("match_score"), _ppm(F.round("c_semantic", 9)).alias("semantic_score"), _ppm(F.round("c_text", 9)).alias("text_score"), _ppm(F.round("c_fields", 9)).alias("structured_score"), _ppm(F.col("c_name")).alias("filename_score")]
     return _page(df, q).select("asset_id", *cols, "total_count")
 
 
-def hybrid_v2(assets: DataFrame, index: DataFrame, visual: DataFrame, embeddings: DataFrame, q: Query) -> DataFrame:
+def hybrid_v2(assets: DataFrame, index: DataFrame, visual: DataFrame, embeddings: DataFrame, q: Query, terms: SearchIndex) -> DataFrame:
     """0.65 visual, 0.15 semantic, 0.15 the larger of text and fields, 0.05 file name; between 0 and 1.
 
-    Assets without an index row stay. An identity must be equal in all its parts, so an absent one matches nothing. A category is
-    by MIME type only; 'document' is what is neither image nor video, 'other' nothing.
+    Assets without an index row stay (``terms`` holds what is indexed, so they have no text or field score). An identity must be equal
+    in all its parts, so an absent one matches nothing. A category is by MIME type only; 'document' is what is neither image nor video, 'other' nothing.
     """
-    one = lambda df, ident, name: df.where(" and ".join(f"{c} = '{v}'" for c, v in sorted(ident.items())) if ident else "false").select("asset_id", F.col("embedding").alias(name))
-    df = assets.join(index.where("indexing_status = 'INDEXED'"), "asset_id", "left").join(one(visual, q.visual_identity, "v"), "asset_id", "left").join(one(embeddings, q.semantic_identity, "e"), "asset_id", "left")
+
+    def one(df: DataFrame, identity: dict[str, str], name: str) -> DataFrame:
+        same = F.lit(bool(identity))
+        for c, v in sorted(identity.items()):
+            same = same & (F.col(c) == v)
+        return df.where(same).select("asset_id", F.col("embedding").alias(name))
+
+    df = assets.join(one(visual, q.visual_identity, "v"), "asset_id", "left").join(one(embeddings, q.semantic_identity, "e"), "asset_id", "left")
     if q.words is None and q.visual is None and q.semantic is None:
         df = df.limit(0)
-    if q.extension is not None:
-        df = df.where(F.lower("file_extension") == q.extension.lower())
+    df = _filtered(df, q)
     if q.category is not None:
         m = F.lower(F.coalesce("mime_type", F.lit("")))
         image, video = m.startswith("image/"), m.startswith("video/")
         df = df.where({"image": image, "video": video, "document": ~image & ~video}.get(q.category, F.lit(False)))
-    zero, w = F.lit(0.0), q.words
+    zero = F.lit(0.0)
     score = lambda c, v: zero if v is None else F.coalesce(vectors.cosine(F.col(c), vectors.literal(v)), zero)
-    hit = lambda c: F.when(text.trigram_similarity(c, F.lit(w)) >= 0.3, 1).otherwise(0)
-    fields = zero if w is None else (hit("treatment") + hit("subject") + hit("doctor_name")) / 3.0
-    ranked = zero if w is None else text_rank(F.col("searchable_text"), w)
-    name = zero if w is None else F.when(F.contains(F.lower("file_name"), F.lit(w.lower())), 1.0).otherwise(0.0)
-    df = df.withColumns({"c_visual": score("v", q.visual), "c_semantic": score("e", q.semantic), "c_text": ranked, "c_fields": fields, "c_name": name})
+    fields = (F.col("near_treatment") + F.col("near_subject") + F.col("near_doctor_name")) / 3.0
+    df = _found(df, terms, q.words).withColumns({"c_visual": score("v", q.visual), "c_semantic": score("e", q.semantic), "c_fields": fields, "c_name": F.col("named").cast("double")})
     df = df.withColumn("raw_score", F.round(0.65 * F.col("c_visual") + 0.15 * F.col("c_semantic") + 0.15 * F.greatest("c_text", "c_fields") + 0.05 * F.col("c_name"), 9))
     cols = [_ppm(F.least(F.greatest("raw_score", F.lit(0.0)), F.lit(1.0))).alias("match_score")] + [_ppm(F.round(f"c_{c}", 9)).alias(f"{n}_score") for c, n in (("visual", "visual"), ("semantic", "semantic"), ("text", "text"), ("fields", "structured"), ("name", "filename"))]
     return _page(df, q).select("asset_id", *cols, "total_count")
 
 
-def search(assets: DataFrame, index: DataFrame, visual: DataFrame, embeddings: DataFrame, q: Query) -> DataFrame:
-    """v2 where there is a visual query vector, else v1."""
-    return hybrid_v2(assets, index, visual, embeddings, q) if q.visual is not None else hybrid_v1(assets, index, embeddings, q)
+def browse(assets: DataFrame, q: Query) -> DataFrame:
+    """The library page that an empty query shows: asset_id, a null match_score, total_count, in the order asked for.
+
+    ``assets`` needs size_bytes and updated_at, and for the filters file_name, mime_type and file_extension.
+    """
+    limit, offset = q.page
+    df = assets.where(matching(name=q.name, ext=q.extension))
+    if q.category is not None:
+        df = df.where(category_filter(q.category))
+    return records.page(df, q.sort, offset // limit + 1, limit, "asset_id").select("asset_id", F.lit(None).cast("long").alias("match_score"), F.col("total").alias("total_count"))
+
+
+def search(assets: DataFrame, index: DataFrame, visual: DataFrame, embeddings: DataFrame, q: Query, terms: SearchIndex) -> DataFrame:
+    """v2 where there is a visual query vector, else v1; the library page where there is neither word nor vector."""
+    if q.words is None and q.visual is None and q.semantic is None:
+        return browse(assets, q)
+    return hybrid_v2(assets, index, visual, embeddings, q, terms) if q.visual is not None else hybrid_v1(assets, index, embeddings, q, terms)
 
 
 def cosine_topk(embeddings: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text, vectors
-from ..operators import conversation, dedupe, inventory, lifecycle, quality, rules, search, shape, sync
+from .. import storage
+from ..functions import english, hashing, text, vectors
+from ..operators import conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, shape, sync
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,10 +290,6 @@ def _words(c: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
-def _rank(c: str, words: str, n: str) -> str:
-    return f"len(list_intersect(list_distinct({_words(c)}), {words})) / {n}"
-
-
 def _tri(c: str) -> str:
     return f"list_distinct(flatten(list_transform({_words(c)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
 
@@ -308,37 +305,113 @@ def trigram_match(spark, sf_dir):
     return fx.index(spark, sf_dir).select("asset_id", near("treatment").alias("treatment"), near("doctor_name").alias("doctor"))
 
 
-@query(fx.with_(fx.INDEX) + "SELECT asset_id, CAST(floor(" + _rank(c="searchable_text", words="['and', 'the', 'von', 'zzz']", n="4.0") + " * 10000 + 0.5) AS BIGINT) AS rank FROM idx")
+_LIVE = "live AS (SELECT * FROM idx WHERE indexing_status = 'INDEXED')"
+_INDEXES: dict[tuple[str, str], fulltext.SearchIndex] = {}
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> fulltext.SearchIndex:
+    """The stored search index of a folder of tables, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        names = fx.files(spark, sf_dir, "file_id", "file_name").withColumnRenamed("file_id", "asset_id")
+        _INDEXES[key] = fulltext.build(fx.index(spark, sf_dir), names, storage.new_path(spark, "search-index"))
+    return _INDEXES[key]
+
+
+_ONE, _TWO = "The things", "thing of an ERIN, thsh"
+
+
+@query(fx.with_(fx.INDEX, _LIVE, fulltext.rank_sql("live", _ONE, "one"), fulltext.rank_sql("live", _TWO, "two")) + """SELECT asset_id, CAST(floor(coalesce(o.text_rank, 0) * 10000 + 0.5) AS BIGINT) AS one_term, CAST(floor(coalesce(t.text_rank, 0) * 10000 + 0.5) AS BIGINT) AS three_terms
+FROM live LEFT JOIN one o USING (asset_id) LEFT JOIN two t USING (asset_id)""")
 def text_rank(spark, sf_dir):
-    return fx.index(spark, sf_dir).select("asset_id", F.floor(search.text_rank(F.col("searchable_text"), "The von and ZZZ") * 10000 + 0.5).cast("long").alias("rank"))
+    """Full-text rank of every indexed text, for a query of one term and one of three."""
+    ppm = lambda c: F.floor(F.coalesce(c, F.lit(0.0)) * 10000 + 0.5).cast("long")
+    live, terms = fx.index(spark, sf_dir).where("indexing_status = 'INDEXED'").select("asset_id"), _terms(spark, sf_dir)
+    out = live.join(terms.text_ranks(_ONE).withColumnRenamed("text_rank", "a"), "asset_id", "left").join(terms.text_ranks(_TWO).withColumnRenamed("text_rank", "b"), "asset_id", "left")
+    return out.select("asset_id", ppm("a").alias("one_term"), ppm("b").alias("three_terms"))
+
+
+_SPLIT = r"list_filter(regexp_split_to_array(lower(searchable_text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
 
+@query(fx.with_(fx.INDEX, _LIVE, f"places AS (SELECT asset_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM (SELECT asset_id, {_SPLIT} AS w FROM live))",
+                "words AS (SELECT DISTINCT word FROM places WHERE word NOT IN (" + ", ".join(f"'{w}'" for w in english.STOP_WORDS) + "))", english.stem_sql("words", "stems")) + f"""SELECT term, CAST(count(DISTINCT asset_id) AS BIGINT) AS n_assets, CAST(count(*) AS BIGINT) AS n_positions, CAST(sum(p) AS BIGINT) AS sum_positions
+FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, term ORDER BY p) AS i FROM (SELECT DISTINCT asset_id, term, least(p, {fulltext.LAST_POSITION}) AS p FROM places JOIN stems USING (word))) WHERE i <= {fulltext.MOST_POSITIONS} GROUP BY term""")
+def term_postings(spark, sf_dir):
+    """What the stored postings hold of every term."""
+    t = spark.read.parquet(f"{_terms(spark, sf_dir).folder}/terms")
+    return t.groupBy("term").agg(F.count("*").alias("n_assets"), F.sum(F.size("positions")).cast("long").alias("n_positions"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)).alias("sum_positions"))
 
-_Q1 = "hair transplant"
+
+_Q1 = "hair transplant erin thing"
 _PPM = "CAST(floor({x} * 10000 + 0.5) AS BIGINT)"
-_V1 = f"""j AS (SELECT a.asset_id, round(coalesce({_COS}, 0), 12) AS cs, {_rank(c='searchable_text', words="['hair', 'transplant']", n='2.0')} AS ct,
+_RANKED = fulltext.rank_sql("live", _Q1, "ranked")
+
+
+@query(fx.with_(fx.INDEX, _LIVE) + f"SELECT asset_id, CAST({_similar('treatment', _Q1)} AS BIGINT) AS treatment, CAST({_similar('subject', _Q1)} AS BIGINT) AS subject, CAST({_similar('doctor_name', 'dr. hairs')} AS BIGINT) AS doctor FROM live")
+def trigram_index(spark, sf_dir):
+    """The trigram matches of every indexed asset, from the lists of distinct values."""
+    t = _terms(spark, sf_dir)
+    live = fx.index(spark, sf_dir).where("indexing_status = 'INDEXED'").select("asset_id")
+    out = live.join(t.similar_fields(_Q1).drop("near_doctor_name"), "asset_id", "left").join(t.similar_fields("dr. hairs").select("asset_id", "near_doctor_name"), "asset_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("asset_id", n("near_treatment").alias("treatment"), n("near_subject").alias("subject"), n("near_doctor_name").alias("doctor"))
+
+
+@query(fx.with_(fx.FILES) + "SELECT file_id AS asset_id, contains(lower(file_name), '1.pdf') AS has_end, contains(lower(file_name), 'f12') AS has_start, contains(lower(file_name), '$') AS has_mark FROM files")
+def filename_index(spark, sf_dir):
+    """File names that contain a text, from the trigram lists and, for one without a trigram, from the names."""
+    t = _terms(spark, sf_dir)
+    out = fx.files(spark, sf_dir, "file_id").withColumnRenamed("file_id", "asset_id")
+    for c, q in (("has_end", "1.PDF"), ("has_start", "f12"), ("has_mark", "$")):
+        out = out.join(t.names_with(q).withColumn(c, F.lit(True)), "asset_id", "left")
+    return out.select("asset_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_end", "has_start", "has_mark")])
+
+
+_V1 = f"""j AS (SELECT a.asset_id, round(coalesce({_COS}, 0), 12) AS cs, coalesce(text_rank, 0) AS ct,
  0.08 * {_similar('treatment', _Q1)} + 0.07 * {_similar('subject', _Q1)} + 0.10 * {_similar('doctor_name', _Q1)} AS cf, CASE WHEN contains(lower(file_name), '{_Q1}') THEN 0.10 ELSE 0 END AS cn
- FROM active a JOIN idx i ON a.asset_id = i.asset_id AND indexing_status = 'INDEXED' LEFT JOIN emb e ON a.asset_id = e.asset_id WHERE lower(coalesce(mime_type, '')) LIKE 'image/%' OR file_extension IN ('jpg', 'jpeg', 'png', 'webp')),
+ FROM active a JOIN live i ON a.asset_id = i.asset_id LEFT JOIN ranked r ON r.asset_id = a.asset_id LEFT JOIN emb e ON a.asset_id = e.asset_id WHERE lower(coalesce(mime_type, '')) LIKE 'image/%' OR file_extension IN ('jpg', 'jpeg', 'png', 'webp')),
 s AS (SELECT *, round(0.45 * cs + 0.20 * ct + CAST(cf AS DOUBLE) + CAST(cn AS DOUBLE), 9) AS raw FROM j)"""
 
 
-@query(fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, fx.EMBEDDINGS, _V1) + f"""SELECT asset_id, {_PPM.format(x='least(raw, 1.0)')} AS match_score, {_PPM.format(x='round(cs, 9)')} AS semantic_score, {_PPM.format(x='round(ct, 9)')} AS text_score, {_PPM.format(x='round(CAST(cf AS DOUBLE), 9)')} AS structured_score, {_PPM.format(x='cn')} AS filename_score, (SELECT count(*) FROM s) AS total_count
+@query(fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, _LIVE, _RANKED, fx.EMBEDDINGS, _V1) + f"""SELECT asset_id, {_PPM.format(x='least(raw, 1.0)')} AS match_score, {_PPM.format(x='round(cs, 9)')} AS semantic_score, {_PPM.format(x='round(ct, 9)')} AS text_score, {_PPM.format(x='round(CAST(cf AS DOUBLE), 9)')} AS structured_score, {_PPM.format(x='cn')} AS filename_score, (SELECT count(*) FROM s) AS total_count
 FROM s ORDER BY raw DESC, asset_id LIMIT 25""")
 def hybrid_search_v1(spark, sf_dir):
     """A page of 25 of the ranked search (the limit is the page's)."""
-    return search.hybrid_v1(_active(spark, sf_dir), fx.index(spark, sf_dir), fx.embeddings(spark, sf_dir), search.Query(q=f" {_Q1} ", semantic=fx.VECTOR, category="image"))
+    return search.hybrid_v1(_active(spark, sf_dir), fx.index(spark, sf_dir), fx.embeddings(spark, sf_dir), search.Query(q=f" {_Q1} ", semantic=fx.VECTOR, category="image"), _terms(spark, sf_dir))
 
 
-_V2 = f"""j AS (SELECT a.asset_id, round(coalesce({_COS.replace('embedding', 'e.embedding')}, 0), 12) AS cv, {_rank(c="coalesce(searchable_text, '')", words="['hair', 'transplant']", n='2.0')} AS ct,
+_V2 = f"""j AS (SELECT a.asset_id, round(coalesce({_COS.replace('embedding', 'e.embedding')}, 0), 12) AS cv, coalesce(text_rank, 0) AS ct,
  ({_similar('treatment', _Q1)} + {_similar('subject', _Q1)} + {_similar('doctor_name', _Q1)}) / 3.0 AS cf, CASE WHEN contains(lower(file_name), '{_Q1}') THEN 1.0 ELSE 0.0 END AS cn
- FROM active a LEFT JOIN idx i ON a.asset_id = i.asset_id AND indexing_status = 'INDEXED' LEFT JOIN (SELECT * FROM emb WHERE model = '3') e ON a.asset_id = e.asset_id WHERE lower(coalesce(mime_type, '')) NOT LIKE 'image/%' AND lower(coalesce(mime_type, '')) NOT LIKE 'video/%'),
+ FROM active a LEFT JOIN live i ON a.asset_id = i.asset_id LEFT JOIN ranked r ON r.asset_id = a.asset_id LEFT JOIN (SELECT * FROM emb WHERE model = '3') e ON a.asset_id = e.asset_id WHERE lower(coalesce(mime_type, '')) NOT LIKE 'image/%' AND lower(coalesce(mime_type, '')) NOT LIKE 'video/%'),
 s AS (SELECT *, round(0.65 * cv + 0.15 * greatest(ct, cf) + 0.05 * CAST(cn AS DOUBLE), 9) AS raw FROM j)"""
 
 
-@query(fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, fx.EMBEDDINGS, _V2) + f"""SELECT asset_id, {_PPM.format(x='least(greatest(raw, 0.0), 1.0)')} AS match_score, {_PPM.format(x='round(cv, 9)')} AS visual_score, CAST(0 AS BIGINT) AS semantic_score, {_PPM.format(x='round(ct, 9)')} AS text_score, {_PPM.format(x='round(cf, 9)')} AS structured_score, {_PPM.format(x='cn')} AS filename_score, (SELECT count(*) FROM s) AS total_count
+@query(fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, _LIVE, _RANKED, fx.EMBEDDINGS, _V2) + f"""SELECT asset_id, {_PPM.format(x='least(greatest(raw, 0.0), 1.0)')} AS match_score, {_PPM.format(x='round(cv, 9)')} AS visual_score, CAST(0 AS BIGINT) AS semantic_score, {_PPM.format(x='round(ct, 9)')} AS text_score, {_PPM.format(x='round(cf, 9)')} AS structured_score, {_PPM.format(x='cn')} AS filename_score, (SELECT count(*) FROM s) AS total_count
 FROM s ORDER BY raw DESC, asset_id LIMIT 25""")
 def hybrid_search_v2(spark, sf_dir):
     e = fx.embeddings(spark, sf_dir)
-    return search.search(_active(spark, sf_dir), fx.index(spark, sf_dir), e, e, search.Query(q=_Q1, visual=fx.VECTOR, visual_identity={"model": "3"}, category="document"))
+    return search.search(_active(spark, sf_dir), fx.index(spark, sf_dir), e, e, search.Query(q=_Q1, visual=fx.VECTOR, visual_identity={"model": "3"}, category="document"), _terms(spark, sf_dir))
+
+
+@query(fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, _LIVE, fulltext.rank_sql("live", "thing", "single")) + ", " + ", ".join(f"""s_{c} AS (SELECT a.asset_id, round(0.20 * coalesce(text_rank, 0) + CAST(0.08 * {_similar('treatment', 'thing')} AS DOUBLE), 9) AS raw FROM active a JOIN live USING (asset_id) LEFT JOIN single USING (asset_id) WHERE {w})""" for c, w in (
+    ("video", "lower(mime_type) LIKE 'video/%' OR file_extension IN ('mp4', 'mov')"),
+    ("document", "mime_type IN ('application/pdf', 'application/vnd.openxmlformats-officedocument.presentationml.presentation') OR contains(lower(mime_type), 'presentation') OR file_extension IN ('pdf', 'pptx')"),
+    ("other", "NOT (lower(mime_type) LIKE 'video/%' OR file_extension IN ('mp4', 'mov') OR lower(mime_type) LIKE 'image/%' OR file_extension IN ('jpg', 'jpeg', 'png', 'webp', 'pdf', 'pptx') OR mime_type = 'application/pdf' OR contains(lower(mime_type), 'presentation'))"),
+)) + " " + " UNION ALL ".join(f"(SELECT '{c}' AS category, asset_id, {_PPM.format(x='raw')} AS match_score, (SELECT count(*) FROM s_{c}) AS total_count FROM s_{c} ORDER BY raw DESC, asset_id LIMIT 10 OFFSET 5)" for c in ("video", "document", "other")))
+def search_by_category(spark, sf_dir):
+    """Rows 6 to 15 of a search by words alone, in each of three categories (the limit is the page's)."""
+    a, i, e, t = _active(spark, sf_dir), fx.index(spark, sf_dir), fx.embeddings(spark, sf_dir).where("false"), _terms(spark, sf_dir)
+    one = lambda c: search.search(a, i, e, e, search.Query(q="thing", category=c, limit=10, offset=5), t).select(F.lit(c).alias("category"), "asset_id", "match_score", "total_count")
+    return one("video").unionByName(one("document")).unionByName(one("other"))
+
+
+@query(fx.with_(fx.FILES) + """, f AS (SELECT * FROM files WHERE contains(lower(file_name), '1') AND file_extension = 'mov') SELECT file_id AS asset_id, CAST(NULL AS BIGINT) AS match_score, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY size_bytes DESC NULLS LAST, file_id LIMIT 25 OFFSET 25""")
+def browse_page(spark, sf_dir):
+    """What an empty query shows: the second page of the library, filtered and ordered (the limit is the page's)."""
+    a = fx.files(spark, sf_dir, "file_id", "file_name", "mime_type", "file_extension", "size_bytes").withColumnRenamed("file_id", "asset_id").withColumn("updated_at", F.lit(None).cast("long"))
+    q = search.Query.of({"nlq": "  ", "query": " 1* ", "category": "video", "extension": ".MOV", "sort": "largest", "page": "2"})
+    return search.search(a, a, a, a, q, None)
 
 
 @query(fx.with_(fx.INDEX) + r"SELECT asset_id, left(trim(regexp_replace(concat_ws(' ', content_type, coalesce(treatment, ''), coalesce(subject, ''), coalesce(doctor_name, ''), searchable_text), '\s+', ' ', 'g')), 4000) AS searchable FROM idx")
@@ -533,8 +606,8 @@ def search_benchmark(spark, sf_dir):
     Only assets that share a term with a query meet it. Assets without a hit come after those with one, by id: if no
     expected asset has a hit, the least expected one follows all hits and the lesser ids without one.
     """
-    b = fx.table(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(F.array_distinct(search.terms(F.col("text")))).alias("term"))
-    i = fx.index(spark, sf_dir).select("asset_id", F.array_distinct(search.terms(F.col("searchable_text"))).alias("terms"))
+    b = fx.table(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(F.array_distinct(fulltext.terms(F.col("text")))).alias("term"))
+    i = fx.index(spark, sf_dir).select("asset_id", F.array_distinct(fulltext.terms(F.col("searchable_text"))).alias("terms"))
     hits = i.select("asset_id", F.explode("terms").alias("term")).join(b, "term").groupBy("item_id", "asset_id").agg(F.count("*").alias("hits"))
     expected = F.col("asset_id") % 100 == 0
     best = hits.groupBy("item_id").agg(F.min(F.when(expected, F.struct((-F.col("hits")).alias("h"), "asset_id"))).alias("x"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalux.functions import hashing, text, vectors
-from catalux.operators import conversation, dedupe, inventory, lifecycle, quality, rules, search, sync
+from catalux.operators import conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, sync
 
 FILE = "file_id long, file_name string, mime_type string, file_extension string, relative_path string, accessibility_status string, size_bytes long, trashed boolean, is_missing boolean, is_folder boolean, raw_type_ok boolean"
 JPG = {"file_name": "a.jpg", "mime_type": "image/jpeg", "file_extension": "jpg", "relative_path": "A/B", "accessibility_status": "accessible", "size_bytes": 5, "trashed": False, "is_missing": False, "is_folder": False, "raw_type_ok": True}
@@ -114,17 +114,31 @@ def test_inventory_checks(spark):
     assert [r.reason for r in inventory.onboarding_rows(m).collect()] == [None, "MISSING_SOURCE_NAME", "INVALID_FOLDER_URL", "INVALID_ACTIVE", "FOLDER_ID_MISMATCH"]
 
 
-def test_search_choice_and_bounds(spark):
+def test_search_choice_and_bounds(spark, tmp_path):
     assert search.Query(limit=1000, offset=-5).page == (100, 0) and search.Query(limit=0).page == (1, 0) and search.Query(q="  ").words is None
-    assets = spark.createDataFrame([(1, "hair.jpg", "image/jpeg", "jpg"), (2, "b.mp4", None, "mp4")], "asset_id long, file_name string, mime_type string, file_extension string")
+    assets = spark.createDataFrame([(1, "hair.jpg", "image/jpeg", "jpg", 5, 1), (2, "b.mp4", None, "mp4", 7, None)], "asset_id long, file_name string, mime_type string, file_extension string, size_bytes long, updated_at long")
     index = spark.createDataFrame([(1, "INDEXED", "long hair", "Hair", None, None)], "asset_id long, indexing_status string, searchable_text string, treatment string, subject string, doctor_name string")
-    emb = spark.createDataFrame([(1, "m", [1.0, 0.0]), (1, "n", [0.0, 1.0]), (2, "m", [1.0, 1.0])], "asset_id long, model string, embedding array<float>")
-    v1 = search.search(assets, index, emb, emb, search.Query(q="hair", semantic=[1.0, 0.0])).collect()
-    assert [(r.asset_id, r.match_score, r.total_count) for r in v1] == [(1, 4500 + 2000 + 800 + 1000, 2), (1, 2000 + 800 + 1000, 2)]
-    v2 = search.search(assets, index, emb, emb, search.Query(visual=[1.0, 0.0], visual_identity={"model": "m"})).collect()
+    emb = spark.createDataFrame([(1, "m'n", [1.0, 0.0]), (1, "n", [0.0, 1.0]), (2, "m'n", [1.0, 1.0])], "asset_id long, model string, embedding array<float>")
+    terms = fulltext.build(index, assets, f"{tmp_path}/index", shards=3)
+    text_score = 608  # 0.1 over the limit of the sum of 1/i**2
+    v1 = search.search(assets, index, emb, emb, search.Query(q="hairs", semantic=[1.0, 0.0]), terms).collect()
+    assert [(r.asset_id, r.match_score, r.text_score, r.total_count) for r in v1] == [(1, 4500 + 122 + 800, text_score, 2), (1, 122 + 800, text_score, 2)]
+    v2 = search.search(assets, index, emb, emb, search.Query(visual=[1.0, 0.0], visual_identity={"model": "m'n"}), terms).collect()
     assert [r.asset_id for r in v2] == [1, 2] and v2[0].match_score == 6500
-    assert search.hybrid_v1(assets, index, emb, search.Query()).count() == 0
-    assert search.hybrid_v2(assets, index, emb, emb, search.Query(q="hair", category="other")).count() == 0
+    assert search.hybrid_v1(assets, index, emb, search.Query(), terms).count() == 0
+    assert search.hybrid_v2(assets, index, emb, emb, search.Query(q="hair", category="other"), terms).count() == 0
+    page = search.search(assets, index, emb, emb, search.Query(sort="largest"), terms).collect()
+    assert [(r.asset_id, r.match_score, r.total_count) for r in page] == [(2, None, 2), (1, None, 2)]
+    assert [r.asset_id for r in search.search(assets, index, emb, emb, search.Query(name="HAIR"), terms).collect()] == [1]
+
+
+def test_search_parameters():
+    q = search.Query.of({"nlq": " hair ", "page": "3x", "pageSize": "50", "type": "video", "extension": ".M-o.V", "query": "a*(b)", "sort": None})
+    assert (q.q, q.page, q.category, q.extension, q.name, q.sort) == ("hair", (50, 100), "video", "mov", "ab", "newest")
+    assert search.Query.of({"page": "-2", "pageSize": "7"}).page == (25, 0) and search.Query.of({"nlq": "x" * 999}).q == "x" * 300
+    for bad in ({"limit": "3"}, {"category": "song"}, {"sort": "best"}):
+        with pytest.raises(ValueError):
+            search.Query.of(bad)
 
 
 def test_quality_and_digest(spark):
