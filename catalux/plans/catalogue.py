@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import english, hashing, text, vectors
-from ..operators import conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, shape, sync
+from ..operators import batchrank, conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, shape, sync
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -406,6 +406,61 @@ def search_by_category(spark, sf_dir):
     return one("video").unionByName(one("document")).unionByName(one("other"))
 
 
+_TYPES = ("exact_terms", "semantic_paraphrase", "natural_conversational", "file_name")
+_ASKED = f"asked AS (SELECT item_id AS query_id, CASE item_id % 9 WHEN 0 THEN 'long hair' WHEN 1 THEN concat('f', item_id) WHEN 2 THEN 'thing' ELSE text END AS q, {fx._pick(_TYPES, '(item_id % 4)')} AS type FROM benchmark)"
+_EXPECTED = "expected AS (SELECT query_id, asset_id FROM asked JOIN active ON asset_id % 5 = query_id % 5 WHERE query_id % 7 <> 0)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark queries (texts, a field's words, part of a name, one word) with a type, and the expected assets as a rule on ids."""
+    q = fx.table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "CASE item_id % 9 WHEN 0 THEN 'long hair' WHEN 1 THEN concat('f', item_id) WHEN 2 THEN 'thing' ELSE text END AS q", f"{fx._pick(_TYPES, '(item_id % 4)')} AS type")
+    return q, q.where("query_id % 7 <> 0").select("query_id")
+
+
+_DICE = "(SELECT query_id, field, value, len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))) AS dice FROM (SELECT query_id, " + _tri("q") + " AS g FROM asked) JOIN (SELECT field, value, " + _tri("value") + " AS h FROM (SELECT DISTINCT 'treatment' AS field, treatment AS value FROM live UNION SELECT 'subject', subject FROM live UNION SELECT 'doctor_name', doctor_name FROM live) WHERE value IS NOT NULL) ON true)"
+_TOP = f"""near_values AS MATERIALIZED (SELECT query_id, field, value FROM {_DICE} WHERE dice >= 0.3),
+scored AS (SELECT k.query_id, a.asset_id, round(0.20 * coalesce(text_rank, 0) + CASE WHEN t.value IS NULL THEN 0 ELSE CAST(0.08 AS DOUBLE) END + CASE WHEN s.value IS NULL THEN 0 ELSE CAST(0.07 AS DOUBLE) END + CASE WHEN d.value IS NULL THEN 0 ELSE CAST(0.10 AS DOUBLE) END
+  + CASE WHEN contains(lower(file_name), lower(q)) THEN CAST(0.10 AS DOUBLE) ELSE 0 END, 9) AS raw
+ FROM asked k JOIN active a ON true LEFT JOIN live i USING (asset_id) LEFT JOIN ranks r ON r.query_id = k.query_id AND r.asset_id = a.asset_id
+ LEFT JOIN near_values t ON t.field = 'treatment' AND t.query_id = k.query_id AND t.value = i.treatment LEFT JOIN near_values s ON s.field = 'subject' AND s.query_id = k.query_id AND s.value = i.subject
+ LEFT JOIN near_values d ON d.field = 'doctor_name' AND d.query_id = k.query_id AND d.value = i.doctor_name),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, asset_id) AS place FROM scored QUALIFY place <= 3)"""
+_BENCHMARK = fx.with_(fx.FILES, fx.FOLDERS, fx.DESTINATIONS, _ACTIVE, fx.INDEX, _LIVE, _ASKED, _EXPECTED, batchrank.ranks_sql("live", "asked", "ranks"), _TOP)
+_VERDICT = "(SELECT k.query_id, type, min(CASE WHEN e.asset_id IS NOT NULL THEN place END) AS expected_rank, CASE WHEN k.query_id IN (SELECT query_id FROM expected) THEN count(e.asset_id) > 0 END AS passed FROM asked k LEFT JOIN top USING (query_id) LEFT JOIN expected e ON e.query_id = k.query_id AND e.asset_id = top.asset_id GROUP BY k.query_id, type)"
+
+
+def _top(spark, sf_dir):
+    return batchrank.top_assets(_asked(spark, sf_dir)[0], _active(spark, sf_dir), _terms(spark, sf_dir))
+
+
+@query(_BENCHMARK + f"SELECT query_id, CAST(place AS BIGINT) AS place, asset_id, {_PPM.format(x='raw')} AS score FROM top")
+def batch_top_assets(spark, sf_dir):
+    """The three best active assets of every benchmark query."""
+    return _top(spark, sf_dir).select("query_id", F.col("place").cast("long").alias("place"), "asset_id", F.floor(F.col("raw") * 10000 + 0.5).cast("long").alias("score"))
+
+
+def _verdicts(spark, sf_dir):
+    (q, some), a = _asked(spark, sf_dir), _active(spark, sf_dir).select("asset_id")
+    top = storage.materialize(_top(spark, sf_dir), "top-assets")
+    # the rule is applied to the assets in the top, and to know of a query whether it expects any to the ids of each class
+    classes = a.select((F.col("asset_id") % 5).alias("c")).distinct()
+    rule = some.withColumn("c", F.col("query_id") % 5).join(F.broadcast(classes), "c", "left_semi")  # five rows
+    expected = top.join(rule, "query_id").where(F.col("asset_id") % 5 == F.col("c")).select("query_id", "asset_id")
+    return batchrank.benchmark(q, top, expected.unionByName(rule.select("query_id", F.lit(None).cast("long").alias("asset_id"))))
+
+
+@query(_BENCHMARK + f"SELECT query_id, type, CAST(expected_rank AS BIGINT) AS expected_rank, passed FROM {_VERDICT}")
+def benchmark_results(spark, sf_dir):
+    """Of every benchmark query the first place of an expected asset among the three best, and whether there is one."""
+    return _verdicts(spark, sf_dir).select("query_id", "type", F.col("expected_rank").cast("long").alias("expected_rank"), "passed")
+
+
+@query(_BENCHMARK + f"SELECT type, CAST(sum(CAST(passed AS INT)) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM {_VERDICT} WHERE passed IS NOT NULL GROUP BY type")
+def benchmark_by_type(spark, sf_dir):
+    """Passed queries by type."""
+    return batchrank.by_type(_verdicts(spark, sf_dir))
+
+
 @query(fx.with_(fx.FILES) + """, f AS (SELECT * FROM files WHERE contains(lower(file_name), '1') AND file_extension = 'mov') SELECT file_id AS asset_id, CAST(NULL AS BIGINT) AS match_score, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY size_bytes DESC NULLS LAST, file_id LIMIT 25 OFFSET 25""")
 def browse_page(spark, sf_dir):
     """What an empty query shows: the second page of the library, filtered and ordered (the limit is the page's)."""
