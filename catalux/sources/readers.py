@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +63,23 @@ def latest_run(runs: DataFrame, fingerprint: str, metadata: str = "metadata") ->
     return runs.where(F.get_json_object(metadata, "$.report_sha256") == fingerprint).orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(1)
 
 
+_MARK = "version string, folder string, at timestamp"
+
+
+def versions(spark: SparkSession, folder: str) -> set[str]:
+    """Names of the published versions: one marker each. Empty where nothing was published."""
+    try:
+        marks = spark.read.schema(_MARK).json(f"{folder}/_published")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+    return {r.version for r in marks.select("version").distinct().collect()}
+
+
 def published(spark: SparkSession, folder: str, table: str = "table", version: str | None = None, kind: str = "parquet") -> DataFrame:
     """A table of the latest published version (of that name, if given); what has no marker is not seen."""
-    marks = spark.read.schema("version string, folder string, at timestamp").json(f"{folder}/_published")
+    marks = spark.read.schema(_MARK).json(f"{folder}/_published")
     last = marks.where(F.lit(version is None) | (F.col("version") == version)).orderBy(F.col("at").desc(), F.col("folder").desc()).first()
     if last is None:
         raise ValueError(f"no published version in {folder}")

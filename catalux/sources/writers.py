@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import redacted
 
 
-def _publish(tables: dict[str, DataFrame], folder: str, version: str, kind: str = "parquet") -> None:
+def publish(tables: dict[str, DataFrame], folder: str, version: str, kind: str = "parquet") -> None:
+    """Write tables that belong together, and then the marker that makes them the version that readers see."""
     place = f"{version}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.mode("errorifexists").format(kind).save(f"{folder}/{place}/{name}")
@@ -24,7 +25,7 @@ def _publish(tables: dict[str, DataFrame], folder: str, version: str, kind: str
 
 def report(df: DataFrame, path: str, version: str = "report") -> None:
     """A JSON report that takes the place of the one before."""
-    _publish({"report": df}, path, version, "json")
+    publish({"report": df}, path, version, "json")
 
 
 def scan_report(df: DataFrame, folder: str) -> None:
@@ -45,9 +46,9 @@ def events(df: DataFrame, path: str, details: str = "details") -> None:
 
 def snapshot(df: DataFrame, path: str, version: str = "snapshot") -> None:
     """A new version of a table; ``df`` may read the version before it."""
-    _publish({"table": df}, path, version)
+    publish({"table": df}, path, version)
 
 
 def completed(index: DataFrame, embeddings: DataFrame, folder: str, version: str) -> None:
     """Two tables that belong together, published at once."""
-    _publish({"index": index, "embeddings": embeddings}, folder, version)
+    publish({"index": index, "embeddings": embeddings}, folder, version)
