@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 Named = Column | str
 
@@ -102,13 +104,31 @@ def format_bytes(c: Named) -> Column:
     return out.otherwise(F.concat(value.cast("string"), F.lit(" TB")))
 
 
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFC")
+
+
+def nfc(c: Named) -> Column:
+    """Canonical composition. No built-in function composes, so texts go to Python in Arrow batches."""
+    return _composed(col(c))
+
+
+#: Names that some file systems keep for devices (fixed values).
+DEVICES = "(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
+#: What parts the pieces of a stem: two or more of white space, control characters, slashes, dots, lines and hyphens, or one that a stem can't hold.
+PARTED = r"(?U)[\s\x00-\x1f/\\._-]{2,}|[\s\x00-\x1f/\\-]"
+
+
 def safe_stem(name: Named, ext: Named) -> Column:
-    """A file's name without ``ext`` as a portable stem; reserved device names give ''. Composed and decomposed forms are kept."""
-    x, e = F.trim(col(name)), F.concat(F.lit("."), F.lower(col(ext)))
-    x = F.when(F.endswith(F.lower(x), e), F.left(x, F.char_length(x) - F.char_length(e))).otherwise(x)
-    x = F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1f/\\]+", "-"), r"\s+", "-")
-    x = F.regexp_replace(F.regexp_replace(x, r"[-_.]{2,}", "-"), r"^[ ._-]+|[ ._-]+$", "")
-    return F.when(F.lower(x).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), "").otherwise(x)
+    """A portable stem of a file's name: its pieces in composed form, joined by hyphens.
+
+    A piece holds no white space, control character or slash; single dots and lines within are kept, at the ends of the stem
+    they aren't. ``ext`` at the end of the name is no part of it. Names of devices give ''.
+    """
+    bare = F.regexp_replace(nfc(name), F.concat(F.lit(r"(?iU)[.]\Q"), col(ext), F.lit(r"\E\s*$")), F.lit(""))
+    stem = F.btrim(F.array_join(F.filter(F.split(bare, PARTED), lambda piece: piece != ""), "-"), F.lit("._"))
+    return F.when(stem.rlike(DEVICES), "").otherwise(stem)
 
 
 def looks_sensitive(stem: Named) -> Column:

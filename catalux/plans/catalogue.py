@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import english, hashing, text, vectors
+from ..functions import details, english, hashing, text, vectors
 from ..operators import batchrank, conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, shape, sync
 from . import fixtures as fx
 
@@ -562,6 +562,16 @@ def redact_secrets(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", text.redacted(F.concat(F.lit("Password: "), "source", F.lit("  x "), kind, "lang", F.lit(" "), "text")).alias("redacted"))
 
 
+_DETAILS = """concat('{"file":"f', event_id, '","n":', user_id, ',"Password":"p', event_id, '","error":"password: abc', event_id, '  and  more","nothing":null,"ok":true,"inner":{"ACCESS_TOKEN":"x","note":"bearer = t', user_id, ' \\\\n ends","deep":{"signed_url":"u","kind":"', event_type, '"}},"list":[{"client_secret":"s","k":1},"authorization:x y"]}')"""
+
+
+@query("""SELECT event_id, concat('{"file":"f', event_id, '","n":"', user_id, '","error":"password=[REDACTED] and more","nothing":null,"ok":"true","inner":{"note":"bearer=[REDACTED] ends","deep":{"kind":"', event_type, '"}},"list":[{"k":"1"},"authorization=[REDACTED] y"]}') AS details FROM events""")
+def event_details(spark, sf_dir):
+    """Nested details of every event without prohibited keys, texts redacted, still JSON."""
+    e = fx.table(spark, sf_dir, "events").selectExpr("event_id", f"{_DETAILS} AS details")
+    return e.select("event_id", details.sanitized("details").alias("details"))
+
+
 @query(fx.with_(fx.FILES) + "SELECT file_id, concat(left(checksum, 8), '…', right(checksum, 4)) AS id, concat('Restricted file.', file_extension) AS name FROM files")
 def masking(spark, sf_dir):
     return fx.files(spark, sf_dir, "file_id", "checksum", "file_name").select("file_id", text.short_id("checksum").alias("id"), text.masked_filename("file_name").alias("name"))

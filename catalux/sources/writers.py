@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import redacted
+from ..functions.details import sanitized
 
 
 def publish(tables: dict[str, DataFrame], folder: str, version: str, kind: str = "parquet") -> None:
@@ -40,8 +40,8 @@ def staging(df: DataFrame, path: str) -> None:
 
 
 def events(df: DataFrame, path: str, details: str = "details") -> None:
-    """Append events with secrets in their details redacted."""
-    df.withColumn(details, redacted(details)).write.mode("append").parquet(path)
+    """Append events without the secrets in their details (``details.sanitized``)."""
+    df.withColumn(details, sanitized(details)).write.mode("append").parquet(path)
 
 
 def snapshot(df: DataFrame, path: str, version: str = "snapshot") -> None:

@@ -1,13 +1,15 @@
 """Edge cases of single operators on small rows."""
 
 import fnmatch
+import json
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from catalux.functions import hashing, text, vectors
+from catalux.functions import details, hashing, text, vectors
 from catalux.operators import conversation, dedupe, fulltext, inventory, lifecycle, quality, rules, search, sync
 
 FILE = "file_id long, file_name string, mime_type string, file_extension string, relative_path string, accessibility_status string, size_bytes long, trashed boolean, is_missing boolean, is_folder boolean, raw_type_ok boolean"
@@ -168,3 +170,29 @@ def test_state_parameters(spark):
     assert back[0].p == {"cs_q": "a  b", "cs_media": "video", "cs_content": "Other", "cs_exclude": "x|y"} and back[0].semantic_query == "a b" and back[0].sort == "relevance"
     assert back[1].media_type is None and back[1].treatment == "t" and back[1].sort == "newest" and back[1].semantic_query == ""
 
+
+
+def test_details_lose_their_secrets_and_stay_json(spark):
+    texts = [
+        '{"error":"password: abc","file":"f1","n":3}', '{"password":"abc"}', '{"a":{"b":{"c":{"d":{"e":{"password":"x"}}}}}}', "password: abc and more", '{"broken', None, '{"x":"%s"}' % ("y" * 900), '{"q":"say \\"hi\\" \\u00e9 \\\\ /"}', "{}",
+        '{"text":"{\\"password\\":\\"x\\",\\"k\\":1}"}', "[1]", '{"Signed_URL":{"a":1},"l":[[{"PASSWORD":1}],null,2.5]}',
+    ]
+    got = [r.d for r in spark.createDataFrame([(t,) for t in texts], "details string").select(details.sanitized("details").alias("d")).collect()]
+    assert json.loads(got[0]) == {"error": "password=[REDACTED]", "file": "f1", "n": "3"} and got[1] == "{}"
+    assert json.loads(got[2]) == {"a": {"b": {"c": {"d": {"e": "[REDACTED]"}}}}}
+    assert got[3] == "password=[REDACTED] and more" and got[4] == '{"broken' and got[5] is None
+    assert json.loads(got[6]) == {"x": "y" * 500} and json.loads(got[7]) == {"q": 'say "hi" é \\ /'} and got[8] == "{}"
+    assert json.loads(got[9]) == {"text": {"k": "1"}} and got[10] == "[1]" and json.loads(got[11]) == {"l": [[{}], None, "2.5"]}
+
+
+def test_stems_are_portable_and_composed(spark):
+    names = {
+        " my  file/x..JPG ": "my-file-x", "CON.jpg": "", "a_b.c.jpg": "a_b.c", "_a_.jpg": "a", "a-_b.jpg": "a-b", "a\tb\\c\x01d.JPG  ": "a-b-c-d", "..": "", "é.jpg": unicodedata.normalize("NFC", "é"), "e\u0301\u0323x": unicodedata.normalize("NFC", "e\u0301\u0323x"),
+        "\u1112\u1161\u11ab": "한", "a\u00a0b\u2003.jpg": "a-b", "lpt1": "", "lpt10": "lpt10", "x.jpg.jpg": "x.jpg", "x(1) [2].jpg": "x(1)-[2]",
+    }
+    rows = spark.createDataFrame([(k,) for k in names], "name string").select("name", text.safe_stem("name", F.lit("jpg")).alias("s")).collect()
+    assert {r.name: r.s for r in rows} == names
+    points = [chr(i) for i in range(0xA0, 0x3000) if not 0xD800 <= i < 0xE000] + [unicodedata.normalize("NFD", chr(i)) for i in range(0xA0, 0x3000)]
+    got = spark.createDataFrame(list(enumerate(points)), "i long, s string").select("i", text.nfc("s").alias("s")).collect()
+    assert all(r.s == unicodedata.normalize("NFC", points[r.i]) for r in got)
+    assert spark.createDataFrame([(None,)], "name string").select(text.safe_stem("name", F.lit("jpg")).alias("s")).first().s is None
