@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import records, rules, sync
@@ -84,7 +84,7 @@ def _file_rows(judged: DataFrame) -> DataFrame:
     return judged.where((o != "INACCESSIBLE") | F.col("s_folder_id").isNotNull()).select("file_id", *[pick[c].alias(c) for c in _KEPT])
 
 
-def _details(columns: Iterable) -> F.Column:
+def _details(columns: Iterable[Column | str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 

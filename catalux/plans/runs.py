@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import storage
-from ..operators import sync_run
+from ..operators import leases, sync_run
 from . import fixtures as fx
 from .catalogue import _REASON, RULES, query
 
@@ -90,3 +90,24 @@ def sync_run_destinations(spark, sf_dir):
 def sync_run_totals(spark, sf_dir):
     """Counters of the run."""
     return sync_run.totals(_judged(spark, sf_dir)[0])
+
+
+_REQUESTS = {
+    "item_id": "user_id % 40", "at": "{ms}", "number": "event_id", "kind": "CASE WHEN event_id % 5 < 3 THEN 'CLAIM' WHEN event_id % 5 = 3 THEN 'RENEW' ELSE 'RELEASE' END",
+    "owner": "concat('w', event_id % 3)", "seconds": "CAST(600 + event_id % 7 * 3600 AS INT)",
+}
+_UNTIL = 1706400000000
+
+
+@query("WITH RECURSIVE r AS (SELECT " + ", ".join(f"{x.replace('{ms}', 'epoch_us(ts) // 1000')} AS {c if c != 'at' else 'ms'}" for c, x in _REQUESTS.items()) + f""" FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ms, number) AS k FROM r),
+w AS (SELECT item_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS BIGINT) AS ends, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS VARCHAR) AS who, CAST(NULL AS VARCHAR) AS lost, CAST(NULL AS BIGINT) AS lost_at FROM (SELECT DISTINCT item_id FROM n)
+ UNION ALL SELECT item_id, k, CASE WHEN event IN ('UPLOAD_CLAIMED', 'CLAIM_RENEWED') THEN who WHEN event = 'CLAIM_RELEASED' THEN NULL ELSE owner END, CASE WHEN event IN ('UPLOAD_CLAIMED', 'CLAIM_RENEWED') THEN ms + 1000 * seconds WHEN event = 'CLAIM_RELEASED' THEN NULL ELSE ends END, ms, event, who, lost, lost_at
+ FROM (SELECT item_id, k, ms, seconds, who, owner, ends, lost, lost_at, CASE WHEN kind = 'CLAIM' AND owner IS NULL THEN 'UPLOAD_CLAIMED' WHEN kind = 'RENEW' AND owner = who THEN 'CLAIM_RENEWED' WHEN kind = 'RELEASE' AND owner = who THEN 'CLAIM_RELEASED' ELSE 'CLAIM_REFUSED' END AS event
+  FROM (SELECT n.item_id, n.k, n.ms, n.kind, n.seconds, n.owner AS who, CASE WHEN w.ends > n.ms THEN w.owner END AS owner, CASE WHEN w.ends > n.ms THEN w.ends END AS ends, CASE WHEN w.ends <= n.ms THEN w.owner END AS lost, CASE WHEN w.ends <= n.ms THEN w.ends END AS lost_at FROM w JOIN n ON n.item_id = w.item_id AND n.k = w.k + 1)))
+SELECT item_id, ms AS "at", event, who AS owner, CASE WHEN event = 'CLAIM_RELEASED' THEN NULL ELSE ends END AS expires_at FROM w WHERE k > 0 UNION ALL SELECT item_id, lost_at, 'CLAIM_RECOVERED', lost, NULL FROM w WHERE lost IS NOT NULL
+UNION ALL SELECT item_id, ends, 'CLAIM_RECOVERED', owner, NULL FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS last FROM w) WHERE last = 1 AND ends <= {_UNTIL}""")
+def lease_history(spark, sf_dir):
+    """What every request for a lease did, and the leases that ran out."""
+    r = fx.table(spark, sf_dir, "events").selectExpr(*[f"{x.replace('{ms}', 'unix_millis(CAST(ts AS TIMESTAMP))')} AS {c}" for c, x in _REQUESTS.items()])
+    return leases.history(r, _UNTIL)
