@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import storage
 from ..operators import leases, sync_run
+from ..sources import buckets
 from . import fixtures as fx
-from .catalogue import _REASON, RULES, query
+from .catalogue import _REASON, RULES, SQL, _snapshots, query
 
 _STORED_SIZE = "CASE WHEN file_id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END"
 _STORED_HASH = "CASE WHEN file_id % 13 = 0 THEN NULL WHEN file_id % 7 = 0 THEN md5(concat('old', file_id)) ELSE content_hash END"
@@ -111,3 +112,24 @@ def lease_history(spark, sf_dir):
     """What every request for a lease did, and the leases that ran out."""
     r = fx.table(spark, sf_dir, "events").selectExpr(*[f"{x.replace('{ms}', 'unix_millis(CAST(ts AS TIMESTAMP))')} AS {c}" for c, x in _REQUESTS.items()])
     return leases.history(r, _UNTIL)
+
+
+@query(SQL["upsert_snapshot"])
+def bucketed_upsert(spark, sf_dir):
+    """Upsert on a key, in buckets: those without incoming keys are not written."""
+    f = fx.files(spark, sf_dir, "file_id", "size_bytes")
+    t = buckets.Buckets(spark, storage.new_path(spark, "buckets"), "file_id", ("file_id", "size_bytes", "first_seen", "last_seen"), 32)
+    t.write(f.where("file_id % 3 <> 0").selectExpr("*", "TIMESTAMP '2024-01-01' AS first_seen", "TIMESTAMP '2024-01-01' AS last_seen"), "stored")
+    t.upsert(f.where("file_id % 4 = 0").selectExpr("file_id", "size_bytes + 5 AS size_bytes", "TIMESTAMP '2024-02-01' AS observed_at"), "upserted")
+    return t.read()
+
+
+@query(SQL["snapshot_diff"])
+def bucketed_diff(spark, sf_dir):
+    """Classes of files by comparing digests of buckets first."""
+    sides = []
+    for name, files in zip(("discovered", "stored"), _snapshots(spark, sf_dir), strict=True):
+        t = buckets.Buckets(spark, storage.new_path(spark, f"buckets-{name}"), "file_id", buckets.COMPARED, 32)
+        t.write(buckets.comparable(files), "v")
+        sides.append(t)
+    return buckets.classified(*sides)
