@@ -84,7 +84,7 @@ def retry_delay(attempt: Column, retry_after: Column | None = None) -> Column:
 def stop_conditions(results: DataFrame, run: str, order: str) -> DataFrame:
     """Per attempt: runs of byte mismatches and of exhausted retries, share of severe outcomes so far, and the first reason to stop.
 
-    A run's attempts are one ordered sequence (a batch of at most a few hundred in practice), so a window by run orders them.
+    A run's attempts are one window's (a batch of at most a few hundred in practice); ``longruns`` has the same for any length.
     """
     w = Window.partitionBy(run).orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -92,8 +92,12 @@ def stop_conditions(results: DataFrame, run: str, order: str) -> DataFrame:
     df = results.withColumns({"_m": island("mismatch"), "_e": island("exhausted"), "attempted": F.count("*").over(so_far), "severe_so_far": F.sum(F.col("severe").cast("long")).over(so_far)})
     run_of = lambda c, g: F.sum(F.col(c).cast("long")).over(Window.partitionBy(run, g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumns({"mismatches": run_of("mismatch", "_m"), "exhaustions": run_of("exhausted", "_e")})
-    reason = F.when(F.col("mismatches") >= 2, "TWO_CONSECUTIVE_BYTE_MISMATCHES").when(F.col("exhaustions") >= 3, "THREE_CONSECUTIVE_RETRY_EXHAUSTIONS").when(F.col("severe_so_far") * 100 >= F.col("attempted") * 5, "SEVERE_RATE_5_PERCENT")
-    return df.withColumn("stop_reason", reason).drop("_m", "_e")
+    return df.withColumn("stop_reason", stop_reason_of()).drop("_m", "_e")
+
+
+def stop_reason_of() -> Column:
+    """The first reason to stop, of mismatches, exhaustions, severe_so_far and attempted."""
+    return F.when(F.col("mismatches") >= 2, "TWO_CONSECUTIVE_BYTE_MISMATCHES").when(F.col("exhaustions") >= 3, "THREE_CONSECUTIVE_RETRY_EXHAUSTIONS").when(F.col("severe_so_far") * 100 >= F.col("attempted") * 5, "SEVERE_RATE_5_PERCENT")
 
 
 def resolve_location(assets: DataFrame, destinations: DataFrame, sources: DataFrame | None = None) -> DataFrame:

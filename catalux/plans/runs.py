@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import storage
-from ..operators import leases, sync_run
+from ..operators import leases, longruns, sync_run
 from ..sources import buckets
 from . import fixtures as fx
 from .catalogue import _REASON, RULES, SQL, _snapshots, query
@@ -133,3 +133,13 @@ def bucketed_diff(spark, sf_dir):
         t.write(buckets.comparable(files), "v")
         sides.append(t)
     return buckets.classified(*sides)
+
+
+@query("""WITH x AS (SELECT 0 AS run, event_id, event_type = 'error' AS mismatch, event_type = 'view' AS exhausted, event_id % 60 = 0 AS severe FROM events),
+g AS (SELECT *, sum(CASE WHEN mismatch THEN 0 ELSE 1 END) OVER w AS gm, sum(CASE WHEN exhausted THEN 0 ELSE 1 END) OVER w AS ge, count(*) OVER w AS attempted, sum(severe::INT) OVER w AS severe_so_far FROM x WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, sum(mismatch::INT) OVER (PARTITION BY run, gm ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mismatches, sum(exhausted::INT) OVER (PARTITION BY run, ge ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS exhaustions FROM g)
+SELECT event_id, CAST(attempted AS BIGINT) AS attempted, CAST(severe_so_far AS BIGINT) AS severe_so_far, CAST(mismatches AS BIGINT) AS mismatches, CAST(exhaustions AS BIGINT) AS exhaustions, CASE WHEN mismatches >= 2 THEN 'TWO_CONSECUTIVE_BYTE_MISMATCHES' WHEN exhaustions >= 3 THEN 'THREE_CONSECUTIVE_RETRY_EXHAUSTIONS' WHEN severe_so_far * 100 >= attempted * 5 THEN 'SEVERE_RATE_5_PERCENT' END AS stop_reason FROM r""")
+def long_run_conditions(spark, sf_dir):
+    """Stop conditions of all events as one run, whose parts lie in several tasks."""
+    e = fx.table(spark, sf_dir, "events").selectExpr("0 AS run", "event_id", "event_type = 'error' AS mismatch", "event_type = 'view' AS exhausted", "event_id % 60 = 0 AS severe")
+    return longruns.stop_conditions(e, "run", "event_id").select("event_id", "attempted", "severe_so_far", "mismatches", "exhaustions", "stop_reason")

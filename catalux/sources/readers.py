@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
 from ..operators.inventory import onboarding_rows
 from ..schemas import INVENTORY_ITEM, INVENTORY_REPORT, ONBOARDING_ROW
 
@@ -40,6 +41,45 @@ def onboarding_csv(spark: SparkSession, path: str) -> DataFrame:
     return onboarding_rows(df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name) for f in ONBOARDING_ROW]))
 
 
+#: Columns that a manifest of source folders must and may have (fixed values).
+REQUIRED = ("source_name", "account_name", "folder_url", "notes", "active")
+OPTIONAL = ("expected_folder_id", "clinical_content", "processing_enabled")
+
+
+def numbered_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The records of CSV files with a header, as text, with file and ``row_number`` from 2 on in each file.
+
+    A file may be split: records are counted by split, and a split begins where the counts of those before it end. Within a split a
+    record's number follows from its id in the task. Records over several lines need ``multi_line``, which doesn't split files.
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(path)
+    names = [c.removeprefix("\ufeff") for c in df.columns]
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    df = storage.materialize(df, "numbered")
+    splits = df.groupBy("file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return df.join(splits, ["file", "_split"]).withColumn("row_number", F.col("_before") + F.col("_id") - F.col("_first") + 2).select("file", "row_number", *names)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered rows of a manifest with folder_id, is_active and reason (null: accepted).
+
+    Missing or unknown columns refuse the whole file. Of the acceptable rows of one folder the first is accepted, the others are
+    rejected as duplicates.
+    """
+    df = numbered_csv(spark, path)
+    columns = set(df.columns) - {"file", "row_number"}
+    if missing := set(REQUIRED) - columns:
+        raise ValueError(f"missing columns: {', '.join(sorted(missing))}")
+    if unknown := columns - {*REQUIRED, *OPTIONAL}:
+        raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
+    rows = onboarding_rows(df)
+    first = rows.where("reason is null").groupBy("folder_id").agg(F.min(F.struct("file", "row_number")).alias("_first"))
+    later = F.col("reason").isNull() & (F.struct("file", "row_number") != F.col("_first"))
+    return rows.join(first, "folder_id", "left").withColumn("reason", F.when(F.coalesce(later, F.lit(False)), "DUPLICATE_FOLDER_ID").otherwise(F.col("reason"))).drop("_first")
+
+
 def first_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key, ties by all columns; rows without a key are left out."""
     w = Window.partitionBy(key).orderBy(*order, *[c for c in df.columns if c not in order])
