@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..schemas import FORMATS
+from ..schemas import FORMATS, INVENTORY_ITEM
 from .inventory import ZONED, errors_of
 from .shape import first_reason
 from .sync import instant
@@ -202,3 +203,19 @@ def json_vector(c: Column | str, dimension: int) -> Column:
 
 def is_json_object(c: Column | str) -> Column:
     return known(F.startswith(F.ltrim(text.col(c)), F.lit("{")) & F.json_object_keys(text.col(c)).isNotNull())
+
+
+def wrong_types(raw: Column | str) -> Column:
+    """Fields of an inventory item (JSON text) whose JSON type isn't allowed, in the item's order; null if the text is no JSON object.
+
+    Texts may be null, a size may be null or a whole number (a truth value or a number with a point is none); every other type is wrong.
+    The item is read once, as a variant, so that "3" and 3 differ.
+    """
+    v = F.try_parse_json(text.col(raw))
+    found = []
+    for f in INVENTORY_ITEM:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{f.name}", "variant"))
+        allowed = ("VOID", "BIGINT") if isinstance(f.dataType, T.LongType) else ("VOID", "STRING")
+        found.append(F.when(kind.isNotNull() & ~kind.isin(*allowed), f.name))
+    wrong = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.when(F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)), wrong)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import destinations, preview, rules
+from ..operators import checks, destinations, preview, rules
 from . import catalogue
 from . import fixtures as fx
 from .catalogue import _REASON, RULE_COLUMNS, RULES, query
@@ -106,3 +106,16 @@ def run_preflight(spark, sf_dir):
     assets = f.select(F.col("content_hash").alias("asset_id")).distinct()
     links = f.where("file_id % 5 <> 0").selectExpr("CASE WHEN file_id % 97 = 0 THEN 'gone' ELSE content_hash END AS asset_id", "file_id").unionByName(f.where("file_id % 89 = 0").selectExpr("content_hash AS asset_id", "-file_id - 1 AS file_id"))
     return preview.preflight(assets, links, f, assets, fx.destinations(spark, sf_dir), 1000, 0)
+
+
+_SIZE = "CASE file_id % 7 WHEN 0 THEN concat('\"', size_bytes, '\"') WHEN 1 THEN 'true' WHEN 2 THEN concat(size_bytes, '.5') WHEN 3 THEN 'null' WHEN 4 THEN '{\"a\":1}' ELSE concat('', size_bytes) END"
+_RAW = f"concat('{{\"file_id\":', CASE WHEN file_id % 5 = 0 THEN concat('', file_id) ELSE concat('\"', file_id, '\"') END, ',\"name\":', CASE WHEN file_id % 11 = 0 THEN '[\"x\"]' ELSE concat('\"', file_name, '\"') END, ',\"size\":', {_SIZE}, CASE WHEN file_id % 13 = 0 THEN ',\"md5_checksum\":false' ELSE '' END, CASE WHEN file_id % 17 = 0 THEN '' ELSE '}}' END)"
+
+
+@query(fx.with_(fx.FILES) + f""", r AS (SELECT file_id, {_RAW} AS raw FROM files), t AS (SELECT file_id, CASE WHEN json_valid(raw) THEN raw END AS raw FROM r)
+SELECT file_id, CASE WHEN raw IS NOT NULL THEN concat_ws('|', CASE WHEN json_type(raw, '$.file_id') NOT IN ('VARCHAR', 'NULL') THEN 'file_id' END, CASE WHEN json_type(raw, '$.name') NOT IN ('VARCHAR', 'NULL') THEN 'name' END,
+ CASE WHEN json_type(raw, '$.size') NOT IN ('BIGINT', 'UBIGINT', 'NULL') THEN 'size' END, CASE WHEN json_type(raw, '$.md5_checksum') NOT IN ('VARCHAR', 'NULL') THEN 'md5_checksum' END) END AS wrong FROM t""")
+def item_types(spark, sf_dir):
+    """Fields of raw inventory items whose JSON type is wrong; null for broken JSON."""
+    raw = fx.files(spark, sf_dir, "file_id", "file_name", "size_bytes").selectExpr("file_id", f"{_RAW} AS raw")
+    return raw.select("file_id", F.array_join(checks.wrong_types("raw"), "|").alias("wrong"))
