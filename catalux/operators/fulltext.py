@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import english, text
 
 LAST_POSITION = 16383
@@ -40,8 +41,11 @@ def terms(c):
 
 def postings(texts: DataFrame, key: str = "asset_id", c: str = "searchable_text") -> DataFrame:
     """key, term, positions of every text. Words are stemmed once each, not at every place."""
-    words = texts.select(key, F.posexplode(terms(F.col(c))).alias("position", "word")).where(~F.col("word").isin(*english.STOP_WORDS))
-    stems = english.stemmed(words.select("word").distinct())
+    texts = texts.select(key, terms(F.col(c)).alias("words"))
+    words = texts.select(key, F.posexplode("words").alias("position", "word")).where(~F.col("word").isin(*english.STOP_WORDS))
+    every = texts.select(F.explode(F.array_distinct("words")).alias("word")).distinct().where(~F.col("word").isin(*english.STOP_WORDS))
+    # the words are few bytes but much work each: as many tasks as a shuffle has, however small they are
+    stems = english.stemmed(every.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     place = F.least(F.col("position") + 1, F.lit(LAST_POSITION))
     found = words.join(stems, "word").groupBy(key, "term").agg(F.collect_set(place).alias("positions"))  # at most LAST_POSITION numbers a text
     return found.withColumn("positions", F.slice(F.array_sort("positions"), 1, MOST_POSITIONS))
@@ -52,7 +56,11 @@ def _shard(c: str, shards: int):
 
 
 def _write(df: DataFrame, path: str, c: str, shards: int) -> None:
-    """Range partitions split a term that most assets have; each writes to the few shards of its range."""
+    """Range partitions split a term that most assets have; each writes to the few shards of its range.
+
+    Rows are stored first, as ranges are found by a sample, which would make them twice.
+    """
+    df = storage.materialize(df, "lists")
     order = ["shard", *[x for x in df.columns if x == c], *[x for x in df.columns if x != c and not x.startswith("positions")]]
     df.withColumn("shard", _shard(c, shards)).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("shard").parquet(path)
 
