@@ -137,9 +137,9 @@ def snapshot_diff(spark, sf_dir):
 _OUTCOME = "CASE classification WHEN 'NEW' THEN 'UPLOADED_VERIFIED' WHEN 'CHANGED' THEN 'LINKED_DUPLICATE' ELSE classification END"
 
 
-@query(fx.with_(fx.FILES, _SNAPSHOTS, _CLASSIFY) + f""", o AS (SELECT file_id, {_OUTCOME} AS outcome FROM c)
-SELECT CAST(1000 AS BIGINT) AS expected, CAST(count(*) AS BIGINT) AS recorded, CAST(count(*) FILTER (WHERE outcome IN ('FAILED', 'AWAITING_RETRY', 'INACCESSIBLE')) AS BIGINT) AS unresolved, CAST(0 AS BIGINT) AS invalid,
- CAST(count(*) - count(DISTINCT file_id) AS BIGINT) AS repeated, false AS clean, 'CONTRADICTION_OR_EXCEPTION' AS status FROM o""")
+@query(fx.with_(fx.FILES, _SNAPSHOTS, _CLASSIFY) + f""", o AS (SELECT file_id, {_OUTCOME} AS outcome FROM c), a AS (SELECT CAST(count(*) AS BIGINT) AS recorded, CAST(count(*) FILTER (WHERE outcome IN ('FAILED', 'AWAITING_RETRY', 'INACCESSIBLE')) AS BIGINT) AS unresolved,
+ CAST(count(*) FILTER (WHERE outcome IS NULL OR outcome NOT IN ('UNCHANGED', 'SKIPPED', 'LINKED_DUPLICATE', 'UPLOADED_VERIFIED', 'FAILED', 'AWAITING_RETRY', 'INACCESSIBLE', 'REMOVED_FROM_SOURCE', 'PLANNED')) AS BIGINT) AS invalid, CAST(count(*) - count(DISTINCT file_id) AS BIGINT) AS repeated FROM o)
+SELECT CAST(1000 AS BIGINT) AS expected, a.*, invalid = 0 AND repeated = 0 AND recorded = 1000 AND unresolved = 0 AS clean, CASE WHEN invalid = 0 AND repeated = 0 AND recorded = 1000 AND unresolved = 0 THEN 'RECONCILED' ELSE 'CONTRADICTION_OR_EXCEPTION' END AS status FROM a""")
 def reconcile_outcomes(spark, sf_dir):
     return sync.reconcile(sync.classify(*_snapshots(spark, sf_dir)).select("file_id", F.expr(_OUTCOME).alias("outcome")), 1000)
 
