@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from .checks import route
 from .rules import media_category
+from .sync import instant
 
 CLASSES = {"supported_media": ("TAKE", "READY"), "unsupported": ("SKIP", "SKIPPED"), "inaccessible": ("PENDING", "INACCESSIBLE")}
 
@@ -65,6 +66,20 @@ def staging_rows(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return df.select("job_id", "asset_id", "file_name", "media_type", *[c for c in results.columns if c != "asset_id"], provenance.alias("provenance"), F.when(F.col("_done"), "STAGED").otherwise("FAILED").alias("result_state"))
 
 
+#: Fields of an import that a report owns; the times among them are compared as instants.
+IMPORT_FIELDS = (
+    "file_id", "file_name", "mime_type", "file_extension", "size_bytes", "checksum", "created_at", "modified_at", "view_link",
+    "thumbnail_link", "parent_folder_id", "relative_path", "decision", "processing_status", "processing_error", "skip_reason", "trashed", "is_missing",
+)
+IMPORT_TIMES = ("created_at", "modified_at")
+
+
+def import_changes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``changed_fields`` over all fields of an import but the key. The stored rows may have further columns."""
+    times = {c: instant(c) for c in IMPORT_TIMES}
+    return changed_fields(existing.withColumns(times), incoming.withColumns(times), "file_id", [c for c in IMPORT_FIELDS if c != "file_id"])
+
+
 def changed_fields(existing: DataFrame, incoming: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """(key, action, changed): INSERT, UPDATE with the names of the fields that differ, or UNCHANGED."""
     old = existing.select(key, F.struct(*compared).alias("_old"))

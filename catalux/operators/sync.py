@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def trusted_unchanged(classified: DataFrame, stored: DataFrame) -> DataFrame:
     return classified.where("classification = 'UNCHANGED'").join(stored.where(state.isin(*TRUSTED_STATES) & proof.isNotNull()), "file_id", "left_semi")
 
 
+CLASSES = ("NEW", "CHANGED", "UNCHANGED", "REMOVED_FROM_SOURCE", "INACCESSIBLE")
+
+
+def class_counts(classified: DataFrame) -> DataFrame:
+    """(classification, files) of every class, absent ones with 0."""
+    n = classified.groupBy("classification").agg(F.count("*").alias("n"))
+    names = classified.sparkSession.createDataFrame([(c,) for c in CLASSES], "classification string")
+    return names.join(n, "classification", "left").select("classification", F.coalesce("n", F.lit(0)).cast("long").alias("files"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(relation, rows) of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("relation"), "rows") for name, df in tables.items()])
+
+
+def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(relation, rows_before, rows_after) of the relations whose counts differ; one that a side lacks has null there."""
+    b, a = before.withColumnRenamed("rows", "rows_before"), after.withColumnRenamed("rows", "rows_after")
+    return b.join(a, "relation", "full").where("not (rows_before <=> rows_after)").select("relation", "rows_before", "rows_after")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, seen: str = "observed_at") -> DataFrame:
     """New snapshot: incoming values win, ``first_seen`` stays, ``last_seen`` is the latest of first_seen and the observation."""
     values = [c for c in incoming.columns if c not in (key, seen)]

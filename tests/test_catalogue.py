@@ -7,7 +7,7 @@ import uuid
 import duckdb
 import pytest
 
-from catalux.plans import catalogue, library, records, runs  # noqa: F401
+from catalux.plans import audits, catalogue, library, records, runs  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
