@@ -39,11 +39,11 @@ def catalogue_drift(spark, sf_dir):
 
 
 _ID = "concat(lpad(CAST({} AS {{s}}), 8, '0'), '-0000-4000-8000-', {})"
-#: Rows of manifests: 24 documents each, of which every second pair has one id; a few ids are none.
+#: Rows of manifests: 24 documents each, pairs of one id but in every fifth; a few ids are none.
 _PILOT = {
     "manifest_id": "doc_id - doc_id % 24",
     "position": "doc_id",
-    "asset_id": f"CASE WHEN doc_id % 601 = 5 THEN 'none' ELSE {_ID.format('doc_id - doc_id % 2', chr(39) + '0' * 12 + chr(39))} END",
+    "asset_id": f"CASE WHEN doc_id % 601 = 5 THEN 'none' ELSE {_ID.format('doc_id - CASE WHEN (doc_id - doc_id % 24) % 5 = 0 THEN 0 ELSE doc_id % 2 END', chr(39) + '0' * 12 + chr(39))} END",
     "risk_flag": "CASE WHEN doc_id % 200 < 2 THEN 'DO_NOT_SEND_EXTERNALLY' ELSE 'NONE' END",
     "approved": "doc_id % 3 <> 0",
 }
@@ -57,13 +57,13 @@ def _pilot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _VERDICT = "WITH m AS (SELECT DISTINCT doc_id - doc_id % 24 AS manifest_id, coalesce(" + _TIER + ", 'clinical') AS tier FROM documents), r AS (SELECT " + ", ".join(f"{x.replace('{s}', 'VARCHAR')} AS {c}" for c, x in _PILOT.items()) + """ FROM documents),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, asset_id ORDER BY position) AS k FROM r) WHERE k = 1),
-v AS (SELECT manifest_id, tier, CAST(count(asset_id) AS BIGINT) AS assets, CASE WHEN tier NOT IN ('low-risk', 'clinical') THEN 'TIER_UNKNOWN' WHEN count(asset_id) = 0 THEN 'NO_ASSETS' WHEN bool_or(asset_id = 'none') THEN 'ASSET_ID_NOT_UUID' WHEN count(asset_id) > 11 THEN 'TOO_MANY_ASSETS'
+v AS (SELECT manifest_id, tier, CAST(count(asset_id) AS BIGINT) AS assets, CASE WHEN tier NOT IN ('low-risk', 'clinical') THEN 'TIER_UNKNOWN' WHEN count(asset_id) = 0 THEN 'NO_ASSETS' WHEN bool_or(asset_id = 'none') THEN 'ASSET_ID_NOT_UUID' WHEN count(asset_id) > 12 THEN 'TOO_MANY_ASSETS'
  WHEN tier = 'low-risk' AND bool_or(risk_flag = 'DO_NOT_SEND_EXTERNALLY') THEN 'NEVER_SENT_ASSET_IN_LOW_RISK' END AS reason FROM m LEFT JOIN one USING (manifest_id) GROUP BY 1, 2),
 ok AS (SELECT manifest_id, asset_id, position FROM one JOIN (SELECT manifest_id FROM v WHERE reason IS NULL) USING (manifest_id) WHERE approved)"""
 
 
 def _judged(assets: DataFrame, manifests: DataFrame) -> DataFrame:
-    return pilot.verdicts(manifests, assets, 11, "clinical")
+    return pilot.verdicts(manifests, assets, 12, "clinical")
 
 
 @query(_VERDICT + " SELECT * FROM v")
