@@ -122,14 +122,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+#: Parts that the pages of a digest are cut into; the digests of several pages go to each.
+SALTS = 16
+
+
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages whose digest an earlier page has. Only ids and digests are shuffled, and a digest's pages meet its first one in parts."""
+    ids = pages.select("page_id", "digest").where("page_id is not null").distinct()
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
+    salted = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to")
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every page; a stored table of the captures."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     body = F.coalesce("html", F.lit(""))
-    src = src.withColumns({"digest": F.sha2(body.cast("binary"), 256), "size": F.octet_length(body)})
-    first = src.where(f"size >= {MIN_BYTES} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
-    named = src.join(first, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    src = src.withColumn("digest", F.unhex(F.sha2(body.cast("binary"), 256)))
+    named = src.join(revisits(src.where(F.octet_length(body) >= MIN_BYTES)), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
     return materialize(named.mapInArrow(_write(folder), CAPTURE), "captures")
 
 
@@ -270,17 +280,19 @@ def _files_of(bounds: list[tuple]):
 
 def _found(index: str):
     def run(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
-        """The lines of an index file's wanted pages: the block by bisection of the directory, the line by that of the block."""
+        """The lines of an index file's wanted pages, in order: the block by bisection of the directory, the line by that of the block, which is held until another is needed."""
         want = sorted({_place(k, p) for k, p in zip(wanted.column("key").to_pylist(), wanted.column("page_id").to_pylist(), strict=True)})
-        out = []
-        for x in blocks.to_pylist():
-            lo, hi = bisect_left(want, _place(x["first_key"], x["first_page"])), bisect_right(want, _place(x["last_key"], x["last_page"]))
-            if lo == hi:
-                continue
-            lines = _lines(read_range(index, x["file"], x["offset"], x["length"]))
-            places = [_place(*line[:2]) for line in lines]
-            for place in want[lo:hi]:
+        rows = sorted(blocks.to_pylist(), key=lambda x: (_place(x["first_key"], x["first_page"]), x["offset"]))
+        firsts, lasts = [_place(x["first_key"], x["first_page"]) for x in rows], [_place(x["last_key"], x["last_page"]) for x in rows]
+        out, held, lines, places = [], -1, [], []
+        for place in want:
+            i = bisect_right(firsts, place) - 1
+            while i >= 0 and lasts[i] >= place:  # rows of one page may go over several blocks
+                if i != held:
+                    held, lines = i, _lines(read_range(index, rows[i]["file"], rows[i]["offset"], rows[i]["length"]))
+                    places = [_place(*line[:2]) for line in lines]
                 out += [line[2:] for line in lines[bisect_left(places, place) : bisect_right(places, place)]]
+                i -= 1
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
 

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 
+import pyarrow as pa
+
 from catalux.llm import warc
 
 
@@ -57,3 +59,25 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     directory = warc.build_index(warc.write_archives(df, folder), index)
     assert warc.read_all(spark, folder, index, directory).count() == 0 and warc.read_pages(df, folder, index, directory).count() == 0
+
+
+def test_search_reads_the_blocks_it_needs_once(spark, monkeypatch):
+    """Many rows of one page go over several blocks; other blocks stay unread."""
+    rows = [(i, f"http://h/{i:04d}", "p") for i in range(100)] + [(50, "http://h/0050", "p")] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder, index = warc.new_folder(spark, "t"), warc.new_folder(spark, "i")
+    directory = warc.build_index(warc.write_archives(df, folder), index, lines=8)
+    file = directory.where("first_page <= 50 and last_page >= 50").first().file
+    blocks = directory.where(directory.file == file).toArrow()
+    want = [(r.key, r.page_id) for r in spark.createDataFrame([(warc.key_of(u), i) for i, u, _ in rows if i in (50, 51)], "key string, page_id long").distinct().collect()]
+    wanted = pa.table({"key": [k for k, _ in want], "page_id": pa.array([p for _, p in want], pa.int64())})
+    read, plain = [], warc.read_range
+    monkeypatch.setattr(warc, "read_range", lambda f, n, at, size: read.append(at) or plain(f, n, at, size))
+    found = warc._found(index)(wanted, blocks)
+    assert found.num_rows == 42 and len(read) == len(set(read)) < blocks.num_rows
+    assert warc._found(index)(wanted.slice(0, 0), blocks).num_rows == 0
+
+
+def test_copies_of_one_payload_meet_in_parts(spark):
+    df = spark.createDataFrame([(i, b"d" if i % 3 else bytes([i])) for i in range(60)] + [(None, b"d"), (1, b"d")], "page_id long, digest binary")
+    assert sorted(tuple(r)[::2] for r in warc.revisits(df).collect()) == [(i, 1) for i in range(2, 60) if i % 3]
