@@ -71,10 +71,12 @@ def test_search_reads_the_blocks_it_needs_once(spark, monkeypatch):
     blocks = directory.where(directory.file == file).toArrow()
     want = [(r.key, r.page_id) for r in spark.createDataFrame([(warc.key_of(u), i) for i, u, _ in rows if i in (50, 51)], "key string, page_id long").distinct().collect()]
     wanted = pa.table({"key": [k for k, _ in want], "page_id": pa.array([p for _, p in want], pa.int64())})
+    there = [line for b in blocks.to_pylist() for line in warc._lines(warc.read_range(index, b["file"], b["offset"], b["length"])) if line[1] in (50, 51)]
     read, plain = [], warc.read_range
     monkeypatch.setattr(warc, "read_range", lambda f, n, at, size: read.append(at) or plain(f, n, at, size))
     found = warc._found(index)(wanted, blocks)
-    assert found.num_rows == 42 and len(read) == len(set(read)) < blocks.num_rows
+    assert sorted(found.to_pylist(), key=lambda x: x["offset"]) == [dict(zip(("file", "offset", "length"), x[2:], strict=True)) for x in sorted(there, key=lambda x: x[3])]
+    assert len(there) > 8 and len(read) == len(set(read)) < blocks.num_rows
     assert warc._found(index)(wanted.slice(0, 0), blocks).num_rows == 0
 
 
