@@ -13,9 +13,12 @@ judged on the input: an earlier line counts even if it goes itself.
    substrings that it is probed with, in the class of lines up to ``threshold`` bytes shorter too.
 3. Keys are dealt out once; those of one line only fall away by a window of the key.
 4. The lines of a key meet in blocks of ``BLOCK``: a key of m lines makes m / BLOCK rows for each, never pairs. In a block pair
-   each line looks for an earlier one, by length, then ``levenshtein`` with a bound, then the banded bit-parallel distance.
+   each line looks for an earlier one, by length, then by the banded bit-parallel distance of what differs, which decides.
    A pair is verified under the first key that it has in common only.
 
+Lines are told apart by two 64-bit hashes. While keys are looked for one of them stands for a line: two near lines that agree in
+it, and share no key with a third line, would not meet, a chance of 2 ** -64 for each near pair.
+
 Null or empty texts have one empty line. Null ``doc_id``: kept whole, and no source. Rows of one id are separate
 documents; of two lines at the same (doc_id, number) neither is earlier. Columns of the input may have any names; n_lines,
 n_removed, n_near and kept are replaced. An empty table gives an empty one. Very long lines are compared whole.
@@ -133,7 +136,8 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             diagonal = F.when(F.shiftright(d, threshold).bitwiseAND(one) == 1, 0).otherwise(1)
             return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + diagonal).alias("d"))
 
-        return F.transform(F.array(eq), lambda x: with_eq(x))[0]
+        # cells of a diagonal never fall, and the last cell is at most ``threshold`` below the main one's: beyond twice that nothing helps
+        return F.when(s["d"] > 2 * threshold, s).otherwise(F.transform(F.array(eq), lambda x: with_eq(x))[0])
 
     # column 0: cells of rows at and above 0 count as 0, below they rise by one
     first = sum(1 << t for t in range(threshold + 1, width + 1)) >> 1
@@ -150,11 +154,9 @@ def near_lines(pairs: DataFrame, threshold: int) -> DataFrame:
 
 
 def _near(long: Column | str, short: Column | str, threshold: int) -> Column:
-    """``levenshtein`` (each byte decoded as a character) says no at once; the bit-parallel distance of what differs confirms."""
+    """Whether the bit-parallel distance of what is left without common ends is at most ``threshold``."""
     long, short = (F.col(x) if isinstance(x, str) else x for x in (long, short))
-    one = lambda c: F.decode(c, "ISO-8859-1")
-    middle = F.exists(F.array(without_ends(long, short, threshold)), lambda z: within(z["l"], z["s"], threshold))
-    return (F.levenshtein(one(long), one(short), threshold) >= 0) & middle
+    return F.exists(F.array(without_ends(long, short, threshold)), lambda z: within(z["l"], z["s"], threshold))
 
 
 def without_ends(long: Column, short: Column, threshold: int) -> Column:
@@ -183,10 +185,10 @@ def distinct_lines(docs: DataFrame, min_bytes: int, exact_bytes: int | None = No
 
 
 def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
-    """(id) of the lines (id, line, first) that are within ``threshold`` edits of an earlier one."""
+    """(id, b) of the lines (id, b, line, first) that are within ``threshold`` edits of an earlier one."""
     size = F.octet_length("line")
     shorter = F.greatest(size - threshold, F.lit(min_bytes))
-    long = lines.where(size >= min_bytes).select("id", "first", F.col("line").cast("binary").alias("raw"), length_class(size, min_bytes).alias("mine"), length_class(shorter, min_bytes).alias("below"))
+    long = lines.where(size >= min_bytes).select("id", "b", "first", F.col("line").cast("binary").alias("raw"), length_class(size, min_bytes).alias("mine"), length_class(shorter, min_bytes).alias("below"))
     found = []
     for begin in range(1, threshold + 2, ROUND):
         numbers = range(begin, min(begin + ROUND, threshold + 2))
@@ -200,7 +202,7 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
     member = reduce(DataFrame.unionByName, found).join(long, "id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
-    place = F.struct("id", "own", "first", "block", F.length("raw").alias("size"), "raw", "mine").alias("x")
+    place = F.struct("id", "b", "own", "first", "block", F.length("raw").alias("size"), "raw", "mine").alias("x")
     member = member.select("key", place, "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     group = member.groupBy("key", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).agg(F.collect_list("x").alias("xs"))
 
@@ -219,7 +221,7 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
         which = F.coalesce(*[F.when(met(i), F.xxhash64(short["mine"], F.lit(i), own(i))) for i in range(1, threshold + 2)], F.lit(0).cast("long"))
         return short["own"] & (which == F.col("key"))
 
-    near = group.select(F.explode(F.filter("xs", lambda x: F.exists("xs", lambda y: hit(x, y)))).alias("x")).select("x.id").distinct()
+    near = group.select(F.explode(F.filter("xs", lambda x: F.exists("xs", lambda y: hit(x, y)))).alias("x")).select("x.id", "x.b").distinct()
     near = materialize(near, "lines-near")
     del group, member
     release(lines.sparkSession)
@@ -228,11 +230,11 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
 
 def verdicts(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:
     """(a, b, first, near): first place of each line that repeats or is near an earlier one."""
-    lines = materialize(distinct_lines(docs, min_bytes, exact_bytes).withColumn("id", F.xxhash64("line")), "lines")
+    lines = materialize(distinct_lines(docs, min_bytes, exact_bytes).withColumns({"id": F.xxhash64("line"), "b": F.xxhash64(F.lit(1), "line")}), "lines")
     release(docs.sparkSession)
     late = near_earlier(lines, threshold, min_bytes).withColumn("near", F.lit(True))
-    both = lines.join(late, "id", "left").where("n > 1 or near")
-    return both.select(F.col("id").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    both = lines.join(late, ["id", "b"], "left").where("n > 1 or near")
+    return both.select(F.col("id").alias("a"), "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, exact_bytes: int | None = None) -> DataFrame:

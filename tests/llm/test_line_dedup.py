@@ -1,5 +1,6 @@
 """Line dedup against brute force."""
 
+import decimal
 import random
 
 import pytest
@@ -91,3 +92,28 @@ def test_default_takes_in_a_short_word(spark):
 def test_exact_repeats_of_short_lines(spark):
     docs = spark.createDataFrame([(1, "short\n\n  \nshort", "en", "s", 15), (2, "short\nshor\n\n  \t", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.text for r in line_dedup.stage(docs).collect()} == {1: "short\n\n  ", 2: "shor\n\n  \t"}
+
+
+def test_lines_that_share_one_hash_are_judged_apart(spark):
+    """With one hash the same for all lines, the near line alone is marked."""
+    texts = ["the first line of some length that is here", "the first line of some lenght that is here", "another line, unlike either of the two others"]
+    lines = spark.createDataFrame([(7, i, t, decimal.Decimal(i)) for i, t in enumerate(texts)] + [(8, 9, texts[0] + "s", decimal.Decimal(9))], "id long, b long, line string, first decimal(32,0)")
+    assert sorted(tuple(r) for r in line_dedup.near_earlier(lines, 4, 32).collect()) == [(7, 1), (8, 9)]
+
+
+def test_the_bit_parallel_distance_decides(spark, monkeypatch):
+    """Lines that share a segment at equal lengths but are far apart stay, and go if the distance says so."""
+    head = "a segment that is the same in both"
+    docs = spark.createDataFrame([(1, head + "0123456789"), (2, head + "abcdefghij")], "doc_id long, text string")
+    gone = lambda: sorted(r.n_removed for r in line_dedup.dedup_lines(docs).collect())
+    assert gone() == [0, 0]
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, threshold: F.lit(True))
+    assert gone() == [0, 1]
+
+
+def test_far_strings_of_one_length_stop_early(spark):
+    r = random.Random(5)
+    rows = [(bytearray(r.choices(b"abcd", k=40)), bytearray(r.choices(b"abcd", k=40 - r.randrange(5)))) for _ in range(300)]
+    rows += [(x, bytearray(x[i:])) for x, _ in rows[:60] for i in (0, 3, 4)]
+    df = spark.createDataFrame([(*x, distance(*x) <= 4) for x in rows], "long binary, short binary, want boolean")
+    assert df.where(line_dedup.within(F.col("long"), F.col("short"), 4) != F.col("want")).count() == 0
