@@ -63,13 +63,14 @@ def mix_errors(assets: DataFrame, mix: dict[str, int], routes: dict[str, str], e
     """(manifest_id, assets, repeated, misrouted, reason) of each manifest with rows; reason null: as agreed.
 
     As many rows as ``mix`` adds up to, different assets, each format as often as agreed, each row routed to its format's category, and
-    a row picked for the enhanced check of every format in ``enhanced``. An absent id is an id.
+    a row picked for the enhanced check of every format in ``enhanced``. An absent id is an id; a row of a format without a category is
+    misrouted, whether it has a category or none.
     """
     want = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
     is_ext = lambda e: F.col("extension") == e
     per = assets.groupBy("manifest_id").agg(
         F.count("*").alias("assets"), (F.count("*") - F.count_distinct(F.coalesce("asset_id", F.lit("")))).alias("repeated"),
-        F.count_if(~F.col("destination_category").eqNullSafe(F.try_element_at(want, F.coalesce("extension", F.lit(""))))).alias("misrouted"),
+        F.count_if(~known(F.col("destination_category") == F.try_element_at(want, F.coalesce("extension", F.lit(""))))).alias("misrouted"),
         F.struct(*[F.count_if(is_ext(e)).alias(f"x{i}") for i, e in enumerate(mix)]).alias("mix"), F.struct(F.lit(0).alias("_"), *[F.count_if(is_ext(e) & F.col("enhanced")).alias(f"x{i}") for i, e in enumerate(enhanced)]).alias("picked"),
     )
     wrong, none = F.lit(False), F.lit(False)

@@ -62,6 +62,11 @@ def test_mix_reasons_in_their_order(spark):
     assert got == {1: None, 2: "SIZE", 3: "ASSETS_NOT_UNIQUE", 4: "FORMAT_MIX", 5: "CATEGORY_ROUTING", 6: "NO_ENHANCED_CHECK", 7: "ASSETS_NOT_UNIQUE"}
 
 
+def test_mix_counts_a_format_without_a_route_as_misrouted(spark):
+    df = spark.createDataFrame([(1, "a", "gif", None, True), (1, "b", None, None, True), (1, "c", "jpg", None, True), (1, "d", "jpg", "I", True)], "manifest_id int, asset_id string, extension string, destination_category string, enhanced boolean")
+    assert [tuple(r) for r in pilot.mix_errors(df, {"jpg": 4}, {"jpg": "I"}, ()).select("misrouted", "reason").collect()] == [(3, "FORMAT_MIX")]
+
+
 def test_import_compares_instants_and_nulls(spark):
     names = [f for f in records.IMPORT_FIELDS if f not in ("file_id", "trashed")]
     row = lambda i, **kw: tuple({"file_id": i, "trashed": False, **dict.fromkeys(names, "x"), "created_at": "2024-01-01T00:00:00Z", **kw}[c] for c in records.IMPORT_FIELDS)
