@@ -13,8 +13,8 @@ judged on the input: an earlier line counts even if it goes itself.
    substrings that it is probed with, in the class of lines up to ``threshold`` bytes shorter too.
 3. Keys are dealt out once; those of one line only fall away by a window of the key.
 4. The lines of a key meet in blocks of ``BLOCK``: a key of m lines makes m / BLOCK rows for each, never pairs. In a block pair
-   each line looks for an earlier one, by length, then by the banded bit-parallel distance of what differs, which decides.
-   A pair is verified under the first key that it has in common only.
+   each line looks for an earlier one, by length and by counts of letters, which no two lines within the threshold fail, then by the
+   banded bit-parallel distance of what differs, which decides. A pair is verified under the first key that it has in common only.
 
 Lines are told apart by two 64-bit hashes. While keys are looked for one of them stands for a line: two near lines that agree in
 it, and share no key with a third line, would not meet, a chance of 2 ** -64 for each near pair.
@@ -67,8 +67,12 @@ def _taken(lines: DataFrame, min_bytes: int, exact_bytes: int | None = None) ->
 BLOCK = 64
 #: Each class of lengths begins at so many times the begin of the class before it.
 GROWTH = 1.25
-#: Segment numbers whose keys are dealt out together: shuffles of one round are gone before the next.
-ROUND = 2
+#: Keys of a line and class that are dealt out together (those of one segment number at least): shuffles of one round are gone before the next.
+ROUND = 5
+#: Letters that are counted, by their frequency in prose: three bits each fill a long.
+COUNTED = " eanirtsodlucmpghvyqk"
+#: The codes of 0 to 5 as octal digits, the last first: the next count, modulo 6, differs in one bit.
+CODES = 0o467310
 
 
 def length_class(length: Column, least: int) -> Column:
@@ -105,6 +109,28 @@ def keys(raw: Column, mine: Column, below: Column, threshold: int, numbers: rang
     return F.when(mine == below, of(mine, own)).otherwise(F.concat(of(mine, own), of(below, shifts)))
 
 
+def sketch(line: Column) -> Column:
+    """A number of 63 bits of which an edit changes two at most: it adds one to a count or takes one off, or does both."""
+
+    def step(s: Column, letter: Column) -> Column:
+        n = F.octet_length(line) - F.octet_length(F.replace(line, letter, F.lit("")))
+        code = F.call_function("shiftright", F.lit(CODES), (3 * (n % 6)).cast("int")).bitwiseAND(F.lit(7)).cast("long")
+        return F.shiftleft(s, 3).bitwiseOR(code)
+
+    return F.aggregate(F.array(*map(F.lit, COUNTED)), F.lit(0).cast("long"), step)
+
+
+def rounds(threshold: int) -> list[range]:
+    """Segment numbers, from 1 to threshold + 1, in runs with ``ROUND`` displacements at most, or of one number."""
+    out: list[range] = []
+    for i in range(1, threshold + 2):
+        if out and sum(len(displacements(j, threshold)) for j in (*out[-1], i)) <= ROUND:
+            out[-1] = range(out[-1].start, i + 1)
+        else:
+            out.append(range(i, i + 1))
+    return out
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether the edit distance of two byte strings is at most ``threshold``; len(a) >= len(b) >= threshold.
 
@@ -115,13 +141,18 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     full = (1 << (width + 1)) - 1
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     n, m = F.length(a), F.length(b)
-
-    def step(s: Column, j: Column) -> Column:
-        eq = zero
-        for t in range(width):
-            row = j - threshold + t
-            hit = (row >= 1) & (row <= n) & (F.substring(a, F.greatest(row, F.lit(1)), F.lit(1)) == F.substring(b, j, F.lit(1)))
-            eq = eq.bitwiseOR(F.when(hit, F.lit(1 << t).cast("long")).otherwise(zero))
+    edge = F.lit(bytes(threshold))
+
+    def equal(padded: Column, j: Column) -> Column:
+        """Bits of the rows of column j, of those that there are, whose byte is the column's."""
+        place = F.array(F.struct(F.substring(padded, j, F.lit(width)).alias("w"), F.substring(b, j, F.lit(1)).alias("c")))
+        bit = lambda z, t: F.when(F.substring(z["w"], t + 1, 1) == z["c"], F.lit(1 << t).cast("long")).otherwise(zero)
+        eq = F.transform(place, lambda z: reduce(lambda x, t: x.bitwiseOR(bit(z, t)), range(1, width), bit(z, 0)))[0]
+        above = F.call_function("shiftleft", F.lit((1 << width) - 1), F.greatest(threshold + 1 - j, F.lit(0)))
+        below = F.call_function("shiftright", F.lit((1 << width) - 1), F.greatest(j + threshold - n, F.lit(0)))
+        return F.when((j > threshold) & (j + threshold <= n), eq).otherwise(eq.bitwiseAND(above.bitwiseAND(below).cast("long")))
+
+    def step(padded: Column, s: Column, j: Column) -> Column:
         vp, vn = s["vp"], s["vn"]
 
         def with_eq(x: Column) -> Column:
@@ -136,16 +167,22 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             diagonal = F.when(F.shiftright(d, threshold).bitwiseAND(one) == 1, 0).otherwise(1)
             return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + diagonal).alias("d"))
 
-        # cells of a diagonal never fall, and the last cell is at most ``threshold`` below the main one's: beyond twice that nothing helps
-        return F.when(s["d"] > 2 * threshold, s).otherwise(F.transform(F.array(eq), lambda x: with_eq(x))[0])
+        # cells of a diagonal never fall, and the last cell's is n - m beside the main one, so at most so much less: beyond that nothing helps
+        return F.when(s["d"] > threshold + n - m, s).otherwise(F.transform(F.array(equal(padded, j)), lambda x: with_eq(x))[0])
 
     # column 0: cells of rows at and above 0 count as 0, below they rise by one
     first = sum(1 << t for t in range(threshold + 1, width + 1)) >> 1
     start = F.struct(F.lit(first).cast("long").alias("vp"), zero.alias("vn"), F.lit(0).alias("d"))
-    end = F.aggregate(F.sequence(F.lit(1), m), start, step)
-    # the main diagonal ends at row m of column m; the cells below it, up to row n, are read off vp and vn
-    down = sum((F.when((n - m >= r), F.shiftright(end["vp"], threshold + r - 1).bitwiseAND(one).cast("int") - F.shiftright(end["vn"], threshold + r - 1).bitwiseAND(one).cast("int")).otherwise(0) for r in range(1, threshold + 1)), F.lit(0))
-    return end["d"] + down <= threshold
+    ends = F.transform(F.array(F.concat(edge, a, edge)), lambda p: F.aggregate(F.sequence(F.lit(1), m), start, lambda s, j: step(p, s, j)))
+
+    def last(end: Column) -> Column:
+        # the main diagonal ends at row m of column m; the cells below it, up to row n, are read off vp and vn
+        bit = lambda v, r: F.shiftright(end[v], threshold + r - 1).bitwiseAND(one).cast("int")
+        down = sum((F.when(n - m >= r, bit("vp", r) - bit("vn", r)).otherwise(0) for r in range(1, threshold + 1)), F.lit(0))
+        return end["d"] + down <= threshold
+
+    # functions of one-element arrays: what they name is worked out once
+    return F.exists(ends, last)
 
 
 def near_lines(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -190,8 +227,7 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
     shorter = F.greatest(size - threshold, F.lit(min_bytes))
     long = lines.where(size >= min_bytes).select("id", "b", "first", F.col("line").cast("binary").alias("raw"), length_class(size, min_bytes).alias("mine"), length_class(shorter, min_bytes).alias("below"))
     found = []
-    for begin in range(1, threshold + 2, ROUND):
-        numbers = range(begin, min(begin + ROUND, threshold + 2))
+    for numbers in rounds(threshold):
         keyed = long.select("id", F.posexplode(keys(F.col("raw"), F.col("mine"), F.col("below"), threshold, numbers)).alias("at", "key"))
         keyed = keyed.select("id", "key", (F.col("at") < len(numbers)).alias("own"))
         key = Window.partitionBy("key")
@@ -199,10 +235,12 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
         found.append(materialize(met.where("any and lo < hi").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("m").alias("m")), "lines-keys"))
         del keyed, met
         release(lines.sparkSession)
-    member = reduce(DataFrame.unionByName, found).join(long, "id")
+    met = reduce(DataFrame.unionByName, found)
+    counted = long.join(met.select("id").distinct(), "id", "left_semi").withColumn("sketch", sketch(F.col("raw").cast("string")))
+    member = met.join(counted, "id")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
-    place = F.struct("id", "b", "own", "first", "block", F.length("raw").alias("size"), "raw", "mine").alias("x")
+    place = F.struct("id", "b", "own", "first", "block", F.length("raw").alias("size"), "raw", "mine", "sketch").alias("x")
     member = member.select("key", place, "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     group = member.groupBy("key", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q")).agg(F.collect_list("x").alias("xs"))
 
@@ -212,7 +250,8 @@ def near_earlier(lines: DataFrame, threshold: int, min_bytes: int) -> DataFrame:
         far = (F.col("p") == F.col("q")) | (x["block"] != y["block"])
         # the shorter line's own segment, of two of one length the earlier line's, is the one that is looked for
         pair = F.array(F.when(more >= 0, F.struct(x["raw"].alias("l"), y.alias("s"))).otherwise(F.struct(y["raw"].alias("l"), x.alias("s"))))
-        return (y["first"] < x["first"]) & more.between(-threshold, threshold) & far & F.exists(pair, lambda z: here(z["l"], z["s"]) & _near(z["l"], z["s"]["raw"], threshold))
+        alike = F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= 2 * threshold
+        return alike & more.between(-threshold, threshold) & far & (y["first"] < x["first"]) & F.exists(pair, lambda z: here(z["l"], z["s"]) & _near(z["l"], z["s"]["raw"], threshold))
 
     def here(long: Column, short: Column) -> Column:
         """Whether the key is that of the first segment that the two have in common, so that a pair is verified once."""

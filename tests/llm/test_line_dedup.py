@@ -38,6 +38,38 @@ def test_within(spark, k):
     assert sorted(map(tuple, line_dedup.near_lines(pairs, k).collect())) == sorted(tuple(r) for r in rows if r[2])
 
 
+def test_sketches_of_near_lines_are_alike(spark):
+    """k edits change 2 * k bits at most, and most unrelated lines differ in more than eight."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(600):
+        a = r.choices("eeeaaatttnnniioorsl  é", k=r.randrange(32, 90))
+        b, k = list(a), r.randrange(5)
+        for _ in range(k):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = r.choices("eatnx ", k=r.randrange(2))
+        rows.append(("".join(a), "".join(b), distance("".join(a).encode(), "".join(b).encode())))
+    bits = F.bit_count(line_dedup.sketch(F.col("a")).bitwiseXOR(line_dedup.sketch(F.col("b"))))
+    got = spark.createDataFrame(rows, "a string, b string, d int").select("d", bits.alias("n")).collect()
+    assert all(x.n <= 2 * x.d for x in got) and any(x.n == 2 * x.d > 0 for x in got)
+    far = spark.createDataFrame([(x[0], y[0]) for x, y in zip(rows, rows[1:])], "a string, b string").select(bits.alias("n")).collect()
+    assert sum(x.n > 8 for x in far) > 0.9 * len(far)
+
+
+def test_far_lines_of_one_key_are_not_compared(spark, monkeypatch):
+    """Of lines that share a segment the distance sees those with like counts of letters only."""
+    monkeypatch.setattr(line_dedup, "_near", lambda long, short, threshold: F.raise_error(F.lit("compared")).cast("boolean"))
+    head = "the same ten bytes "
+    texts = [head + "".join(3 * x for x in letters) for letters in ("eanirtsodl", "ucmpghvyqk", "eariscugvq", "ntodlmphyk")]
+    lines = spark.createDataFrame([(i, i, t, decimal.Decimal(i)) for i, t in enumerate(texts)], "id long, b long, line string, first decimal(32,0)")
+    assert line_dedup.near_earlier(lines, 4, 32).count() == 0
+
+
+def test_rounds_hold_every_segment_once():
+    assert [[*r] for r in line_dedup.rounds(4)] == [[1, 2], [3], [4], [5]]
+    assert all([i for r in line_dedup.rounds(k) for i in r] == [*range(1, k + 2)] for k in range(6))
+
+
 def brute(rows, k, least):
     lines = sorted({(i, n, x) for i, t in rows if i is not None and t is not None for n, x in enumerate(t.split("\n")) if len(x.encode()) >= least})
     first = {}
