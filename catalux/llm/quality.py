@@ -7,9 +7,9 @@ like the raw corpus. A document's score is the mean ratio of its n-grams (length
 the score that all but ``LOSS`` of held-out target documents reach (every second one; the rest make the target
 counts), so it is fixed by data and parameters.
 
-At most ``MOST_LABELLED`` labelled documents, those with the least hash of their id, take part as target and in the
-threshold; raw counts are over every document. What meets in the driver is ``BUCKETS`` numbers and as many labelled ids
-and scores at most.
+Every labelled document takes part, as target or in the threshold; raw counts are over every document. Labelled ids are
+numbered by range partitions and joined with the documents; the threshold is found by counts of ever narrower ranges of
+scores. What meets in the driver is ``BUCKETS`` numbers, or ``FEW`` scores, at a time.
 
 Null or empty text: no words, so the base rules fail. Documents without any n-gram have score 0. Null labels
 are no labels; an id labelled twice counts as target if one label says so. Null and repeated ids are rows like others.
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, LOWER, SPACE, read, span_hash, text_steps, utf8, window_hash, word_hash, words
+from .common import DOC_COLUMNS, LOWER, SPACE, materialize, read, span_hash, text_steps, utf8, window_hash, word_hash, words
 
 BUCKETS = 1 << 14
 PRIOR = 1000.0
 LOSS = 0.005
-MOST_LABELLED = 20_000
+#: Scores that are ordered in the driver at most, where ranges have narrowed to them.
+FEW = 10_000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -80,46 +81,70 @@ class Model:
         return total / np.maximum(count, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, loss: float = LOSS, most: int = MOST_LABELLED) -> Model:
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def sides(labels: DataFrame) -> DataFrame:
+    """(doc_id, held): the ids of good quality, every second one in order of id held out; a single one is on both sides."""
+    spark = labels.sparkSession
     good = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = np.array(sorted(r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()), np.int64)
-
-    target, rest = chosen[::2], chosen[1::2] if len(chosen) > 1 else chosen
-
-    def among(ids: pa.Array, known: np.ndarray) -> np.ndarray:
-        x = np.asarray(ids.fill_null(np.iinfo(np.int64).min))
-        if not len(known):
-            return np.zeros(len(x), bool)
-        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    # stored first, as ranges are found by a sample; the number of a row in its partition and that of the partition are the halves of this id
+    placed = materialize(materialize(good, "good-ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("at", F.monotonically_increasing_id()), "good-places")
+    part = F.shiftright("at", 33)
+    before, base = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        before.append((r.part, base))
+        base += r["count"]
+    offsets = spark.createDataFrame(before, "part long, base long")  # a row for each partition
+    held = (F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % 2 == 1
+    out = placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("doc_id", held.alias("held"))
+    return out.unionByName(out.withColumn("held", F.lit(True))) if base == 1 else out
+
+
+def nth(scores: DataFrame, k: int, few: int = FEW) -> float:
+    """The k-th smallest score, from 0: of the parts of a range the one it is in is taken until ``few`` are left, or equal ones."""
+    inside = scores
+    while True:
+        low, high, n = inside.agg(F.min("score"), F.max("score"), F.count("*")).first()
+        if low == high:
+            return low
+        if n <= few:
+            return sorted(r.score for r in inside.collect())[k]
+        at = F.least(F.floor((F.col("score") - low) / (high - low) * 1024), F.lit(1023))
+        for r in sorted(inside.groupBy(at.alias("at")).count().collect()):
+            if k < r["count"]:
+                break
+            k -= r["count"]
+        inside = inside.where(at == r.at)
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, loss: float = LOSS) -> Model:
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    side = materialize(sides(labels), "good-sides")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raws, targets = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        found = np.zeros(buckets, np.int64)
         for b in text_steps(batches):
-            bucket, doc = ngrams(*utf8(b.column("text")), buckets)
-            raws += np.bincount(bucket, minlength=buckets)
-            targets += np.bincount(bucket[among(b.column("doc_id"), target)[doc]], minlength=buckets)
-        used = np.flatnonzero(raws)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raws[used]), pa.array(targets[used])], ["bucket", "raws", "targets"])
-
-    counted = src.mapInArrow(count, "bucket long, raws long, targets long").groupBy("bucket").agg(F.sum("raws").alias("raws"), F.sum("targets").alias("targets"))
-    table = np.array([tuple(r) for r in counted.collect()], np.int64).reshape(-1, 3)
-    raws, targets = np.zeros(buckets), np.zeros(buckets)
-    raws[table[:, 0]], targets[table[:, 0]] = table[:, 1], table[:, 2]
+            found += np.bincount(ngrams(*utf8(b.column("text")), buckets)[0], minlength=buckets)
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], ["bucket", "n"])
+
+    def counted(texts: DataFrame) -> np.ndarray:
+        out = np.zeros(buckets)
+        for r in texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            out[r.bucket] = r.n
+        return out
+
+    raws, targets = counted(src), counted(src.join(side.where("not held"), "doc_id"))
     share = (raws + 1e-3) / (raws + 1e-3).sum()
     model = Model(np.log((targets + prior * share) / (targets.sum() + prior)) - np.log(share), -np.inf)
-    if not targets.sum() or not len(rest):
+    if not targets.sum():
         return model  # nothing is trusted: no document is rejected by the ratio
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches):
-            if (mine := among(b.column("doc_id"), rest)).any():
-                c = b.filter(pa.array(mine))
-                yield pa.RecordBatch.from_arrays([pa.array(model.scores(*utf8(c.column("text"))))], ["score"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.scores(*utf8(b.column("text"))))], ["score"])
 
-    found = np.sort([r.score for r in src.mapInArrow(held, "score double").orderBy("score").limit(most).collect()])
-    if len(found):
-        model.threshold = float(found[int(loss * len(found))])
+    scores = materialize(src.join(side.where("held"), "doc_id").select("text").mapInArrow(score, "score double"), "held-scores")
+    if n := scores.count():
+        model.threshold = float(nth(scores, int(loss * n)))
     return model
 
 

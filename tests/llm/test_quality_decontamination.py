@@ -63,6 +63,23 @@ def test_quality_verdict(spark):
     assert none.threshold == -np.inf
 
 
+def test_every_labelled_document_takes_part(spark):
+    """Of 20,500 labelled ids none is left out, and every second one is held out."""
+    labels = spark.range(20_500).selectExpr("id * 3 AS doc_id", "1 AS quality", "0 AS toxic")
+    rows = sorted(map(tuple, quality.sides(labels.repartition(3)).collect()))
+    assert rows == [(3 * i, i % 2 == 1) for i in range(20_500)]
+    assert sorted(map(tuple, quality.sides(labels.limit(1)).collect())) == [(0, False), (0, True)]
+    docs = spark.range(20_500).selectExpr("id * 3 AS doc_id", "concat('w', id) AS text")
+    assert quality.fit(docs, labels).threshold > -np.inf
+
+
+def test_nth_score(spark):
+    r = random.Random(4)
+    x = [r.gauss(0, 1) for _ in range(300)] + [0.25] * 50 + [9e5]
+    df = spark.createDataFrame([(v,) for v in x], "score double").coalesce(1)
+    assert [quality.nth(df, k, few=20) for k in (0, 170, 200, 350)] == [sorted(x)[k] for k in (0, 170, 200, 350)]
+
+
 def brute_contamination(docs, items, window=10):
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     grams = {}
