@@ -8,8 +8,9 @@ the score that all but ``LOSS`` of held-out target documents reach (every second
 counts), so it is fixed by data and parameters.
 
 Every labelled document takes part, as target or in the threshold; raw counts are over every document. Labelled ids are
-numbered by range partitions and joined with the documents; the threshold is found by counts of ever narrower ranges of
-scores. What meets in the driver is ``BUCKETS`` numbers, or ``FEW`` scores, at a time.
+numbered by range partitions and sent to the documents in blocks of ``IDS``, each with a pass over the documents: ids travel, texts
+are never shuffled. The threshold is found by counts of ever narrower ranges of scores. What meets in the driver is
+``BUCKETS`` numbers, ``FEW`` scores or the ``IDS`` ids of a broadcast at a time.
 
 Null or empty text: no words, so the base rules fail. Documents without any n-gram have score 0. Null labels
 are no labels; an id labelled twice counts as target if one label says so. Null and repeated ids are rows like others.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ PRIOR = 1000.0
 LOSS = 0.005
 #: Scores that are ordered in the driver at most, where ranges have narrowed to them.
 FEW = 10_000
+#: Labelled ids that are broadcast at a time, some 32 MB.
+IDS = 1_000_000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -83,6 +87,11 @@ class Model:
 
 def sides(labels: DataFrame) -> DataFrame:
     """(doc_id, held): the ids of good quality, every second one in order of id held out; a single one is on both sides."""
+    return numbered(labels)[0].drop("number")
+
+
+def numbered(labels: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, number, held) of ``sides``, numbered from 0 in order of id, and how many numbers there are."""
     spark = labels.sparkSession
     good = labels.where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     # stored first, as ranges are found by a sample; the number of a row in its partition and that of the partition are the halves of this id
@@ -93,9 +102,17 @@ def sides(labels: DataFrame) -> DataFrame:
         before.append((r.part, base))
         base += r["count"]
     offsets = spark.createDataFrame(before, "part long, base long")  # a row for each partition
-    held = (F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % 2 == 1
-    out = placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("doc_id", held.alias("held"))
-    return out.unionByName(out.withColumn("held", F.lit(True))) if base == 1 else out
+    number = F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("doc_id", number.alias("number"), (number % 2 == 1).alias("held"))
+    return (out.unionByName(out.withColumn("held", F.lit(True))) if base == 1 else out), base
+
+
+def labelled(src: DataFrame, side: DataFrame, n: int, held: bool, ids: int | None = None) -> Iterator[DataFrame]:
+    """The texts of one side in parts: the rows of ``src`` whose id is in a block of the ids, of which there are ``n``."""
+    ids = ids or IDS
+    for i in range(0, n, ids):
+        block = side.where((F.col("number") >= i) & (F.col("number") < i + ids) & (F.col("held") == held))
+        yield src.join(F.broadcast(block.select("doc_id")), "doc_id").select("text")
 
 
 def nth(scores: DataFrame, k: int, few: int = FEW) -> float:
@@ -117,7 +134,8 @@ def nth(scores: DataFrame, k: int, few: int = FEW) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, loss: float = LOSS) -> Model:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    side = materialize(sides(labels), "good-sides")
+    side, n_ids = numbered(labels)
+    side = materialize(side, "good-sides")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(buckets, np.int64)
@@ -132,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
             out[r.bucket] = r.n
         return out
 
-    raws, targets = counted(src), counted(src.join(side.where("not held"), "doc_id"))
+    raws, targets = counted(src), sum((counted(x) for x in labelled(src, side, n_ids, False)), np.zeros(buckets))
     share = (raws + 1e-3) / (raws + 1e-3).sum()
     model = Model(np.log((targets + prior * share) / (targets.sum() + prior)) - np.log(share), -np.inf)
     if not targets.sum():
@@ -142,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
         for b in text_steps(batches):
             yield pa.RecordBatch.from_arrays([pa.array(model.scores(*utf8(b.column("text"))))], ["score"])
 
-    scores = materialize(src.join(side.where("held"), "doc_id").select("text").mapInArrow(score, "score double"), "held-scores")
+    parts = [materialize(x.mapInArrow(score, "score double"), "held-scores") for x in labelled(src, side, n_ids, True)]
+    scores = reduce(DataFrame.unionByName, parts)
     if n := scores.count():
         model.threshold = float(nth(scores, int(loss * n)))
     return model

@@ -73,6 +73,24 @@ def test_every_labelled_document_takes_part(spark):
     assert quality.fit(docs, labels).threshold > -np.inf
 
 
+def test_texts_of_labelled_documents_are_not_shuffled(spark, monkeypatch):
+    """Ids go to the texts, in blocks; the model is the same for any size of block and broadcast limit."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id % 50, ' v', id % 7) AS text")
+    labels = spark.range(1000).selectExpr("id * 3 AS doc_id", "1 AS quality", "0 AS toxic")
+    want = quality.fit(docs, labels)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans, plain = [], quality.labelled
+    monkeypatch.setattr(quality, "labelled", lambda *a: (plans.append(x._jdf.queryExecution().toString()) or x for x in plain(*a)))
+    monkeypatch.setattr(quality, "IDS", 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 8 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans)
+    assert np.array_equal(got.ratio, want.ratio) and got.threshold == want.threshold
+
+
 def test_nth_score(spark):
     r = random.Random(4)
     x = [r.gauss(0, 1) for _ in range(300)] + [0.25] * 50 + [9e5]
