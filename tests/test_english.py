@@ -40,3 +40,10 @@ def test_both_engines_agree(spark):
 
 def test_stop_words():
     assert len(english.STOP_WORDS) == len(set(english.STOP_WORDS)) == 127
+
+
+def test_stem_of_one_word(spark):
+    made = {a + b + s for a in ("gener", "arsen", "fy", "yoyy", "ca", "hol", "é", "") for b in ("at", "al", "bb", "iz", "o", "ay", "ss") for s in ("ing", "ed", "eedly", "ies", "ied", "s", "ational", "ousli", "logi", "li", "ement", "sion", "ion", "sses", "y", "e", "ll", "us", "ative", "ness")}
+    words = sorted(made | set(KNOWN) | set(english.SPECIAL) | {w + "s" for w in english.KEPT})
+    got = {r.word: r.term for r in english.stemmed(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert {w: english.stem(w) for w in words} == got

@@ -88,3 +88,15 @@ def test_a_query_reads_its_own_shards_only(spark, built):
     assert len(every) > 1 and len(files) <= len(every)
     read = index._read("terms", "term", ["hair"]).select("shard").distinct().count()
     assert read == 1
+
+
+def test_no_place_of_a_word_is_shuffled(spark):
+    """Texts of distinct keys are postings where they are read; those of repeated keys are put together."""
+    df = spark.createDataFrame(TEXTS, "asset_id long, searchable_text string").coalesce(1)
+    found = fulltext.postings(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.asset_id, r.term): r.positions for r in found.collect()}
+    assert len(got) == found.count() and got[1, "hair"] == [1, 5, 8, 9, 11] and got[9, "hair"] == list(range(1, 257)) and got[10, "hair"] == [16383] and got[10, "pad"] == list(range(1, 257))
+    assert not {a for a, _ in got} & {6, 7, 8} and got[11, "éclair"] == [3] and got[11, "3d"] == [4]
+    twice = {(r.asset_id, r.term): r.positions for r in fulltext.postings(df.union(spark.createDataFrame([(2, "hair b hair"), (9, "pad hair")], df.schema))).collect()}
+    assert twice == {**got, (2, "hair"): [1, 3, 4], (2, "b"): [2], (9, "pad"): [1]}
