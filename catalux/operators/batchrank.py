@@ -2,9 +2,8 @@
 
 A row for each asset and query would be their product. Instead the posting lists that any of the queries needs are gathered once by
 asset, and each task goes through its assets with all queries of a block in memory, keeping the k best of each: only these leave
-the task. For most assets a bound is enough: from the numbers of places of a query's terms follows how many pairs of places there can be,
-and from that the largest rank they can give. It is two matrix products a batch of assets. Places are looked at only where the
-bound reaches the k-th best score so far.
+the task. Each pair of near places of an asset is met once, for all queries of the block that ask for both terms: which ones is a bit
+of each term for each query. So the work grows with the assets and their places, not with how many assets a query ranks alike.
 
 Queries are parameters, like those of a single search: ``MOST_QUERIES`` at most, in blocks of ``BLOCK``. Ties go to the smaller asset id.
 """
@@ -27,11 +26,13 @@ from .fulltext import FAR, FIELDS, LIMIT, SIMILAR, WEIGHT, SearchIndex
 
 MOST_QUERIES = 10_000
 BLOCK = 256
-#: Assets whose bounds are computed together.
+#: Assets whose ranks are computed together, and places of them.
 ROWS = 256
+PLACES = 1 << 18
 TEXT_WEIGHT, NAME_WEIGHT = 0.20, 0.10
 FIELD_WEIGHTS = dict(zip(FIELDS, (0.08, 0.07, 0.10), strict=True))
 NEAR = np.array([0.0] + [WEIGHT * math.sqrt(1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in range(1, FAR + 1)])
+LOG_FAR = np.log1p(-NEAR)
 FREQUENT = np.append(0.0, np.cumsum(1 / np.arange(1, fulltext.MOST_POSITIONS + 1) ** 2)) * WEIGHT / LIMIT
 
 
@@ -90,52 +91,84 @@ def pair_rank(places: np.ndarray, term: np.ndarray) -> float:
     return -math.expm1(left)
 
 
+def query_bits(asked: list[list[int]], terms: int) -> np.ndarray:
+    """Of each term the queries that ask for it among others, as bits of 64-bit words."""
+    words = (len(asked) + 63) // 64
+    bits = np.zeros((terms, 64 * words), np.uint8)
+    for i, a in enumerate(asked):
+        if len(a) > 1:
+            bits[a, i] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def pair_sums(doc: np.ndarray, term: np.ndarray, place: np.ndarray, bits: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Of each document and query the sum of ``log1p(-NEAR)`` over the pairs of places of two of its terms.
+
+    Every pair of near places is met once, for all queries that ask for both terms, so the work is a document's places times those
+    within ``FAR`` words, whatever ranks come out.
+    """
+    left = np.zeros(shape[0] * shape[1])
+    some = bits[term].any(1)
+    doc, term, place = doc[some], term[some], place[some]
+    order = np.lexsort((place, doc))
+    doc, term, place = doc[order], term[order], place[order]
+    first = np.searchsorted(doc, np.arange(shape[0] + 1))
+    at = 0
+    while at < shape[0]:  # whole documents, with so many places together
+        to = max(at + 1, int(np.searchsorted(first, first[at] + PLACES, side="right")) - 1)
+        d, t = doc[first[at] : first[to]], term[first[at] : first[to]]
+        p = place[first[at] : first[to]] + d * (2 * fulltext.LAST_POSITION)  # places of two documents are far
+        i, step = np.arange(len(p)), 1
+        while len(i := i[i + step < len(p)]):
+            gap = p[i + step] - p[i]
+            i, gap = i[gap <= FAR], gap[gap <= FAR]
+            both = bits[t[i]] & bits[t[i + step]]
+            hit = np.flatnonzero(both.any(1) & (gap > 0) & (t[i] != t[i + step]))
+            if len(hit):
+                row, query = np.nonzero(np.unpackbits(both[hit].view(np.uint8), axis=1, bitorder="little"))
+                left += np.bincount(d[i[hit]][row] * shape[1] + query, LOG_FAR[gap[hit]][row], len(left))
+            step += 1
+        at = to
+    return left.reshape(shape)
+
+
 def best(candidates: DataFrame, block: Block, k: int) -> DataFrame:
     """query_id, asset_id, raw: of each task the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, t = len(block.ids), max(1, len(block.terms))
-        has = np.zeros((q, t))
-        for i, a in enumerate(block.asked):
-            has[i, a] = 1
+        bits = query_bits(block.asked, t)
         alone = [(i, a[0]) for i, a in enumerate(block.asked) if len(a) == 1]
-        many = has.sum(1) > 1
         low = [x.lower() for x in block.texts]
         short = [i for i, x in enumerate(low) if x]
-        top: list[list[tuple[float, int]]] = [[] for _ in range(q)]  # (-raw, asset), best first
+        none = np.iinfo(np.int64).max
+        top, owner = np.full((k, q), -np.inf), np.full((k, q), none)  # best first
         for big in batches:
             for o in range(0, big.num_rows, ROWS):
                 b = big.slice(o, ROWS)
-                ids, names, found = b.column("asset_id").to_pylist(), b.column("file_name").to_pylist(), b.column("found").to_pylist()
-                n = np.zeros((len(ids), t))
-                for r, f in enumerate(found):
-                    for x in f or ():
-                        n[r, x["no"]] = len(x["positions"])
-                sure = np.zeros((len(ids), q))  # what isn't by places
+                rows, found = b.num_rows, b.column("found")
+                row = np.repeat(np.arange(rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                no, places = found.flatten().flatten()
+                no, size = no.to_numpy(zero_copy_only=False).astype(np.int64), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n = np.zeros((rows, t), np.int64)
+                n[row, no] = size
+                raw = np.zeros((rows, q))
                 for f in FIELDS:
-                    for r, near in enumerate(b.column(f).to_pylist()):
-                        sure[r, near or []] += FIELD_WEIGHTS[f]
-                for r, name in enumerate(names):
+                    near = b.column(f)
+                    np.add.at(raw, (np.repeat(np.arange(rows), near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), near.flatten().to_numpy(zero_copy_only=False).astype(np.int64)), FIELD_WEIGHTS[f])
+                for r, name in enumerate(b.column("file_name").to_pylist()):
                     for i in short if name else ():
                         if len(low[i]) <= len(name) and low[i] in name:
-                            sure[r, i] += NAME_WEIGHT
+                            raw[r, i] += NAME_WEIGHT
                 for i, a in alone:
-                    sure[:, i] += TEXT_WEIGHT * FREQUENT[n[:, a].astype(int)]
-                one, two = n @ has.T, (n * n) @ has.T
-                pairs = np.where(many, (one * one - two) / 2, 0.0)
-                bound = sure + TEXT_WEIGHT * -np.expm1(pairs * math.log1p(-NEAR[1]))
-                for i in range(q):
-                    kth = -top[i][-1][0] if len(top[i]) == k else -1.0
-                    for r in (x for x in np.argsort(-bound[:, i], kind="stable").tolist()):
-                        if bound[r, i] < kth - 1e-8:
-                            break
-                        raw = sure[r, i]
-                        if pairs[r, i]:
-                            mine = [x for x in found[r] if has[i, x["no"]]]
-                            raw += TEXT_WEIGHT * pair_rank(np.concatenate([x["positions"] for x in mine]).astype(np.int64), np.concatenate([[x["no"]] * len(x["positions"]) for x in mine]))
-                        top[i] = sorted([*top[i], (-math.floor(raw * 1e9 + 0.5) / 1e9, ids[r])])[:k]
-                        kth = -top[i][-1][0] if len(top[i]) == k else -1.0
-        flat = [(block.ids[i], a, -s) for i, x in enumerate(top) for s, a in x]
+                    raw[:, i] += TEXT_WEIGHT * FREQUENT[n[:, a]]
+                left = pair_sums(np.repeat(row, size), np.repeat(no, size), places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bits, (rows, 64 * bits.shape[1]))
+                raw += TEXT_WEIGHT * -np.expm1(left[:, :q])
+                raw = np.vstack([top, np.floor(raw * 1e9 + 0.5) / 1e9])
+                ids = np.vstack([owner, np.broadcast_to(b.column("asset_id").fill_null(none).to_numpy(zero_copy_only=False).reshape(-1, 1), (rows, q))])
+                order = np.lexsort((ids, -raw), axis=0)[:k]
+                top, owner = np.take_along_axis(raw, order, 0), np.take_along_axis(ids, order, 0)
+        flat = [(block.ids[i], None if a == none else a, s) for i in range(q) for s, a in zip(top[:, i].tolist(), owner[:, i].tolist(), strict=True) if s > -np.inf]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float64())], ["query_id", "asset_id", "raw"])
 
     return candidates.mapInArrow(run, "query_id long, asset_id long, raw double")

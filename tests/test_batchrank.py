@@ -66,3 +66,21 @@ def test_benchmark_counts(spark):
 def test_no_queries(spark, library):
     _, assets, terms = library
     assert batchrank.top_assets(spark.createDataFrame([], "query_id long, q string"), assets, terms).count() == 0
+
+
+def test_each_pair_of_places_is_met_once_for_all_queries(monkeypatch):
+    """The sums are those of each text and query alone, in any cut of the texts; ranks that tie cost no more than others."""
+    r = random.Random(3)
+    asked = [[0, 1], [0, 1, 2, 5], [3], [], [1, 4, 5]] * 20
+    bits = batchrank.query_bits(asked, 6)
+    texts = [sorted({(r.randrange(1, 400), r.randrange(6)) for _ in range(r.choice([0, 1, 40, 200]))}) for _ in range(9)] + [[(16383, t) for t in range(6)]]
+    doc, place, term = (np.array([x[i] for x in ((d, p, t) for d, text in enumerate(texts) for p, t in text)], np.int64) for i in range(3))
+    mix = np.random.default_rng(1).permutation(len(doc))
+    for places in (1 << 18, 30):
+        monkeypatch.setattr(batchrank, "PLACES", places)
+        got = -np.expm1(batchrank.pair_sums(doc[mix], term[mix], place[mix], bits, (10, 128)))
+        for d in range(10):
+            for i, a in enumerate(asked):
+                mine = (doc == d) & np.isin(term, a)
+                assert got[d, i] == pytest.approx(batchrank.pair_rank(place[mine], term[mine]) if len(a) > 1 else 0, abs=1e-12)
+    assert not got[:, 100:].any()
