@@ -6,7 +6,7 @@ table; segments are independent, so building and searching never shuffle, and a
 
 ``search`` looks up the terms of all item windows of a segment at once. A window with a term that the segment
 lacks is dropped; for the others the offset-adjusted list of the rarest term is intersected with that of the next
-rarest, and so on. With ``slop`` 0 matches are exact phrases; with more, each term may be that many words from its
+rarest, and so on, in all windows at once, so that small segments cost little. With ``slop`` 0 matches are exact phrases; with more, each term may be that many words from its
 place (proximity). Terms are compared as strings with the dictionary, not by hash alone.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Null and empty texts have
@@ -18,6 +18,7 @@ items no matches; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -36,6 +37,8 @@ from .windows import merge_spans, ranges
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
 ITEM_BYTES = 32 << 20
+#: Places of the rarest terms of windows that are looked at together.
+STARTS = 1 << 19
 INDEX = "segment string, docs array<long>, n_words array<int>, terms binary, postings binary"
 
 
@@ -115,38 +118,49 @@ def match(items: Items, terms: bytes, postings: bytes, doc_of: np.ndarray, slop:
         return none, none
     gap = np.frombuffer(postings, np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
     at = np.concatenate([[0], np.cumsum(count.astype(np.int64))])
-    lists: dict[int, np.ndarray] = {}
-
-    def positions(t: int) -> np.ndarray:
-        if t not in lists:
-            k = where[t]
-            lists[t] = np.cumsum(gap[at[k] : at[k + 1]].astype(np.int64))
-        return lists[t]
-
-    out_w, out_p = [], []
-    for w in alive.tolist():
-        size_w = int(items.length[w])
-        term = items.term[w, :size_w]
-        order = np.argsort(freq[term], kind="stable").tolist()
-        start = positions(int(term[order[0]])) - order[0]
-        start = start[(start >= 0) & (start + size_w <= len(doc_of))]
-        start = start[doc_of[start] == doc_of[start + size_w - 1]]
-        for j in order[1:]:
-            if not len(start):
+    # the lists of all terms that windows need, one after the other: (term, position) as one number each, in order
+    term, length = items.term[alive], items.length[alive]
+    used, local = np.unique(term, return_inverse=True)
+    local = local.reshape(term.shape)
+    n_list = count[where[used]].astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(n_list)])
+    step = gap[ranges(at[where[used]], n_list)].astype(np.int64)
+    total = np.cumsum(step)
+    place = total - np.repeat(total[begin[:-1]] - step[begin[:-1]], n_list)
+    wide = len(doc_of) + 2 * (slop + term.shape[1] + 1)
+    keyed = np.repeat(np.arange(len(used)), n_list) * wide + place + slop
+    # rarest first; places beyond a shorter window's end come last and aren't looked at
+    order = np.argsort(np.where(np.arange(term.shape[1]) < length.reshape(-1, 1), n_list[local], np.iinfo(np.int64).max), axis=1, kind="stable")
+    local = np.take_along_axis(local, order, 1)
+    sums = np.concatenate([[0], np.cumsum(n_list[local[:, 0]])])
+    out_w, out_p, lo = [], [], 0
+    while lo < len(alive):  # windows whose first lists have so many places together, or one
+        hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + STARTS, side="right")) - 1)
+        n_first = n_list[local[lo:hi, 0]]
+        w = np.repeat(np.arange(lo, hi), n_first)
+        start = place[ranges(begin[local[lo:hi, 0]], n_first)] - order[w, 0]
+        ok = (start >= 0) & (start + length[w] <= len(doc_of))
+        w, start = w[ok], start[ok]
+        ok = doc_of[start] == doc_of[start + length[w] - 1]
+        w, start = w[ok], start[ok]
+        for r in range(1, term.shape[1]):
+            if not len(w):
                 break
-            p = positions(int(term[j]))
-            i = np.searchsorted(p, start + j - slop)
-            start = start[(i < len(p)) & (p[np.minimum(i, len(p) - 1)] <= start + j + slop)]
-        out_w.append(np.full(len(start), w)), out_p.append(start)
+            want = local[w, r] * wide + start + order[w, r]
+            i = np.searchsorted(keyed, want)
+            ok = (r >= length[w]) | ((i < len(keyed)) & (keyed[np.minimum(i, len(keyed) - 1)] <= want + 2 * slop))
+            w, start = w[ok], start[ok]
+        out_w.append(alive[w]), out_p.append(start)
+        lo = hi
     return np.concatenate(out_w), np.concatenate(out_p)
 
 
 FOUND = "segment string, no int, doc_id long, n_words long, n_hit long, matches array<struct<item_id: string, start: int, length: int>>"
 
 
-def _search(file: str, window: int, slop: int):
+def _search(files: tuple[str, ...], window: int, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, z = _load(file, window), zstandard.ZstdDecompressor()
+        items, z = _load(files, window), zstandard.ZstdDecompressor()
         kind = pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
         for b in batches:
             for segment, docs, n_words, terms, postings in zip(*(b.column(x) for x in ("segment", "docs", "n_words", "terms", "postings")), strict=True):
@@ -169,20 +183,35 @@ def _search(file: str, window: int, slop: int):
     return run
 
 
-def item_blocks(items: DataFrame) -> list[str]:
-    """Files of the items in the shared folder, each of about ``ITEM_BYTES``; executors read them, the driver doesn't."""
+def item_blocks(items: DataFrame) -> list[tuple[str, ...]]:
+    """Files of the items in the shared folder, together those of about ``ITEM_BYTES``; executors read them, the driver doesn't.
+
+    However many files a shuffle makes, there are no more blocks, each a pass over the texts, than the items' bytes need.
+    """
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = new_path(spark, "items")
     items.repartition(int(size // ITEM_BYTES) + 1, "item_id", "text").write.parquet(folder)
     system, path = open_folder(folder)
-    return sorted(f"{folder}/{x.base_name}" for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet"))
-
-
-def _load(file: str, window: int) -> Items:
-    system, path = open_folder(file)
-    table = pq.read_table(path, filesystem=system, partitioning=None)
+    files = sorted((f"{folder}/{x.base_name}", x.size) for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.endswith(".parquet"))
+    share = size / max(1, sum(n for _, n in files))  # bytes of text for each of a file
+    blocks, full = [], math.inf
+    for name, n in files:
+        if full + n * share > ITEM_BYTES:
+            blocks.append([])
+            full = 0
+        blocks[-1].append(name)
+        full += n * share
+    return [tuple(b) for b in blocks]
+
+
+def _load(files: tuple[str, ...], window: int) -> Items:
+    tables = []
+    for file in files:
+        system, path = open_folder(file)
+        tables.append(pq.read_table(path, columns=["item_id", "text"], filesystem=system, partitioning=None))
+    table = pa.concat_tables(tables)
     return Items(list(zip(*(table.column(c).to_pylist() for c in ("item_id", "text")), strict=True)), window)
 
 
@@ -192,7 +221,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     With several blocks of items the rows of a document, known by segment and number, are merged: the blocks' matches
     together, by first word, and the words in any of their spans. ``index`` must then be stored: segment ids are random.
     """
-    parts = [index.mapInArrow(_search(file, window, slop), FOUND) for file in item_blocks(items)]
+    parts = [index.mapInArrow(_search(files, window, slop), FOUND) for files in item_blocks(items)]
     if len(parts) == 1:
         return parts[0].drop("segment", "no")
     found = reduce(DataFrame.unionByName, parts).groupBy("segment", "no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
@@ -220,10 +249,10 @@ def stage(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     Each step of texts is indexed, searched and filtered in one pass; blocks of items follow each other.
     """
     docs = docs.select(*DOC_COLUMNS)
-    for file in item_blocks(items):
+    for files in item_blocks(items):
 
-        def run(batches: Iterator[pa.RecordBatch], file: str = file) -> Iterator[pa.RecordBatch]:
-            known, z = _load(file, window), zstandard.ZstdDecompressor()
+        def run(batches: Iterator[pa.RecordBatch], files: tuple[str, ...] = files) -> Iterator[pa.RecordBatch]:
+            known, z = _load(files, window), zstandard.ZstdDecompressor()
             for b in text_steps(batches, SEGMENT_BYTES):
                 (segment,) = _build(iter([b.select(["doc_id", "text"])]))
                 n = np.asarray(segment.column("n_words").values, np.int64)

@@ -158,3 +158,50 @@ def test_several_blocks_of_items(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert len(list(decontaminate.item_blocks(b))) > 2
     assert sorted(map(tuple, decontaminate.contamination(d, b).collect()), key=str) == brute_contamination(docs, items)
+
+
+def test_windows_are_looked_up_together(monkeypatch):
+    """Matches are those of brute force, in any cut of the windows; the steps don't grow with the windows."""
+    r = random.Random(9)
+    pick = lambda n: " ".join(r.choice("abcdefg") for _ in range(n))
+    texts = [pick(r.choice([0, 1, 5, 60, 300])) for _ in range(30)]
+    asked = [(str(i), pick(r.choice([1, 2, 3, 4, 5, 9]))) for i in range(200)] + [("n", None), ("z", "zz a")]
+    (segment,) = decontaminate._build(iter([pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], ["doc_id", "text"])]))
+    known = decontaminate.Items(asked, 4)
+    n = np.asarray(segment.column("n_words").values, np.int64)
+    all_words = " ".join(texts).split()
+    doc_of = np.repeat(np.arange(len(n)), n)
+    z = decontaminate.zstandard.ZstdDecompressor()
+    parts = [z.decompress(segment.column(c)[0].as_py()) for c in ("terms", "postings")]
+    calls, plain = [], np.searchsorted
+    for starts, slop in ((1 << 19, 0), (50, 0), (1 << 19, 1), (50, 1)):
+        monkeypatch.setattr(decontaminate, "STARTS", starts)
+        monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or plain(*a, **k))
+        calls.clear()
+        w, p = decontaminate.match(known, *parts, doc_of, slop)
+        monkeypatch.setattr(np, "searchsorted", plain)
+        assert starts < 100 or len(calls) < 10 < len(known.item) / 10
+        want = set()
+        for k in range(len(known.item)):
+            terms = [known.text[t].decode() for t in known.term[k][: known.length[k]]]
+            for s in range(len(all_words) - len(terms) + 1):
+                near = lambda j, s=s, terms=terms: terms[j] in all_words[max(0, s + j - slop) : s + j + slop + 1]
+                if doc_of[s] == doc_of[s + len(terms) - 1] and all(map(near, range(len(terms)))):
+                    want.add((k, s))
+        got = set(zip(w.tolist(), p.tolist(), strict=True))
+        assert len(got) == len(w) and (got == want if not slop else got <= want and len(got) > 0)
+
+
+def test_blocks_of_items_go_by_their_bytes(spark, monkeypatch):
+    """Many small files are one block; small blocks hold every item once and find the same."""
+    items = spark.range(60).selectExpr("CAST(id AS STRING) AS item_id", "concat('w', id, ' x y z') AS text")
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a w', id * 2, ' x y z b') AS text")
+    plain = type(items).repartition
+    monkeypatch.setattr(type(items), "repartition", lambda df, n, *c: plain(df, max(n, 13), *c))
+    (block,) = decontaminate.item_blocks(items)
+    assert len(block) > 5 and sorted(map(int, decontaminate._load(block, 10).ids)) == list(range(60))
+    want = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 200)
+    blocks = decontaminate.item_blocks(items)
+    assert len(blocks) > 2 and sorted(int(i) for b in blocks for i in decontaminate._load(b, 10).ids) == list(range(60))
+    assert sorted(map(tuple, decontaminate.contamination(docs, items).collect())) == want and sum(r[5] for r in want) == 30
