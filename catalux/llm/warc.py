@@ -286,13 +286,11 @@ def _found(index: str):
         firsts, lasts = [_place(x["first_key"], x["first_page"]) for x in rows], [_place(x["last_key"], x["last_page"]) for x in rows]
         out, held, lines, places = [], -1, [], []
         for place in want:
-            i = bisect_right(firsts, place) - 1
-            while i >= 0 and lasts[i] >= place:  # rows of one page may go over several blocks
+            for i in range(bisect_left(lasts, place), bisect_right(firsts, place)):  # rows of one page may go over several blocks; the last may hold the next page
                 if i != held:
                     held, lines = i, _lines(read_range(index, rows[i]["file"], rows[i]["offset"], rows[i]["length"]))
                     places = [_place(*line[:2]) for line in lines]
                 out += [line[2:] for line in lines[bisect_left(places, place) : bisect_right(places, place)]]
-                i -= 1
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "offset", "length"])
 
