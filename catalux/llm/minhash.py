@@ -6,9 +6,11 @@
    is missed with probability 4e-7; at 0.8, 3e-5 (use 32 bands there).
 3. In each bucket every document is verified against the least one. Components of these links come next.
 4. Buckets that still hold more than one component are settled exactly: all their pairs of different
-   components are looked at, in blocks of ``BLOCK`` documents, the likely ones (by signature) are compared on full
-   sets, and only links that join components are returned. So no pair within a bucket is left out, none is
-   emitted, and a task never holds more than two blocks.
+   components are looked at, each pair in one of the buckets it has in common, the likely ones (by signature) are
+   compared on full sets, and only links that join components are returned. So no pair within a bucket is left out and
+   none is emitted. A bucket goes to one group up to ``BLOCK`` documents and ``BLOCK_BYTES`` of text; of a larger
+   one the documents of its largest component meet the others in blocks, never each other, and a task never holds
+   more than two blocks. Documents meet their texts before they are dealt to blocks.
 5. Components by alternating large-star and small-star.
 
 Null or empty text: an empty set, linked with nothing. Null ``doc_id``: linked with nothing, component null,
@@ -30,7 +32,8 @@ from .components import connected_components
 from .windows import packed_texts
 
 BANDS, ROWS = 20, 4
-BLOCK = 512
+BLOCK = 2048
+BLOCK_BYTES = 8 << 20
 #: A pair is compared on full sets if at least this share of its minima agrees; links have 0.85 on average.
 LIKELY = 0.6
 
@@ -62,7 +65,7 @@ def multipliers(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, np.uint64)
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, keys array<long>, n_bytes long"
 
 
 def _sign(size: int, bands: int, rows: int, seed: int):
@@ -94,8 +97,8 @@ def _sign(size: int, bands: int, rows: int, seed: int):
             short = (sig >> np.uint64(48)).astype(np.uint16)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(count > 0, bands, 0))]), pa.int32()), pa.array(band[count > 0].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary()), keys],
-                ["doc_id", "n_shingles", "f1", "f2", "sig", "keys"],
+                [batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array([x.tobytes() for x in short], pa.binary()), keys, pa.array(np.diff(utf8(batch.column("text"))[1]))],
+                ["doc_id", "n_shingles", "f1", "f2", "sig", "keys", "n_bytes"],
             )
 
     return run
@@ -140,8 +143,9 @@ def _verify(size: int, percent: int):
 def _settle(size: int, percent: int, bands: int):
     def run(table: pa.Table) -> pa.Table:
         """Links between different components of two blocks of a bucket (or within one)."""
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        key, i, j = (table.column(x)[0].as_py() for x in ("key", "i", "j"))
         ids, block, label = (np.asarray(table.column(x)) for x in ("doc_id", "block", "label"))
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(ids), -1)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
         packed = table.column("packed").to_pylist()
         sets: dict[int, np.ndarray] = {}
@@ -168,8 +172,10 @@ def _settle(size: int, percent: int, bands: int):
             others = right[(label[right] != label[x]) & ((right > x) if i == j else True)]
             if not len(others):
                 continue
-            agree = (sig[others] == sig[x]).sum(1)
-            for y in others[agree >= least].tolist():
+            others = others[(sig[others] == sig[x]).sum(1) >= least]
+            # of the buckets that hold both, all of them mixed, the one of the least key compares them
+            first = np.where(keys[others] == keys[x], keys[x], np.iinfo(np.int64).max).min(1)
+            for y in others[first == key].tolist():
                 a, b = find(int(label[x])), find(int(label[y]))
                 if a != b and similar(of(x), of(y), percent):
                     root[max(a, b)] = min(a, b)
@@ -179,6 +185,32 @@ def _settle(size: int, percent: int, bands: int):
     return run
 
 
+def mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """(key, top, n_top, n_rest) of buckets with several labels: the label of most documents, and the blocks of its documents and of the others.
+
+    Of buckets of equal members only the one of the least key is there. Where all fit in one block, ``n_rest`` is 0.
+    """
+    h = F.xxhash64("doc_id", "f1").cast("decimal(20,0)")
+    part = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum(h).alias("s"))
+    whole = part.groupBy("key").agg(F.max(F.struct("n", "bytes", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("m"), F.sum("bytes").alias("bytes"), F.sum("s").alias("s")).where("labels > 1")
+    one = whole.groupBy("m", "s").agg(F.min_by(F.struct("key", "top", "m", "bytes"), "key").alias("x")).select("x.*")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    small = blocks(F.col("m"), F.col("bytes")) <= 1
+    rest = blocks(F.col("m") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    return one.select("key", F.col("top.label").alias("top"), F.when(small, 1).otherwise(blocks(F.col("top.n"), F.col("top.bytes"))).alias("n_top"), F.when(small, 0).otherwise(F.greatest(rest, F.lit(1))).alias("n_rest"))
+
+
+def in_blocks(member: DataFrame) -> DataFrame:
+    """The rows of ``member`` with block, i and j: blocks of the largest label are numbered first, and meet those of the others only."""
+    n_top, n_rest = F.col("n_top"), F.col("n_rest")
+    mine = (n_rest == 0) | (F.col("label") == F.col("top"))
+    hashed = F.xxhash64("doc_id", F.lit(1))
+    dealt = member.withColumn("block", F.when(mine, F.pmod(hashed, n_top)).otherwise(n_top + F.pmod(hashed, F.greatest(n_rest, F.lit(1)))).cast("int"))
+    meets = F.when(n_rest == 0, F.array(F.lit(0))).when(mine, F.sequence(n_top, n_top + n_rest - 1)).otherwise(F.sequence(F.lit(0), n_top + n_rest - 1))
+    pair = F.explode(F.transform(meets, lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
+    return dealt.withColumn("p", pair).select("key", "doc_id", "label", "block", "sig", "keys", "packed", "p.i", "p.j")
+
+
 def _links_of_one_id(live: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): the least document of each class that an id of several sets is in, and that id."""
     own = ["n_shingles", "f1", "f2"]
@@ -193,9 +225,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = materialize(rows_of.mapInArrow(_sign(size, bands, rows, seed), SIGNED), "minhash")
     live = signed.where("doc_id is not null and n_shingles > 0")
-    classes = live.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "keys"), "doc_id").alias("x"))
-    classes = materialize(classes.select("n_shingles", "f1", "f2", "rep", "x.sig", "x.keys"), "minhash-classes")
-    buckets = classes.select(F.col("rep").alias("doc_id"), F.explode("keys").alias("key"))
+    classes = live.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "keys", "n_bytes"), "doc_id").alias("x"))
+    classes = materialize(classes.select("n_shingles", "f1", "f2", "rep", "x.sig", "x.keys", "x.n_bytes"), "minhash-classes")
+    buckets = classes.select(F.col("rep").alias("doc_id"), "f1", "n_bytes", F.explode("keys").alias("key"))
     pivot = buckets.groupBy("key").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").select("key", "u")
     shared = materialize(buckets.join(pivot, "key"), "minhash-buckets")  # only documents that share a bucket
     pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
@@ -207,18 +239,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     release(spark)
     comp = materialize(connected_components(links), "minhash-components")
 
-    labelled = shared.select("key", "doc_id").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    h = F.xxhash64("doc_id").cast("decimal(20,0)")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.sum(h).alias("s")).where("a < b")
-    mixed = materialize(mixed.groupBy("m", "s").agg(F.min("key").alias("key")), "minhash-mixed")  # one of the buckets of equal members
+    labelled = shared.select("key", "doc_id", "f1", "n_bytes").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    mixed = materialize(mixed_buckets(labelled), "minhash-mixed")
     if not mixed.isEmpty():
-        blocks = (F.col("m") - 1) / BLOCK
-        member = labelled.join(mixed, "key").withColumn("blocks", blocks.cast("int") + 1).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks").cast("int"))
-        pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
-        member = member.select("key", "doc_id", "label", "block", pair.alias("p")).select("key", "doc_id", "label", "block", "p.i", "p.j")
-        sig = classes.select(F.col("rep").alias("doc_id"), "sig")
-        member = member.join(sig, "doc_id").join(texts, "doc_id")
-        more = member.groupBy("key", "i", "j").applyInArrow(_settle(size, percent, bands), "u long, v long")
+        rep = classes.select(F.col("rep").alias("doc_id"), "f1", "sig", "keys")
+        member = labelled.join(mixed, "key").join(rep, ["doc_id", "f1"]).join(texts, "doc_id")
+        more = in_blocks(member).groupBy("key", "i", "j").applyInArrow(_settle(size, percent, bands), "u long, v long")
         more = materialize(more, "minhash-links")
         comp = materialize(connected_components(links.unionByName(more)), "minhash-components")
     named = classes.select("n_shingles", "f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"))

@@ -61,5 +61,22 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 3, 85)
 
 
+def test_blocks_grow_with_the_smaller_side_of_a_bucket(spark, monkeypatch):
+    """Documents of a bucket's largest component meet the others in blocks, not each other; every other pair meets."""
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    rows = [(1, d, 7, 10, 0 if d < 200 else d) for d in range(208)] + [(2, d, 7, 10, d) for d in range(8)] + [(3, d, 7, 10, 5) for d in range(9)]
+    labelled = spark.createDataFrame(rows, "key long, doc_id long, f1 long, n_bytes long, label long")
+    mixed = minhash.mixed_buckets(labelled)
+    assert {(r.key, r.n_top, r.n_rest) for r in mixed.collect()} == {(1, 20, 1), (2, 1, 0)}
+    member = labelled.join(mixed, "key").withColumns({c: labelled.doc_id for c in ("sig", "keys", "packed")})
+    got = minhash.in_blocks(member).collect()
+    assert len(got) == 200 + 8 * 21 + 8  # in blocks of all documents, 21 for each of 208
+    groups = {}
+    for r in got:
+        groups.setdefault((r.key, r.i, r.j), []).append(r)
+    met = {(k, *sorted((x.doc_id, y.doc_id))) for (k, i, j), g in groups.items() for x in g for y in g if (x.block, y.block) == (i, j) and x.doc_id != y.doc_id}
+    assert met >= {(k, x, y) for k, x, _, _, a in rows for l, y, _, _, b in rows if k == l and x < y and a != b}
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string, key long, u long")).count() == 0
