@@ -123,3 +123,16 @@ def test_paths_decide(spark, monkeypatch):
 def test_substring_dedup_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, h long, c long")
     assert substring_dedup.dedup_words(df).count() == 0
+
+
+def test_spans_of_a_text_are_one_row(spark, monkeypatch):
+    """However many shards its runs go to."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 256)
+    monkeypatch.setattr(suffix_dedup, "PART_RUNS", 1 << 8)
+    r = random.Random(3)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(300))
+    rows = [(1, long)] + [(i, f"{i} {long[i:]} {i}") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = suffix_dedup.repeated_spans(df, windows.text_classes(df, "t"))
+    assert sorted(x.doc_id for x in spans.collect()) == list(range(2, 30))
+    assert sorted(map(tuple, suffix_dedup.dedup_bytes(df).collect()), key=str) == brute_bytes(rows, 50)
