@@ -130,7 +130,7 @@ def repeated_words(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k:
     node = materialize(nodes(occ), "substring-nodes")
     paths = materialize(compact(node, length), "substring-paths")
     at_source = paths.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_k1").alias("k1")).agg(F.collect_list(F.struct("c", "src_start", "words")).alias("paths"))  # of one text
-    digests = packed_texts(docs).dropDuplicates(["doc_id", "k1", "k2"]).join(at_source, ["doc_id", "k1"]).mapInArrow(_sources, "c long, digest binary")
+    digests = packed_texts(docs).join(at_source, ["doc_id", "k1"]).mapInArrow(_sources, "c long, digest binary").distinct()  # of rows of one id and text one
     told = materialize(paths.select("c", "src_doc", "words").join(digests, "c"), "substring-sources")
     release(spark)
     heads = occ.select("c", "doc_id", "k1", "start").join(told, "c").where("src_doc < doc_id")
