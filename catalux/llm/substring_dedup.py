@@ -4,18 +4,17 @@ The edges of the graph are the windows of ``length`` words. Edges in a row with
 one minimizer form a *super-edge* (a run, see ``windows``); only super-edges
 whose minimizer occurs in two documents or more are built.
 
-1. Each occurrence of such a super-edge gives its minimizer, two content hashes,
+1. Each occurrence of such a super-edge gives its minimizer, a 128-bit digest of its words,
    its coordinates, its neighbours in the text, and the hashes of its edges.
 2. Super-edges of equal content are aggregated to one node, with the least source
    coordinate (document, word). A minimizer with one content only doesn't branch.
 3. Nodes that follow each other alone, with the same source text and adjoining
    source coordinates, are compacted to paths by pointer doubling through joins.
-   A path is judged as a whole, at its head: an occurrence is removed if the path's source is a smaller document and
-   its words are those at the source coordinate, by a digest of both texts' words. Super-edges with equal first
-   and different second hashes count as branching.
+   A path is judged as a whole, at its head: an occurrence is removed if the path's source is a smaller document. Its
+   words are those at the source coordinate, as the digests of all its super-edges are.
 4. Branching super-edges fall apart into edges. Each edge is aggregated to its least
    document and joined back to its occurrences.
-5. Spans meet the texts by document and the kept words are hashed.
+5. Spans meet the texts by document and the kept words are hashed. Texts are shuffled in step 1 and here, once each.
 
 All grouping is by aggregates with map-side combination and by joins that Spark
 can split where they are skewed. Null or empty text: no words. Null ``doc_id``:
@@ -35,46 +34,50 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, M64, materialize, read, release, span_hash, window_hash
+from .common import BASE, M64, materialize, read, release, window_hash
 from .windows import listed, merge_spans, packed_texts, ranges, runs, symbols, text_classes, unpacked, with_shared
 
 LENGTH = 50
 K = 20
 BASE2 = (BASE * 0xD1342543DE82EF95 | 1) & M64
-OCCURRENCE = "h long, c long, d long, doc_id long, k1 long, start int, n int, prv long, nxt long, edges array<long>"
+OCCURRENCE = "h long, c binary, doc_id long, k1 long, start int, n int, prv binary, nxt binary, edges array<long>"
+NAMES = [x.split()[0] for x in OCCURRENCE.split(", ")]
+#: In place of the digest of a neighbour.
+NONE = b""
 
 
 def _occurrences(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, k1, texts, shared, _ in unpacked(batches):
-            s, offsets, _ = symbols(texts, "word")
+            texts = pa.array([b" ".join(x.split()) for x in texts.to_pylist()], pa.binary())  # the same words
+            s, offsets, (raw, starts, ends) = symbols(texts, "word")
             doc, first, count, h = runs(s, offsets, length, k)
             ok = listed(doc, h, *shared)
             doc, first, count, h = doc[ok], first[ok], count[ok], h[ok]
             if not len(doc):
                 continue
-            c, d = (span_hash(s, first, first + count + length - 1, b) | np.uint64(1) for b in (BASE, BASE2))
-            follows = np.zeros(len(doc) + 1, bool)
-            follows[1:-1] = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1] + count[:-1])
-            prv = np.where(follows[:-1], np.roll(c, 1), 0)
-            nxt = np.where(follows[1:], np.roll(c, -1), 0)
+            raw = raw.tobytes()
+            c = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts[first].tolist(), ends[first + count + length - 2].tolist(), strict=True)]
+            follows = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1] + count[:-1])
+            prv = [NONE] + [x if f else NONE for x, f in zip(c[:-1], follows.tolist(), strict=True)]
+            nxt = [x if f else NONE for x, f in zip(c[1:], follows.tolist(), strict=True)] + [NONE]
             edges = window_hash(s, length, BASE2)[ranges(first, count)].view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(edges))
-            longs = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (h, c, d)]
-            cols = [pa.array(x) for x in longs] + [pa.array(ids[doc]), pa.array(k1[doc]), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(prv.astype(np.uint64).view(np.int64)), pa.array(nxt.astype(np.uint64).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "c", "d", "doc_id", "k1", "start", "n", "prv", "nxt", "edges"])
+            longs = [h.view(np.int64), ids[doc], k1[doc], (first - offsets[doc]).astype(np.int32), count.astype(np.int32)]
+            cols = [*map(pa.array, longs), *(pa.array(x, pa.binary()) for x in (c, prv, nxt)), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "k1", "start", "n", "c", "prv", "nxt", "edges"]).select(NAMES)
 
     return run
 
 
 def nodes(occurrences: DataFrame) -> DataFrame:
     """One row per super-edge content: least source coordinate, neighbours if unique, and whether its minimizer branches."""
-    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(0)
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.lit(NONE))
     node = occurrences.groupBy("h", "c").agg(
-        F.min(F.struct("doc_id", "k1", "start")).alias("src"), F.min("d").alias("d"), F.max("n").alias("n"), (F.min("d") != F.max("d")).alias("clash"), same("prv").alias("prv"), same("nxt").alias("nxt")
+        F.min(F.struct("doc_id", "k1", "start")).alias("src"), F.max("n").alias("n"), same("prv").alias("prv"), same("nxt").alias("nxt")
     )
-    minimizer = node.groupBy("h").agg(((F.count("*") > 1) | F.max("clash")).alias("branches"))
-    return node.join(minimizer, "h").select("h", "c", F.col("src.doc_id").alias("src_doc"), F.col("src.k1").alias("src_k1"), F.col("src.start").alias("src_start"), "d", "n", "prv", "nxt", "branches")
+    minimizer = node.groupBy("h").agg((F.count("*") > 1).alias("branches"))
+    return node.join(minimizer, "h").select("h", "c", F.col("src.doc_id").alias("src_doc"), F.col("src.k1").alias("src_k1"), F.col("src.start").alias("src_start"), "n", "prv", "nxt", "branches")
 
 
 def compact(node: DataFrame, length: int) -> DataFrame:
@@ -86,7 +89,7 @@ def compact(node: DataFrame, length: int) -> DataFrame:
     """
     plain = node.where("not branches")
     source = ["src_doc", "src_k1"]
-    a = plain.select(F.col("c").alias("up"), F.col("nxt").alias("c"), *[F.col(x).alias(f"up_{x}") for x in source], (F.col("src_start") + F.col("n")).alias("at")).where("c <> 0")
+    a = plain.select(F.col("c").alias("up"), F.col("nxt").alias("c"), *[F.col(x).alias(f"up_{x}") for x in source], (F.col("src_start") + F.col("n")).alias("at")).where("octet_length(c) > 0")
     link = plain.join(a, "c").where("prv = up and src_doc = up_src_doc and src_k1 = up_src_k1 and src_start = at").select("c", "up")
     path = plain.select("c", *source, "src_start", "n").join(link, "c", "left").select("c", F.coalesce("up", "c").alias("up"), *source, "src_start", "n")
     path = materialize(path, "substring-path")
@@ -103,42 +106,21 @@ def compact(node: DataFrame, length: int) -> DataFrame:
     return whole.withColumnRenamed("up", "c")
 
 
-def _digest(words: list[bytes], start: int, end: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
-
-
-def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdDecompressor()
-    for b in batches:
-        c, digest = [], []
-        for packed, paths in zip(b.column("packed").to_pylist(), b.column("paths").to_pylist(), strict=True):
-            words = z.decompress(packed).split()
-            c += [x["c"] for x in paths]
-            digest += [_digest(words, x["src_start"], x["src_start"] + x["words"]) for x in paths]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(digest, pa.binary())], ["c", "digest"])
-
-
 def repeated_words(docs: DataFrame, copies: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, k1, start, end, digest): removed word spans; they may overlap or touch.
-
-    ``digest`` is that of the words at the source coordinate of a path: a span counts if its own words have the same one.
-    """
+    """(doc_id, k1, start, end): removed word spans; they may overlap or touch."""
     spark = docs.sparkSession
     texts, _ = with_shared(docs, copies, "word", length, k, "substring")
     occ = materialize(texts.mapInArrow(_occurrences(length, k), OCCURRENCE), "substring-edges")
     release(spark)
     node = materialize(nodes(occ), "substring-nodes")
     paths = materialize(compact(node, length), "substring-paths")
-    at_source = paths.groupBy(F.col("src_doc").alias("doc_id"), F.col("src_k1").alias("k1")).agg(F.collect_list(F.struct("c", "src_start", "words")).alias("paths"))  # of one text
-    digests = packed_texts(docs).join(at_source, ["doc_id", "k1"]).mapInArrow(_sources, "c long, digest binary").distinct()  # of rows of one id and text one
-    told = materialize(paths.select("c", "src_doc", "words").join(digests, "c"), "substring-sources")
     release(spark)
-    heads = occ.select("c", "doc_id", "k1", "start").join(told, "c").where("src_doc < doc_id")
-    whole = heads.select("doc_id", "k1", "start", (F.col("start") + F.col("words")).alias("end"), "digest")
+    heads = occ.select("c", "doc_id", "k1", "start").join(paths.select("c", "src_doc", "words"), "c").where("src_doc < doc_id")
+    whole = heads.select("doc_id", "k1", "start", (F.col("start") + F.col("words")).alias("end"))
     forked = occ.join(node.where("branches").select("h", "c"), ["h", "c"]).select("h", "doc_id", "k1", "start", F.posexplode("edges").alias("i", "e"))
     least = forked.groupBy("h", "e").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("hi")).where("src_doc < hi").drop("hi")
     at = F.col("start") + F.col("i")
-    edges = forked.join(least, ["h", "e"]).where("src_doc < doc_id").select("doc_id", "k1", at.alias("start"), (at + length).alias("end"), F.lit(None).cast("binary").alias("digest"))
+    edges = forked.join(least, ["h", "e"]).where("src_doc < doc_id").select("doc_id", "k1", at.alias("start"), (at + length).alias("end"))
     return whole.unionByName(edges)
 
 
@@ -148,8 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, digest = [], []
         for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist(), strict=True):
             words = z.decompress(packed).split()
-            right = [x for x in spans if x["digest"] is None or x["digest"] == _digest(words, x["start"], x["end"])]
-            pair = np.minimum(np.array([(x["start"], x["end"]) for x in right], np.int64).reshape(-1, 2), len(words))
+            pair = np.minimum(np.array([(x["start"], x["end"]) for x in spans], np.int64).reshape(-1, 2), len(words))
             start, end = merge_spans(pair[:, 0], pair[:, 1])
             kept, at = [], 0
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
@@ -157,7 +138,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = e
             kept += words[at:]
             removed.append(len(words) - len(kept)), digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["k1", "k2", "n_removed", "sha"])
+        yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "k1", "k2")), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "k1", "k2", "n_removed", "sha"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +151,11 @@ def dedup_words(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
     docs = docs.select("doc_id", "text")
     copies = text_classes(docs, "substring")
-    spans = repeated_words(docs, copies, length, k).groupBy("doc_id", "k1").agg(F.collect_list(F.struct("start", "end", "digest")).alias("spans"))
-    cut = packed_texts(docs).join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").join(spans, ["doc_id", "k1"]).mapInArrow(_cut, "k1 long, k2 long, n_removed long, sha string").dropDuplicates(["k1", "k2"])
+    spans = repeated_words(docs, copies, length, k).groupBy("doc_id", "k1").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = materialize(spans, "substring-spans")
+    release(docs.sparkSession)
+    cut = packed_texts(docs).join(spans, ["doc_id", "k1"]).mapInArrow(_cut, "doc_id long, k1 long, k2 long, n_removed long, sha string")
+    cut = cut.join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep").select("k1", "k2", "n_removed", "sha").dropDuplicates(["k1", "k2"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text")).mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole string")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= length)

@@ -203,8 +203,11 @@ def with_shared(docs: DataFrame, copies: DataFrame, kind: str, length: int, k: i
     del keys, mine
     release(spark)
     n = shared.select(F.sum(F.size("shared").cast("long"))).first()[0] or 0
-    first = packed_texts(docs).join(shared, "k1").join(copies, ["k1", "k2"], "left").where("rep is null or doc_id = rep")
-    return first.select("doc_id", "k1", "packed", "shared", "hot"), int(n)
+    # copies meet the lists, not the texts, so that texts are shuffled once
+    reps = copies.groupBy("k1").agg(F.collect_list(F.struct("k2", "rep")).alias("reps"))
+    first = packed_texts(docs).join(shared.join(reps, "k1", "left"), "k1")
+    copy = F.exists("reps", lambda x: (x["k2"] == F.col("k2")) & (x["rep"] != F.col("doc_id")))
+    return first.where(~F.coalesce(copy, F.lit(False))).select("doc_id", "k1", "packed", "shared", "hot"), int(n)
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from catalux.llm import substring_dedup, suffix_dedup, windows
 from catalux.llm import suffix_array as suffix_array_module
@@ -136,3 +138,47 @@ def test_spans_of_a_text_are_one_row(spark, monkeypatch):
     spans = suffix_dedup.repeated_spans(df, windows.text_classes(df, "t"))
     assert sorted(x.doc_id for x in spans.collect()) == list(range(2, 30))
     assert sorted(map(tuple, suffix_dedup.dedup_bytes(df).collect()), key=str) == brute_bytes(rows, 50)
+
+
+def shuffled_texts(df):
+    """Exchanges of a plan that packed texts go through."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum("Exchange" in head and "packed" in head for head in plan.split("\n\n"))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_shuffled_once_a_step(spark, monkeypatch, no_broadcast):
+    """Where no side is small enough to be broadcast: once for the lists, once for the spans."""
+    df = spark.createDataFrame(corpus(3), "doc_id long, text string").repartition(3)
+    texts, _ = windows.with_shared(df, windows.text_classes(df, "t"), "word", 50, 20, "t")
+    assert shuffled_texts(texts) == 1
+    packed, made = windows.packed_texts, []
+    monkeypatch.setattr(substring_dedup, "packed_texts", lambda docs: made.append(1) or packed(docs))
+    found = substring_dedup.dedup_words(df)
+    assert len(made) == 1 and shuffled_texts(found) == 1
+    assert sorted(map(tuple, found.collect()), key=str) == brute_words(corpus(3), 50)
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch):
+    """Passages whose words have the same hashes at the same places: the digest of a super-edge is of the words."""
+    plain = windows.symbols
+
+    def alike(column, kind):
+        s, offsets, (_, starts, ends) = plain(pa.array([x.replace(b"y", b"x") for x in column.to_pylist()], pa.binary()), kind)
+        return s, offsets, (windows.utf8(column)[0], starts, ends)
+
+    monkeypatch.setattr(substring_dedup, "symbols", alike)
+    texts = [" ".join(f"w{i}{x}" for i in range(300)).encode() for x in "xy"]
+    h = (windows.runs(*alike(pa.array(texts[:1], pa.binary()), "word")[:2], 50, 20)[3] & windows.MASK).view(np.int64).tolist()
+    cols = {"doc_id": [1, 2], "k1": [1, 2], "packed": [zstandard.compress(x) for x in texts], "shared": pa.array([h, h], pa.list_(pa.int64())), "hot": pa.array([[], []], pa.list_(pa.int64()))}
+    rows = [r for b in substring_dedup._occurrences(50, 20)(iter([pa.record_batch(cols)])) for r in b.to_pylist()]
+    one, two = ([r for r in rows if r["doc_id"] == i] for i in (1, 2))
+    assert [r["h"] for r in one] == [r["h"] for r in two] and len(one) > 1
+    assert not {r["c"] for r in one} & {r["c"] for r in two}
