@@ -149,3 +149,29 @@ def test_far_strings_of_one_length_stop_early(spark):
     rows += [(x, bytearray(x[i:])) for x, _ in rows[:60] for i in (0, 3, 4)]
     df = spark.createDataFrame([(*x, distance(*x) <= 4) for x in rows], "long binary, short binary, want boolean")
     assert df.where(line_dedup.within(F.col("long"), F.col("short"), 4) != F.col("want")).count() == 0
+
+
+def test_lines_meet_their_texts_in_slices(spark, monkeypatch):
+    """A slice's shuffle holds its own ids only; together the slices hold each line that has met another one."""
+    names, plain = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "SLICES", 3)
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, codec=None: names.append((name, df.count())) or plain(df, name, codec))
+    long = spark.createDataFrame([(i, f"line {i}") for i in range(-30, 30)], "id long, raw string")
+    met = spark.createDataFrame([(i,) for i in range(-40, 40, 2)] * 2, "id long")
+    assert sorted(r.id for r in line_dedup._members(long, met).collect()) == list(range(-30, 30, 2))
+    assert names == [("lines-members", 10)] * 3
+
+
+def test_keys_of_both_classes(spark):
+    """A line near the begin of its class is keyed in the class below as well, there with displaced segments only."""
+    lines = spark.createDataFrame([("x" * n,) for n in (32, 36, 38, 40, 43, 44, 50)], "line string")
+    got = [r.c for r in lines.select(line_dedup.classes(F.octet_length("line"), 4, 32).alias("c")).collect()]
+    assert got == [[32], [32], [32], [40, 32], [40, 32], [40], [50, 40]]
+
+
+def test_distance_is_of_bytes(spark):
+    """Also where they are no characters, and for the bytes of one character."""
+    rows = [(bytearray(a), bytearray(b), distance(a, b) <= k, k) for a, b in ((b"\xff\x00abc\xc3\xa9" * 3, b"\xff\x00abc\xc3" * 3), ("é€ü".encode() * 4, "eeu€".encode() * 3)) for k in (1, 2, 3, 4)]
+    for k in (1, 2, 3, 4):
+        df = spark.createDataFrame([r[:3] for r in rows if r[3] == k], "a binary, b binary, want boolean")
+        assert df.where(line_dedup.within(F.col("a"), F.col("b"), k) != F.col("want")).count() == 0
